@@ -39,6 +39,7 @@ def _load() -> None:
     # Import for side effects: each module registers its queries.
     from starlayer.plans import (  # noqa: F401
         layer_plans,
+        quality_plans,
     )
 
 
