@@ -27,18 +27,22 @@ def money(col) -> Column:
     return _c(col).try_cast(MONEY)
 
 
-def ratio(num, den, scale: int = 2, factor: int | None = None) -> Column:
+def ratio(num, den, scale: int = 2, factor: int | None = None, as_double: bool = True) -> Column:
     """Ratio of sums, rounded half-up, NULL when the denominator is 0 or NULL.
 
     Division is done in decimal so the rounding is exact, then returned as double.
     ``factor`` multiplies the numerator first (e.g. 100 for percentages).
     """
-    n = _c(num).cast("decimal(38,6)")
+    n = _c(num)
     if factor is not None:
         n = n * F.lit(factor)
-    d = _c(den).cast("decimal(38,6)")
-    q = F.try_divide(n, F.nullif(d, F.lit(0).cast("decimal(38,6)")))
-    return F.round(q, scale).cast("double")
+    # decimal(28,10) operands keep 10 fractional digits in the quotient, so the
+    # final half-up rounding is not disturbed by an earlier one.
+    n = n.cast("decimal(28,10)")
+    d = _c(den).cast("decimal(28,10)")
+    q = F.try_divide(n, F.nullif(d, F.lit(0).cast("decimal(28,10)")))
+    r = F.round(q, scale)
+    return r.cast("double") if as_double else r.cast(f"decimal(28,{scale})")
 
 
 def period_start(period: str, as_of) -> Column:

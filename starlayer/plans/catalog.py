@@ -40,6 +40,7 @@ def _load() -> None:
     from starlayer.plans import (  # noqa: F401
         layer_plans,
         quality_plans,
+        fact_plans,
     )
 
 

@@ -54,3 +54,67 @@ def finish(df: DataFrame) -> DataFrame:
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
+
+
+# --- fixtures derived from the driver tables (see FIXTURES.md §3) -------------
+
+def _rn_first(df: DataFrame, keys, order) -> DataFrame:
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def change_log(c: "Ctx") -> DataFrame:
+    """(customer_key, change_date, priority): last order per customer and day."""
+    o = c.t("orders").select(F.col("o_custkey").alias("customer_key"),
+                             F.col("o_orderdate").cast("date").alias("change_date"),
+                             F.col("o_orderpriority").alias("priority"), "o_orderkey")
+    return _rn_first(o, ["customer_key", "change_date"], [F.col("o_orderkey").desc()]).drop("o_orderkey")
+
+
+def event_values(c: "Ctx") -> DataFrame:
+    """events with the value as exact money."""
+    return c.t("events").select("event_id", "ts", "user_id", "event_type",
+                                F.col("value").cast("decimal(18,2)").alias("value"))
+
+
+ORDER_MILESTONES = [("ordered", "ordered", "min"), ("first_ship", "ship", "min"),
+                    ("last_ship", "ship", "max"), ("returned", "return", "min")]
+EVENT_MILESTONES = ["signup", "view", "click", "purchase"]
+
+
+def order_lifecycle_events(c: "Ctx") -> DataFrame:
+    o = c.t("orders").select(F.col("o_orderkey").alias("order_key"), F.lit("ordered").alias("process"),
+                             F.col("o_orderdate").alias("ts"))
+    li = c.t("lineitem")
+    s = li.select(F.col("l_orderkey").alias("order_key"), F.lit("ship").alias("process"),
+                  F.col("l_shipdate").alias("ts"))
+    r = li.filter(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").alias("order_key"), F.lit("return").alias("process"), F.col("l_shipdate").alias("ts"))
+    return o.unionByName(s).unionByName(r)
+
+
+def part_edges(c: "Ctx") -> DataFrame:
+    """Deep hierarchy: part k → parent floor(k/2), root 1, keys ≥ 1."""
+    p = c.t("part").filter(F.col("p_partkey") >= 1)
+    return p.select(F.col("p_partkey").alias("node_id"),
+                    F.when(F.col("p_partkey") == 1, F.lit(None).cast("bigint"))
+                    .otherwise(F.floor(F.col("p_partkey") / 2).cast("bigint")).alias("parent_id"))
+
+
+def geo_edges(c: "Ctx") -> DataFrame:
+    """Shallow hierarchy: region → nation → customer, string node ids."""
+    r = c.t("region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node_id"),
+                             F.lit(None).cast("string").alias("parent_id"))
+    n = c.t("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node_id"),
+                             F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent_id"))
+    cu = c.t("customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node_id"),
+                                F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("parent_id"))
+    return r.unionByName(n).unionByName(cu)
+
+
+def lineitem_money(c: "Ctx") -> DataFrame:
+    li = c.t("lineitem")
+    gross = F.col("l_extendedprice").cast("decimal(18,2)")
+    disc = F.round(gross * F.col("l_discount").cast("decimal(18,4)"), 2).cast("decimal(18,2)")
+    return li.withColumn("gross", gross).withColumn("disc_amount", disc)

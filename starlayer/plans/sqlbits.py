@@ -9,7 +9,7 @@ EVENTS_AS_OF = "DATE '2024-01-30'"
 
 def R(num: str, den: str, scale: int = 2) -> str:
     """Exact half-up rounded ratio, NULL on a zero denominator, as DOUBLE."""
-    return (f"CAST(ROUND(CAST(({num}) / NULLIF(({den}), 0) AS DECIMAL(38,10)), {scale}) "
+    return (f"CAST(ROUND(CAST(({num}) / NULLIF(({den}), 0) AS DECIMAL(38,14)), {scale}) "
             f"AS DOUBLE)")
 
 
@@ -91,3 +91,87 @@ def with_(*ctes: str) -> str:
 
 
 ORDER_CHAIN = (TRADE_ORDER, STD, DWD)
+
+
+CHANGE_LOG = """change_log AS (
+  SELECT o_custkey AS customer_key, CAST(o_orderdate AS DATE) AS change_date, o_orderpriority AS priority
+  FROM orders
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) = 1)"""
+
+EVENT_VALUES = """ev AS (
+  SELECT event_id, ts, user_id, event_type, CAST(value AS DECIMAL(18,2)) AS value FROM events)"""
+
+SPARSE_DAY = """sp AS (
+  SELECT user_id, CAST(ts AS DATE) AS snapshot_date, value, ts AS state_ts FROM ev
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1)"""
+
+DENSE_DAY = f"""dense AS (
+  SELECT user_id, CAST(UNNEST(generate_series(snapshot_date, upto, INTERVAL 1 DAY)) AS DATE) AS snapshot_date,
+         value
+  FROM (SELECT user_id, snapshot_date, value,
+               COALESCE(LEAD(snapshot_date) OVER (PARTITION BY user_id ORDER BY snapshot_date) - 1,
+                        {EVENTS_AS_OF}) AS upto
+        FROM sp WHERE snapshot_date <= {EVENTS_AS_OF}))"""
+
+ORDER_LC = """olc AS (
+  SELECT order_key,
+         MIN(CASE WHEN process = 'ordered' THEN ts END) AS ordered_ts,
+         MIN(CASE WHEN process = 'ship' THEN ts END) AS first_ship_ts,
+         MAX(CASE WHEN process = 'ship' THEN ts END) AS last_ship_ts,
+         MIN(CASE WHEN process = 'return' THEN ts END) AS returned_ts
+  FROM (SELECT o_orderkey AS order_key, 'ordered' AS process, o_orderdate AS ts FROM orders
+        UNION ALL SELECT l_orderkey, 'ship', l_shipdate FROM lineitem
+        UNION ALL SELECT l_orderkey, 'return', l_shipdate FROM lineitem WHERE l_returnflag = 'R')
+  GROUP BY order_key)"""
+
+
+def acc_select(key: str, names: list[str], src: str) -> str:
+    cols = ", ".join(f"{n}_ts" for n in names)
+    durs = ", ".join(f"(epoch_us({b}_ts) - epoch_us({a}_ts)) // 1000000 AS {a}_to_{b}_sec" for a, b in zip(names, names[1:]))
+    bad = " OR ".join(f"COALESCE({b}_ts < {a}_ts, FALSE)" for a, b in zip(names, names[1:]))
+    allp = " AND ".join(f"{n}_ts IS NOT NULL" for n in names)
+    return (f"SELECT {key}, {cols}, {durs}, CASE WHEN {bad} THEN 'abnormal' WHEN {allp} THEN 'complete' "
+            f"ELSE 'in_progress' END AS end_status, CAST({names[0]}_ts AS DATE) AS start_dt FROM {src}")
+
+
+ORDER_MS = ["ordered", "first_ship", "last_ship", "returned"]
+EVENT_MS = ["signup", "view", "click", "purchase"]
+
+EVENT_LC = """elc AS (
+  SELECT user_id,
+         MIN(CASE WHEN event_type = 'signup' THEN ts END) AS signup_ts,
+         MIN(CASE WHEN event_type = 'view' THEN ts END) AS view_ts,
+         MIN(CASE WHEN event_type = 'click' THEN ts END) AS click_ts,
+         MIN(CASE WHEN event_type = 'purchase' THEN ts END) AS purchase_ts
+  FROM events GROUP BY user_id)"""
+
+LI_MONEY = """lim AS (
+  SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS gross,
+         CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,4)), 2)
+              AS DECIMAL(18,2)) AS disc_amount
+  FROM lineitem)"""
+
+PART_EDGES = """pe AS (
+  SELECT p_partkey AS node_id, CASE WHEN p_partkey = 1 THEN NULL ELSE p_partkey // 2 END AS parent_id
+  FROM part WHERE p_partkey >= 1)"""
+
+CLOSURE = """clo(ancestor, descendant, distance) AS (
+  SELECT node_id, node_id, 0 FROM pe
+  UNION ALL
+  SELECT pe.parent_id, clo.descendant, clo.distance + 1
+  FROM clo JOIN pe ON clo.ancestor = pe.node_id WHERE pe.parent_id IS NOT NULL)"""
+
+
+def versions_sql(src: str, key: str, date_col: str, attrs: list[str], start="effective_date",
+                 end="expiry_date", current: bool = True) -> str:
+    """Version chain in DuckDB: NULL-safe change detection then LEAD."""
+    a = ", ".join(attrs)
+    chg = " OR ".join(f"LAG({x}) OVER w IS DISTINCT FROM {x}" for x in attrs)
+    cur = f", {end} = DATE '9999-12-31' AS is_current" if current else ""
+    return f"""(SELECT *{cur} FROM (
+  SELECT {key}, {a}, CAST({date_col} AS DATE) AS {start},
+         COALESCE(CAST(LEAD({date_col}) OVER (PARTITION BY {key} ORDER BY {date_col}) AS DATE),
+                  DATE '9999-12-31') AS {end}
+  FROM (SELECT *, (LAG(1) OVER w IS NULL OR {chg}) AS chg FROM {src}
+        WINDOW w AS (PARTITION BY {key} ORDER BY {date_col}))
+  WHERE chg))"""
