@@ -25,7 +25,7 @@ def hier_flatten(edges: DataFrame, node: str = "node_id", parent: str = "parent_
     chain = F.array(*[F.col(f"a{i}") for i in range(depth)])
     path = F.reverse(F.filter(chain, lambda x: x.isNotNull()))
     out = cur.select(F.col("a0").alias(node), F.size(path).alias("depth"), path.alias("_path"), "_over")
-    return out.select(node, "depth", *[F.col("_path")[i].alias(f"level_{i + 1}") for i in range(depth)],
+    return out.select(node, "depth", *[F.get(F.col("_path"), i).alias(f"level_{i + 1}") for i in range(depth)],
                       F.col("_over").alias("deeper_than_k"))
 
 

@@ -41,6 +41,7 @@ def _load() -> None:
         layer_plans,
         quality_plans,
         fact_plans,
+        dim_plans,
     )
 
 
