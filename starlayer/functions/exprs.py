@@ -27,22 +27,31 @@ def money(col) -> Column:
     return _c(col).try_cast(MONEY)
 
 
+def round_half_away(x, scale: int) -> Column:
+    """Round a double half away from zero at ``scale`` decimals, computed as
+    ``sign(x) * floor(|x| * 10^scale + 0.5) / 10^scale`` — the same IEEE
+    operations SQL engines use for ROUND on DOUBLE, so results agree bit for bit."""
+    m = float(10 ** scale)
+    x = _c(x)
+    return F.signum(x) * F.floor(F.abs(x) * F.lit(m) + F.lit(0.5)).cast("double") / F.lit(m)
+
+
 def ratio(num, den, scale: int = 2, factor: int | None = None, as_double: bool = True) -> Column:
-    """Ratio of sums, rounded half-up, NULL when the denominator is 0 or NULL.
+    """Ratio of sums as in ``ROUND(num / NULLIF(den, 0), scale)``.
 
-    Division is done in decimal so the rounding is exact, then returned as double.
-    ``factor`` multiplies the numerator first (e.g. 100 for percentages).
+    The sums stay exact (decimal / integer) until the single double division,
+    so both the quotient and its rounding are deterministic whatever the
+    partitioning. ``factor`` multiplies the numerator first (100 for
+    percentages). ``as_double=False`` returns the rounded value as an exact
+    decimal, safe to sum further.
     """
     n = _c(num)
     if factor is not None:
         n = n * F.lit(factor)
-    # decimal(28,10) operands keep 10 fractional digits in the quotient, so the
-    # final half-up rounding is not disturbed by an earlier one.
-    n = n.cast("decimal(28,10)")
-    d = _c(den).cast("decimal(28,10)")
-    q = F.try_divide(n, F.nullif(d, F.lit(0).cast("decimal(28,10)")))
-    r = F.round(q, scale)
-    return r.cast("double") if as_double else r.cast(f"decimal(28,{scale})")
+    d = _c(den).cast("double")
+    q = F.when(d != 0, n.cast("double") / d)
+    r = round_half_away(q, scale)
+    return r if as_double else r.cast(f"decimal(28,{scale})")
 
 
 def period_start(period: str, as_of) -> Column:

@@ -213,8 +213,7 @@ def ratio_of_sums(df: DataFrame, by: list[str], formula: str, name: str = "value
 
 def ratio_wrong_vs_right(df: DataFrame, by: list[str], num: str, den: str, scale: int = 6) -> DataFrame:
     """F10 — average of row ratios (wrong) next to the ratio of sums (right)."""
-    row_ratio = F.try_divide(F.col(num).cast("decimal(28,10)"),
-                             F.nullif(F.col(den).cast("decimal(28,10)"), F.lit(0))).cast("decimal(18,6)")
+    row_ratio = ratio(F.col(num), F.col(den), scale, as_double=False)
     return (df.withColumn("_r", row_ratio).groupBy(*by)
             .agg(ratio(F.sum("_r"), F.count("_r"), scale).alias("avg_of_ratios"),
                  ratio(F.sum(num), F.sum(den), scale).alias("ratio_of_sums")))

@@ -1,10 +1,262 @@
-"""Metric system (M01–M04), domain KPIs (M05–M14) and top-k."""
+"""Metric system (M01–M04), domain KPIs (M05–M14) and top-k.
+
+Atomic metric = measure + one of six aggregates; derived metric = atomic +
+modifiers (predicates) + period. A metric set is compiled into *one*
+``groupBy().agg(...)`` so any number of metrics costs a single scan.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starlayer.functions.exprs import in_period, lit_date, period_start, ratio
+
+# The six legal aggregations of an atomic metric.
+VALID_AGGREGATIONS = ("SUM", "COUNT", "COUNT_DISTINCT", "AVG", "MAX", "MIN")
+
+
+@dataclass(frozen=True)
+class AtomicMetric:
+    name: str
+    process: str
+    aggregation: str
+    measure: str
+
+    def __post_init__(self):
+        agg = (self.aggregation or "").upper()
+        if agg not in VALID_AGGREGATIONS:
+            raise ValueError(f"illegal aggregation {self.aggregation!r}; legal: {sorted(VALID_AGGREGATIONS)}")
+        if not self.measure or not self.measure.strip():
+            raise ValueError("measure field must not be empty")
+        object.__setattr__(self, "aggregation", agg)
+
+
+@dataclass(frozen=True)
+class DerivedMetric:
+    atomic: AtomicMetric
+    modifiers: tuple = field(default_factory=tuple)  # (label, SQL predicate) pairs
+    period: str = "1d"
+
+    @property
+    def name(self) -> str:
+        """period + modifiers + atomic name, as the naming rule composes it."""
+        return " ".join([self.period] + [m[0] for m in self.modifiers] + [self.atomic.name])
+
+    @property
+    def column(self) -> str:
+        return re.sub(r"[^0-9A-Za-z_]+", "_", self.name).strip("_").lower()
+
+
+def metric_expr(atomic: AtomicMetric, pred: Column | None = None) -> Column:
+    """Aggregate expression of an atomic metric restricted to ``pred``."""
+    v = F.col(atomic.measure)
+    if pred is not None:
+        v = F.when(pred, v)
+    a = atomic.aggregation
+    if a == "SUM":
+        return F.sum(v)
+    if a == "COUNT":
+        return F.count(v)
+    if a == "COUNT_DISTINCT":
+        return F.countDistinct(v)
+    if a == "AVG":
+        return ratio(F.sum(v), F.count(v), 2)
+    if a == "MAX":
+        return F.max(v)
+    return F.min(v)
+
+
+def _pred(dm: DerivedMetric, as_of, date_col: str) -> Column:
+    p = in_period(date_col, dm.period, as_of)
+    for _label, sql in dm.modifiers:
+        p = p & F.expr(sql)
+    return p
+
+
+def metric_atomic(df: DataFrame, by: list[str], metrics: list[AtomicMetric]) -> DataFrame:
+    """M01 — atomic metrics per group, one aggregation."""
+    return df.groupBy(*by).agg(*[metric_expr(m).alias(m.name) for m in metrics])
+
+
+def metric_set_one_pass(df: DataFrame, by: list[str], metrics: list[DerivedMetric], as_of,
+                        date_col: str = "order_date") -> DataFrame:
+    """M02/M03 — many derived metrics × group columns in a single scan.
+
+    The scan is first limited to the union of the periods (pushed to parquet),
+    then every metric is a conditional aggregate in one ``agg``.
+    """
+    starts = [period_start(m.period, as_of) for m in metrics if m.period.lower() != "td"]
+    src = df.filter(F.col(date_col) <= lit_date(as_of))
+    if len(starts) == len(metrics) and starts:
+        src = src.filter(F.col(date_col) >= F.least(*starts) if len(starts) > 1 else F.col(date_col) >= starts[0])
+    return src.groupBy(*by).agg(*[metric_expr(m.atomic, _pred(m, as_of, date_col)).alias(m.column)
+                                  for m in metrics])
+
+
+def metric_derived(df: DataFrame, by: list[str], metric: DerivedMetric, as_of,
+                   date_col: str = "order_date") -> DataFrame:
+    """M02 — one derived metric."""
+    return metric_set_one_pass(df, by, [metric], as_of, date_col)
+
+
+def metric_periods(df: DataFrame, by: list[str], atomic: AtomicMetric, as_of,
+                   periods=("1d", "7d", "mtd", "td"), date_col: str = "order_date") -> DataFrame:
+    """M04 — one atomic metric over several periods ending at ``as_of``."""
+    ms = [DerivedMetric(atomic, (), p) for p in periods]
+    return metric_set_one_pass(df, by, ms, as_of, date_col)
+
+
+# --- domain KPIs over the event stream -------------------------------------------
+
+def _day(ts: str = "ts") -> Column:
+    return F.col(ts).cast("date")
+
+
+def kpi_pv_uv(events: DataFrame, view: str = "view") -> DataFrame:
+    """M05 — per day: view events and distinct viewing users."""
+    v = events.filter(F.col("event_type") == view)
+    return v.groupBy(_day().alias("day")).agg(F.count(F.lit(1)).alias("pv"),
+                                              F.countDistinct("user_id").alias("uv"))
+
+
+def kpi_ctr(events: DataFrame) -> DataFrame:
+    """M06 — per day: clicks / views as a ratio of sums."""
+    e = events.filter(F.col("event_type").isin("view", "click"))
+    g = e.groupBy(_day().alias("day")).agg(
+        F.count(F.when(F.col("event_type") == "click", 1)).alias("clicks"),
+        F.count(F.when(F.col("event_type") == "view", 1)).alias("views"))
+    return g.withColumn("ctr", ratio(F.col("clicks"), F.col("views"), 4))
+
+
+def kpi_dau_mau(events: DataFrame) -> DataFrame:
+    """M07 — distinct active users per day and per month (``grain`` column)."""
+    d = events.groupBy(_day().alias("period")).agg(F.countDistinct("user_id").alias("active_users")) \
+        .withColumn("grain", F.lit("day"))
+    m = events.groupBy(F.trunc(_day(), "month").alias("period")) \
+        .agg(F.countDistinct("user_id").alias("active_users")).withColumn("grain", F.lit("month"))
+    return d.unionByName(m)
+
+
+def kpi_retention(events: DataFrame, days=(1, 3, 7)) -> DataFrame:
+    """M08 — cohort = first active day; share of the cohort active again on
+    day 1, 3 and 7. Distinct (user, day) activity is aggregated first, the
+    per-user first day is a grouped min joined back on the user."""
+    act = events.select("user_id", _day().alias("day")).distinct()
+    first = act.groupBy("user_id").agg(F.min("day").alias("cohort_date"))
+    j = act.join(first, "user_id").withColumn("k", F.datediff("day", "cohort_date"))
+    aggs = [F.countDistinct(F.when(F.col("k") == 0, F.col("user_id"))).alias("cohort_size")]
+    for n in days:
+        aggs.append(F.countDistinct(F.when(F.col("k") == n, F.col("user_id"))).alias(f"retained_d{n}"))
+    g = j.groupBy("cohort_date").agg(*aggs)
+    for n in days:
+        g = g.withColumn(f"retention_d{n}", ratio(F.col(f"retained_d{n}"), F.col("cohort_size"), 4))
+    return g
+
+
+def kpi_repurchase_rate(orders: DataFrame, cust: str = "o_custkey", date_col: str = "o_orderdate") -> DataFrame:
+    """M09 — per month: buyers with ≥ 2 orders / buyers (two-level groupBy)."""
+    per = orders.groupBy(F.trunc(F.col(date_col).cast("date"), "month").alias("month"), cust) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    g = per.groupBy("month").agg(F.count(F.lit(1)).alias("buyers"),
+                                 F.count(F.when(F.col("n") >= 2, 1)).alias("repeat_buyers"))
+    return g.withColumn("repurchase_rate", ratio(F.col("repeat_buyers"), F.col("buyers"), 4))
+
+
+def kpi_refund_rate(lines: DataFrame, amount: str = "gross", flag: str = "l_returnflag",
+                    date_col: str = "l_shipdate") -> DataFrame:
+    """M10 — per month: returned lines / lines and returned amount / amount."""
+    r = F.col(flag) == "R"
+    g = lines.groupBy(F.trunc(F.col(date_col).cast("date"), "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count(F.when(r, 1)).alias("returned_lines"),
+        F.sum(amount).alias("amount"), F.sum(F.when(r, F.col(amount))).alias("returned_amount"))
+    return (g.withColumn("line_refund_rate", ratio(F.col("returned_lines"), F.col("lines"), 4))
+            .withColumn("amount_refund_rate", ratio(F.col("returned_amount"), F.col("amount"), 4)))
+
+
+def kpi_conversion_funnel(events: DataFrame, steps=("view", "click", "purchase")) -> DataFrame:
+    """M11 — users reaching each step at or after the previous step's first
+    time, per cohort of first-step day.
+
+    Each step is a grouped ``min`` (partial aggregation absorbs hot users)
+    joined back on the user; no per-user window, no collected timeline.
+    """
+    e = events.select("user_id", "event_type", "ts")
+    cur = e.filter(F.col("event_type") == steps[0]).groupBy("user_id").agg(F.min("ts").alias("t0"))
+    for i, s in enumerate(steps[1:], start=1):
+        nxt = (e.filter(F.col("event_type") == s).join(cur.select("user_id", f"t{i - 1}"), "user_id")
+               .filter(F.col("ts") >= F.col(f"t{i - 1}")).groupBy("user_id").agg(F.min("ts").alias(f"t{i}")))
+        cur = cur.join(nxt, "user_id", "left")
+    aggs = [F.count(F.col(f"t{i}")).alias(f"{s}_users") for i, s in enumerate(steps)]
+    g = cur.groupBy(F.col("t0").cast("date").alias("cohort_date")).agg(*aggs)
+    for a, b in zip(steps, steps[1:]):
+        g = g.withColumn(f"{a}_to_{b}_rate", ratio(F.col(f"{b}_users"), F.col(f"{a}_users"), 4))
+    return g
+
+
+def sessions_bounce(events: DataFrame, gap_minutes: int = 30, user: str = "user_id",
+                    ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """M12 — sessions (a user's events with gaps ≤ ``gap_minutes``) and bounce
+    rate (one-event sessions / sessions) per session-start day.
+
+    Skew-safe: sessions are first cut inside (user, day) chunks, so a hot user
+    is spread over as many tasks as it has active days; chunk summaries (one
+    row per user-day) are then stitched where the first event of a day lies
+    within the gap of the previous active day's last event.
+    """
+    gap = gap_minutes * 60 * 1_000_000
+    e = events.select(user, ts, tie).withColumn("_day", F.col(ts).cast("date"))
+    w = Window.partitionBy(user, "_day").orderBy(ts, tie)
+    secs = F.unix_micros(F.col(ts).cast("timestamp"))
+    prev = F.lag(secs).over(w)
+    e = e.withColumn("_new", F.when(prev.isNull() | (secs - prev > gap), 1).otherwise(0))
+    e = e.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sess = e.groupBy(user, "_day", "_sid").agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_s"),
+                                               F.max(ts).alias("_e"))
+    chunk = sess.groupBy(user, "_day").agg(
+        F.count(F.lit(1)).alias("n_local"),
+        F.count(F.when(F.col("_n") == 1, 1)).alias("b_local"),
+        F.min("_s").alias("first_ts"), F.max("_e").alias("last_ts"),
+        F.min_by("_n", "_sid").alias("first_n"), F.max_by("_n", "_sid").alias("last_n"))
+    wc = Window.partitionBy(user).orderBy("_day")
+    cs = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ml = F.coalesce(cs("first_ts") - F.lag(cs("last_ts")).over(wc) <= gap, F.lit(False))
+    mr = F.coalesce(F.lead(cs("first_ts")).over(wc) - cs("last_ts") <= gap, F.lit(False))
+    chunk = chunk.withColumn("_ml", ml).withColumn("_mr", mr)
+    one = F.col("n_local") == 1
+    fb, lb = F.col("first_n") == 1, F.col("last_n") == 1
+    lost = F.when(one, F.when(fb & (F.col("_ml") | F.col("_mr")), 1).otherwise(0)) \
+        .otherwise(F.when(fb & F.col("_ml"), 1).otherwise(0) + F.when(lb & F.col("_mr"), 1).otherwise(0))
+    per = chunk.select(F.col("_day").alias("day"),
+                       (F.col("n_local") - F.when(F.col("_ml"), 1).otherwise(0)).alias("_sessions"),
+                       (F.col("b_local") - lost).alias("_bounces"))
+    g = per.groupBy("day").agg(F.sum("_sessions").cast("bigint").alias("sessions"),
+                               F.sum("_bounces").cast("bigint").alias("bounces"))
+    return g.withColumn("bounce_rate", ratio(F.col("bounces"), F.col("sessions"), 4))
+
+
+def new_vs_returning(dwd: DataFrame, user: str = "user_id", date_col: str = "order_date",
+                     number: str = "order_no", amount: str = "order_amount") -> DataFrame:
+    """M13 — per month: orders and gmv of first-time vs returning customers.
+    A customer is new in the month of their first order. The first month is a
+    grouped min joined back on the user (skew-tolerant, no window)."""
+    first = dwd.groupBy(user).agg(F.trunc(F.min(date_col), "month").alias("_first"))
+    j = dwd.join(first, user).withColumn("month", F.trunc(date_col, "month"))
+    j = j.withColumn("customer_type", F.when(F.col("month") == F.col("_first"), "new").otherwise("returning"))
+    return j.groupBy("month", "customer_type").agg(F.countDistinct(number).alias("orders"),
+                                                   F.sum(amount).alias("gmv"),
+                                                   F.countDistinct(user).alias("customers"))
+
+
+def average_order_value(dwd: DataFrame, by: list[str], number: str = "order_no",
+                        amount: str = "order_amount") -> DataFrame:
+    """M14 — gmv / orders at any grouping (ratio of sums)."""
+    g = dwd.groupBy(*by).agg(F.sum(amount).alias("gmv"), F.countDistinct(number).alias("orders"))
+    return g.withColumn("aov", ratio(F.col("gmv"), F.col("orders"), 2))
+
 
 def topk(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """Top-k report: ``orderBy(...).limit(k)`` is planned as a

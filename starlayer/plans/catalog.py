@@ -42,6 +42,7 @@ def _load() -> None:
         quality_plans,
         fact_plans,
         dim_plans,
+        metric_plans,
     )
 
 

@@ -106,8 +106,7 @@ def _ratio_of_sums(c):
 
 
 @register("ratio_wrong_vs_right", with_(LI_MONEY) + f"""
-, rr AS (SELECT *, CAST(CAST(disc_amount AS DECIMAL(28,10)) / NULLIF(CAST(gross AS DECIMAL(28,10)), 0)
-                       AS DECIMAL(18,6)) AS r FROM lim)
+, rr AS (SELECT *, CAST({R('disc_amount', 'gross', 6)} AS DECIMAL(28,6)) AS r FROM lim)
 SELECT l_returnflag, {R('SUM(r)', 'COUNT(r)', 6)} AS avg_of_ratios,
        {R('SUM(disc_amount)', 'SUM(gross)', 6)} AS ratio_of_sums
 FROM rr GROUP BY l_returnflag""")
@@ -129,7 +128,7 @@ def _semi_additive_last(c):
 , per AS (SELECT CAST(date_trunc('week', snapshot_date) AS DATE) AS week_start, user_id,
                  SUM(value) AS s, COUNT(value) AS n FROM dense GROUP BY ALL)
 SELECT week_start,
-       {D('SUM(CAST(ROUND(CAST(s AS DECIMAL(38,14)) / n, 4) AS DECIMAL(28,4)))')} AS avg_value_sum,
+       {D(f"SUM(CAST({R('s', 'n', 4)} AS DECIMAL(28,4)))")} AS avg_value_sum,
        COUNT(*) AS entities
 FROM per GROUP BY week_start""")
 def _semi_additive_avg(c):

@@ -8,9 +8,8 @@ EVENTS_AS_OF = "DATE '2024-01-30'"
 
 
 def R(num: str, den: str, scale: int = 2) -> str:
-    """Exact half-up rounded ratio, NULL on a zero denominator, as DOUBLE."""
-    return (f"CAST(ROUND(CAST(({num}) / NULLIF(({den}), 0) AS DECIMAL(38,14)), {scale}) "
-            f"AS DOUBLE)")
+    """ROUND(num / NULLIF(den, 0), scale) with the division done in DOUBLE."""
+    return f"ROUND(CAST(({num}) AS DOUBLE) / NULLIF(CAST(({den}) AS DOUBLE), 0), {scale})"
 
 
 def D(expr: str) -> str:
