@@ -43,6 +43,7 @@ def _load() -> None:
         fact_plans,
         dim_plans,
         metric_plans,
+        advise_plans,
     )
 
 
