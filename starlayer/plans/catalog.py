@@ -44,6 +44,7 @@ def _load() -> None:
         dim_plans,
         metric_plans,
         advise_plans,
+        sink_plans,
     )
 
 
