@@ -45,6 +45,7 @@ def _load() -> None:
         metric_plans,
         advise_plans,
         sink_plans,
+        stream_plans,
     )
 
 
