@@ -68,13 +68,18 @@ def scd2_merge(dim: DataFrame, batch: DataFrame, key: str, date_col: str, attrs:
     row is closed on the first change date and the new row opens that day.
     Applying batches in order equals :func:`scd2_build` over the whole log.
     """
-    touched = batch.select(key).distinct()
     closed = dim.filter(~F.col("is_current"))
     cur = dim.filter(F.col("is_current"))
+    # Rerun safety: only changes after a key's current version count; a batch
+    # applied twice (or a late re-delivery) leaves the table unchanged.
+    eff = cur.select(key, F.col("effective_date").alias("_eff"))
+    b = (batch.select(key, *attrs, date_col).join(eff, key, "left")
+         .filter(F.col("_eff").isNull() | (F.col(date_col).cast("date") > F.col("_eff"))).drop("_eff"))
+    touched = b.select(key).distinct()
     cur_keep = cur.join(touched, key, "left_anti")
     cur_redo = cur.join(touched, key, "left_semi").select(
         key, *attrs, F.col("effective_date").alias(date_col))
-    redo = scd_versions(cur_redo.unionByName(batch.select(key, *attrs, date_col)), key, date_col, attrs)
+    redo = scd_versions(cur_redo.unionByName(b), key, date_col, attrs)
     return closed.unionByName(cur_keep).unionByName(redo)
 
 

@@ -235,6 +235,8 @@ def sessions_bounce(events: DataFrame, gap_minutes: int = 30, user: str = "user_
                        (F.col("b_local") - lost).alias("_bounces"))
     g = per.groupBy("day").agg(F.sum("_sessions").cast("bigint").alias("sessions"),
                                F.sum("_bounces").cast("bigint").alias("bounces"))
+    # a day whose events all continue earlier sessions starts none
+    g = g.filter(F.col("sessions") > 0)
     return g.withColumn("bounce_rate", ratio(F.col("bounces"), F.col("sessions"), 4))
 
 
