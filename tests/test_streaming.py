@@ -15,10 +15,11 @@ def _split(df, col, path):
     df.repartition(col).write.mode("overwrite").partitionBy(col).parquet(path)
     # the file source takes files in modification-time order: make it the
     # partition order so batches arrive in event-time order
-    parts = sorted((d for d in os.listdir(path) if d.startswith(f"{col}=")), key=lambda d: int(d.split("=")[1]))
+    local = path[5:] if path.startswith("file:") else path
+    parts = sorted((d for d in os.listdir(local) if d.startswith(f"{col}=")), key=lambda d: int(d.split("=")[1]))
     for i, d in enumerate(parts):
-        for f in os.listdir(os.path.join(path, d)):
-            os.utime(os.path.join(path, d, f), (1_600_000_000 + i * 60, 1_600_000_000 + i * 60))
+        for f in os.listdir(os.path.join(local, d)):
+            os.utime(os.path.join(local, d, f), (1_600_000_000 + i * 60, 1_600_000_000 + i * 60))
     return path
 
 
