@@ -23,23 +23,30 @@ def _kw_hit(name: str, words: list[str]) -> bool:
 
 
 def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """A01 — rows, nulls, distinct, min, max per column in one aggregation,
-    unpivoted with ``stack``. ``exact=False`` uses HyperLogLog++ distinct
-    counts (bounded memory per task, one pass) for very large tables."""
+    """A01 — rows, nulls, distinct, min, max per column, unpivoted with ``stack``.
+
+    Two global aggregates over the same input: distinct counts (hash
+    aggregation over an expand of the columns) and nulls/min/max (string
+    min/max buffers cannot be hashed, so they stay in a key-less aggregate
+    that needs no sort). ``exact=False`` uses HyperLogLog++ distinct counts
+    (one pass, bounded memory) for very large tables.
+    """
     cols = cols or df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    stats = [F.count(F.lit(1)).alias("_rows")]
+    dist = []
     for i, c in enumerate(cols):
         col = F.col(f"`{c}`")
-        aggs.append(F.count(F.when(col.isNull(), 1)).alias(f"_n{i}"))
-        aggs.append((F.countDistinct(col) if exact else F.approx_count_distinct(col)).alias(f"_d{i}"))
+        stats.append(F.count(F.when(col.isNull(), 1)).alias(f"_n{i}"))
+        dist.append((F.countDistinct(col) if exact else F.approx_count_distinct(col)).alias(f"_d{i}"))
         if c in numeric:
-            aggs += [F.min(col).cast("double").alias(f"_lo{i}"), F.max(col).cast("double").alias(f"_hi{i}"),
-                     F.lit(None).cast("string").alias(f"_ls{i}"), F.lit(None).cast("string").alias(f"_hs{i}")]
+            stats += [F.min(col).cast("double").alias(f"_lo{i}"), F.max(col).cast("double").alias(f"_hi{i}"),
+                      F.lit(None).cast("string").alias(f"_ls{i}"), F.lit(None).cast("string").alias(f"_hs{i}")]
         else:
-            aggs += [F.lit(None).cast("double").alias(f"_lo{i}"), F.lit(None).cast("double").alias(f"_hi{i}"),
-                     F.min(col).cast("string").alias(f"_ls{i}"), F.max(col).cast("string").alias(f"_hs{i}")]
-    one = df.agg(*aggs)
+            stats += [F.lit(None).cast("double").alias(f"_lo{i}"), F.lit(None).cast("double").alias(f"_hi{i}"),
+                      F.min(col).cast("string").alias(f"_ls{i}"), F.max(col).cast("string").alias(f"_hs{i}")]
+    one = (df.agg(*stats).withColumn("_k", F.lit(1))
+           .join(F.broadcast(df.agg(*dist).withColumn("_k", F.lit(1))), "_k"))
     parts = ", ".join(f"'{c}', _n{i}, _d{i}, _lo{i}, _hi{i}, _ls{i}, _hs{i}" for i, c in enumerate(cols))
     return one.selectExpr(
         "_rows AS row_count",

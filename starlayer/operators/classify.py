@@ -15,13 +15,22 @@ from starlayer.functions import lexicon as L
 
 
 def _hits(text: Column, words: list[str], lower: bool = True) -> Column:
-    t = F.lower(text) if lower else text
+    """Number of distinct ``words`` contained in ``text`` (already lower-cased
+    when ``lower``; keywords are lower-cased here)."""
     total = F.lit(0)
     for w in words:
-        total = total + F.when(t.contains(w.lower() if lower else w), 1).otherwise(0)
+        total = total + F.when(text.contains(w.lower() if lower else w), 1).otherwise(0)
     return total
 
 
+def _lowered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, lower-cased text and original text, computed once per row in their
+    own projection (the optimizer keeps an expensive expression that is used
+    many times in a separate projection instead of inlining it)."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return df.select(F.col(id_col), F.lower(t).alias("_lt"), t.alias("_t"))
+
+
 def tag_business_process(df: DataFrame, id_col: str, text_col: str, min_confidence: float = 0.5,
                          known: list[str] | None = None, lexicon: dict | None = None,
                          entities: list[str] | None = None) -> DataFrame:
@@ -37,24 +46,25 @@ def tag_business_process(df: DataFrame, id_col: str, text_col: str, min_confiden
     lexicon = lexicon or L.PROCESS_KEYWORDS
     entities = entities if entities is not None else L.ENTITY_HINTS
     known = known or []
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    procs = list(lexicon)
-    extra = [k for k in known if k not in lexicon]
-    structs = []
-    for rank, p in enumerate(procs + extra):
-        h = _hits(text, lexicon.get(p, []))
-        structs.append(F.struct(F.lit(p).alias("process"), F.lit(rank).alias("rank"), h.alias("hits")))
-    base = df.select(F.col(id_col), F.explode(F.array(*structs)).alias("_p"),
-                     _hits(text, entities, lower=False).alias("entity_hits"))
-    hits = F.col("_p.hits")
+    procs = list(lexicon) + [k for k in known if k not in lexicon]
+    low = _lowered(df, id_col, text_col)
+    counted = low.select(
+        id_col,
+        F.array(*[_hits(F.col("_lt"), lexicon.get(p, [])) for p in procs]).alias("_h"),
+        _hits(F.col("_t"), entities, lower=False).alias("entity_hits"))
+    names = F.array(*[F.lit(p) for p in procs])
+    # posexplode_outer: the array always has one slot per process, and the
+    # outer form stops the optimizer from inferring a size() filter that would
+    # re-evaluate every keyword below the projection.
+    base = counted.select(id_col, "entity_hits", F.posexplode_outer("_h").alias("_pos", "hits")) \
+        .withColumn("process", F.element_at(names, F.col("_pos") + 1))
+    hits = F.col("hits")
     c = F.least(F.lit(0.5) + F.lit(0.15) * hits.cast("double"), F.lit(0.95))
-    is_known = F.col("_p.process").isin(*known) if known else F.lit(False)
+    is_known = F.col("process").isin(*known) if known else F.lit(False)
     c = F.when(is_known & (hits == 0), F.lit(0.7)).when(is_known, F.least(c + F.lit(0.2), F.lit(0.99))).otherwise(c)
     e = F.col("entity_hits")
     c = F.when(e > 0, F.greatest(c - F.lit(0.05) * e.cast("double"), F.lit(0.3))).otherwise(c)
-    keep = (hits > 0) | is_known
-    out = base.filter(keep).select(id_col, F.col("_p.process").alias("process"), hits.alias("hits"),
-                                   "entity_hits", c.alias("confidence"))
+    out = base.filter((hits > 0) | is_known).select(id_col, "process", "hits", "entity_hits", c.alias("confidence"))
     return out.filter(F.col("confidence") >= F.lit(min_confidence)) \
         .withColumn("confidence", F.round("confidence", 4))
 
@@ -69,11 +79,11 @@ def tag_data_domain(df: DataFrame, id_col: str, text_col: str, lexicon: dict | N
     """P02 — domain with the most keyword hits per text; ties go to the earlier
     domain of the lexicon; no hit → ``uncategorized``. One projection."""
     lexicon = lexicon or L.DOMAIN_KEYWORDS
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.col("_lt")
     structs = [F.struct(_hits(text, kws).alias("hits"), F.lit(-rank).alias("neg_rank"), F.lit(dom).alias("domain"))
                for rank, (dom, kws) in enumerate(lexicon.items())]
     best = F.array_max(F.array(*structs))
-    return df.select(F.col(id_col), best.alias("_b")).select(
+    return _lowered(df, id_col, text_col).select(F.col(id_col), best.alias("_b")).select(
         id_col, F.when(F.col("_b.hits") > 0, F.col("_b.domain")).otherwise("uncategorized").alias("domain"),
         F.col("_b.hits").alias("hits"))
 

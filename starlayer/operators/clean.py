@@ -27,6 +27,7 @@ def dwd_standardize(df: DataFrame) -> DataFrame:
         F.lower(F.trim(F.col("order_status"))).alias("order_status"),
         "order_no",
         F.col("created_at").try_cast("timestamp_ntz").alias("created_at"),
+        *[c for c in df.columns if c not in TRADE_ORDER_COLUMNS],
     )
 
 
@@ -36,19 +37,22 @@ def dwd_filter_invalid(df: DataFrame, key: str = "order_id",
     return df.filter(F.col(key).isNotNull() & (F.col(amount) >= 0))
 
 
-def dwd_dedup_latest(df: DataFrame, key: str = "order_id", order=None) -> DataFrame:
+def dwd_dedup_latest(df: DataFrame, key: str = "order_id", order=None, colocate=()) -> DataFrame:
     """C04 — latest row per key under a total order.
 
     ``row_number() == 1`` lets Catalyst insert a partial window-group-limit
     before the shuffle, so only one candidate per key and partition moves.
+    ``colocate`` names columns that ``key`` functionally determines (e.g. the
+    order key inside an order-line id): partitioning by them as well lets the
+    window reuse an existing hash partitioning on those columns (no exchange).
     """
-    w = Window.partitionBy(key).orderBy(*(order or dedup_order()))
+    w = Window.partitionBy(*colocate, key).orderBy(*(order or dedup_order()))
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def dwd_trade_order(raw: DataFrame) -> DataFrame:
+def dwd_trade_order(raw: DataFrame, colocate=()) -> DataFrame:
     """C01 — the whole DWD step: standardise → filter → dedup."""
-    return dwd_dedup_latest(dwd_filter_invalid(dwd_standardize(raw)))
+    return dwd_dedup_latest(dwd_filter_invalid(dwd_standardize(raw)), colocate=colocate)
 
 
 def dwd_reject(raw: DataFrame, key: str = "order_id") -> DataFrame:

@@ -183,20 +183,21 @@ def bridge_build(df: DataFrame, group_key: str, member_key: str, weight_col: str
     """D12/D13 — bridge (group, member, weight): equal weights as
     decimal(18,4), the rounding remainder on the last member, so the weights of
     a group sum to exactly 1.
+
+    Members per group and the last member come from a grouped aggregate
+    (partial aggregation absorbs a hot group) joined back on the group key,
+    not from a window that would put a whole hot group in one task.
     """
     pairs = df.groupBy(group_key, member_key).agg(*(extra_aggs or [F.count(F.lit(1)).alias("_x")]))
     if not extra_aggs:
         pairs = pairs.drop("_x")
-    w = Window.partitionBy(group_key)
-    wo = Window.partitionBy(group_key).orderBy(member_key)
-    n = F.count(F.lit(1)).over(w)
-    rn = F.row_number().over(wo)
-    base = F.floor(F.lit(10000) / n) / F.lit(10000)
-    base = base.cast("decimal(18,4)")
+    per = pairs.groupBy(group_key).agg(F.count(F.lit(1)).alias("_n"), F.max(member_key).alias("_last"))
+    n = F.col("_n")
+    base = (F.floor(F.lit(10000) / n) / F.lit(10000)).cast("decimal(18,4)")
     last = (F.lit(1).cast("decimal(18,4)") - base * (n - 1)).cast("decimal(18,4)")
-    return (pairs.withColumn("_n", n).withColumn("_rn", rn)
-            .withColumn(weight_col, F.when(F.col("_rn") == F.col("_n"), last).otherwise(base))
-            .drop("_n", "_rn"))
+    return (pairs.join(per, group_key)
+            .withColumn(weight_col, F.when(F.col(member_key) == F.col("_last"), last).otherwise(base))
+            .drop("_n", "_last"))
 
 
 def bridge_build_m2n(df: DataFrame, a: str, b: str, date_col: str) -> DataFrame:

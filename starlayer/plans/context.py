@@ -32,6 +32,9 @@ class Ctx:
         return trade_order(self.t("orders"), self.t("lineitem"))
 
     def dwd(self) -> DataFrame:
+        # The dedup window gets its own exchange on order_id rather than
+        # reusing the join's order-key partitioning (``colocate``): a hot order
+        # key then stays splittable by AQE's skew-join handling.
         return clean.dwd_trade_order(self.trade_order())
 
     def dws(self, window_days: int | None = 30) -> DataFrame:

@@ -20,11 +20,13 @@ ORDERS_AS_OF = _dt.date(2001, 8, 1)
 EVENTS_AS_OF = _dt.date(2024, 1, 30)
 
 
-def trade_order(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def trade_order(orders: DataFrame, lineitem: DataFrame, keep_order_key: bool = False) -> DataFrame:
     """S01 — item-grain order source from ``lineitem ⋈ orders``.
 
     Both sides are large at scale, so this is a shuffle (sort-merge) join on the
     order key; only the nine needed columns are read from parquet.
+    ``keep_order_key`` also returns the join key as ``_order_key`` so a later
+    per-order step can reuse the join's partitioning instead of reshuffling.
     """
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -47,6 +49,7 @@ def trade_order(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         status.alias("order_status"),
         F.concat(F.lit("NO"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0")).alias("order_no"),
         F.col("l_shipdate").alias("created_at"),
+        *([F.col("l_orderkey").alias("_order_key")] if keep_order_key else []),
     )
 
 
