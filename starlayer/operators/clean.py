@@ -58,17 +58,17 @@ def dwd_trade_order(raw: DataFrame, colocate=()) -> DataFrame:
 def dwd_reject(raw: DataFrame, key: str = "order_id") -> DataFrame:
     """C05 — rows C03/C04 remove with a reason; kept + rejected = input.
 
-    One window over the rows with a key; NULL keys never enter the window's
-    partitioning (they are tagged before), so they cannot form a hot partition.
+    ``superseded`` = valid rows minus the kept rows as a multiset
+    (``exceptAll``): a grouped count per distinct row, so even a key holding a
+    large share of the rows is aggregated map-side instead of being sorted in
+    one window task. NULL keys are tagged before any key partitioning.
     """
     std = dwd_standardize(raw)
-    valid = F.col(key).isNotNull() & (F.col("order_amount") >= 0)
+    valid = std.filter(F.col(key).isNotNull() & (F.col("order_amount") >= 0))
     no_key = std.filter(F.col(key).isNull()).withColumn("reject_reason", F.lit("null_key"))
     bad = std.filter(F.col(key).isNotNull() & ~F.coalesce(F.col("order_amount") >= 0, F.lit(False))) \
         .withColumn("reject_reason", F.lit("bad_amount"))
-    w = Window.partitionBy(key).orderBy(*dedup_order())
-    sup = (std.filter(valid).withColumn("_rn", F.row_number().over(w))
-           .filter("_rn > 1").drop("_rn").withColumn("reject_reason", F.lit("superseded")))
+    sup = valid.exceptAll(dwd_dedup_latest(valid, key)).withColumn("reject_reason", F.lit("superseded"))
     return no_key.unionByName(bad).unionByName(sup)
 
 

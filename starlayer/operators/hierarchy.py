@@ -30,49 +30,52 @@ def hier_flatten(edges: DataFrame, node: str = "node_id", parent: str = "parent_
 
 
 def hier_closure(edges: DataFrame, node: str = "node_id", parent: str = "parent_id",
-                 max_depth: int = 64, checkpoint: bool = True) -> DataFrame:
+                 max_depth: int = 64, workdir: str | None = None) -> DataFrame:
     """D18 — closure table (ancestor, descendant, distance); distance 0 = self.
 
-    Semi-naive expansion: each round joins only the newest frontier with the
-    edges (one equi join on the frontier's ancestor), so round *d* moves the
-    pairs at distance *d*, never the whole closure. The driver only asks
-    "any new pair?" per round. Lineage is cut with a reliable ``checkpoint()``
-    into the session's checkpoint folder. A node that reaches itself (a cycle)
-    or a walk longer than ``max_depth`` is reported with distance −1 instead of
-    looping forever.
+    Semi-naive expansion: round *d* joins only the pairs found in round
+    *d − 1* with the edges (one equi join on the frontier's ancestor), so each
+    closure pair moves once. Every round is written as a table under the
+    session's checkpoint folder and the next round reads it back: lineage
+    stays one round long, a lost executor recomputes at most one round, and
+    nothing is cached. The driver only asks "any new pair?" per round. A node
+    that reaches itself (a cycle) or a walk longer than ``max_depth`` is
+    reported with distance −1 instead of looping forever.
     """
+    from starlayer.session import scratch_dir
+
+    spark = edges.sparkSession
+    base = workdir or scratch_dir(spark, "closure")
     e = edges.filter(F.col(parent).isNotNull()).select(F.col(node).alias("_c"), F.col(parent).alias("_p"))
     nodes = edges.select(F.col(node).alias("descendant")).distinct()
-    self_pairs = nodes.select(F.col("descendant").alias("ancestor"), "descendant",
-                              F.lit(0).alias("distance"))
+    self_pairs = nodes.select(F.col("descendant").alias("ancestor"), "descendant", F.lit(0).alias("distance"))
     frontier = e.select(F.col("_p").alias("ancestor"), F.col("_c").alias("descendant"),
                         F.lit(1).alias("distance"))
-    parts = [self_pairs]
-    errors = None
+    rounds = []
     d = 1
     while True:
-        if checkpoint:
-            frontier = frontier.checkpoint()
-        cyc = frontier.filter(F.col("ancestor") == F.col("descendant"))
-        ok = frontier.filter(F.col("ancestor") != F.col("descendant"))
-        bad = cyc.select(F.col("descendant").alias("ancestor"), "descendant", F.lit(-1).alias("distance"))
-        errors = bad if errors is None else errors.unionByName(bad)
-        parts.append(ok)
-        if ok.isEmpty():
-            break
-        if d >= max_depth:
-            over = ok.select(F.lit(None).cast(ok.schema["ancestor"].dataType).alias("ancestor"),
-                             "descendant", F.lit(-1).alias("distance")).distinct()
-            errors = errors.unionByName(over)
+        path = f"{base}/round={d:04d}"
+        frontier.write.mode("overwrite").parquet(path)
+        done = spark.read.parquet(path)
+        rounds.append(path)
+        ok = done.filter(F.col("ancestor") != F.col("descendant"))
+        if ok.isEmpty() or d >= max_depth:
             break
         frontier = (ok.join(e, ok["ancestor"] == e["_c"])
-                    .select(F.col("_p").alias("ancestor"), "descendant",
-                            (F.col("distance") + 1).alias("distance")))
+                    .select(F.col("_p").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance")))
         d += 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.unionByName(errors.distinct())
+    walked = spark.read.parquet(*rounds).select("ancestor", "descendant", "distance")
+    pairs = walked.filter(F.col("ancestor") != F.col("descendant"))
+    cycles = walked.filter(F.col("ancestor") == F.col("descendant")).select(
+        "ancestor", "descendant", F.lit(-1).alias("distance"))
+    out = self_pairs.unionByName(pairs).unionByName(cycles.distinct())
+    last = spark.read.parquet(rounds[-1])
+    if d >= max_depth and not last.filter(F.col("ancestor") != F.col("descendant")).isEmpty():
+        over = last.filter(F.col("ancestor") != F.col("descendant")).select(
+            F.lit(None).cast(last.schema["ancestor"].dataType).alias("ancestor"), "descendant",
+            F.lit(-1).alias("distance")).distinct()
+        out = out.unionByName(over)
+    return out
 
 
 def hier_depth(closure: DataFrame) -> DataFrame:
