@@ -111,28 +111,28 @@ def domain_summary(tags: DataFrame, lexicon: dict | None = None, warn_domains: i
 
 
 def bus_matrix_long(facts: DataFrame, process_col: str, dims: dict[str, DataFrame]) -> DataFrame:
-    """P03 (long form) — for each process and dimension: whether the process
-    rows carry a non-NULL key that resolves in the dimension.
+    """P03 (long form) — for each process and dimension: how many distinct
+    non-NULL keys of the process rows resolve in the dimension, and ``used``.
 
     ``facts`` has one column per dimension key (named like the dimension);
-    ``dims`` maps a dimension name to a one-column frame of its keys. Keys are
-    first reduced to distinct (process, key) pairs — bounded by the dimension
-    size, not the fact size — then semi-joined to the dimension.
+    ``dims`` maps a dimension name to a one-column frame of its keys. One pass
+    over the facts: the key columns are unpivoted with ``stack`` and reduced
+    to distinct (process, dimension, key) — bounded by the dimension sizes, not
+    the fact size — then left-joined to the union of dimension keys.
     """
-    parts = []
-    for dim, keys in dims.items():
-        k = keys.select(F.col(keys.columns[0]).cast("string").alias("_key")).distinct()
-        pk = facts.select(F.col(process_col).alias("process"), F.col(dim).cast("string").alias("_key")) \
-            .dropna().distinct()
-        used = pk.join(k, "_key", "left_semi").groupBy("process").agg(F.count(F.lit(1)).alias("resolved_keys"))
-        allp = facts.select(F.col(process_col).alias("process")).distinct()
-        parts.append(allp.join(used, "process", "left").select(
-            "process", F.lit(dim).alias("dimension"),
-            F.coalesce(F.col("resolved_keys"), F.lit(0)).alias("resolved_keys")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("used", F.col("resolved_keys") > 0)
+    names = list(dims)
+    pairs = ", ".join(f"'{d}', CAST(`{d}` AS STRING)" for d in names)
+    stacked = facts.selectExpr(f"`{process_col}` AS process",
+                               f"stack({len(names)}, {pairs}) AS (dimension, _key)").distinct()
+    keys = None
+    for d, frame in dims.items():
+        k = frame.select(F.lit(d).alias("dimension"), F.col(frame.columns[0]).cast("string").alias("_dkey"))
+        keys = k if keys is None else keys.unionByName(k)
+    keys = keys.dropna().distinct()
+    j = stacked.join(keys, (stacked["dimension"] == keys["dimension"]) & (stacked["_key"] == keys["_dkey"]), "left")
+    return (j.groupBy("process", stacked["dimension"])
+            .agg(F.countDistinct("_dkey").alias("resolved_keys"))
+            .withColumn("used", F.col("resolved_keys") > 0))
 
 
 def bus_matrix(long: DataFrame, dims: list[str]) -> DataFrame:

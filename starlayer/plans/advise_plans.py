@@ -345,19 +345,24 @@ _BUS_DIMS = ["customer", "part", "supplier", "date", "return_reason"]
 
 
 def _bus_facts(c):
-    li = c.t("lineitem")
+    """One row per (line, process) from a single scan of lineitem ⋈ orders:
+    every line is an order and a shipment, returned lines also a return."""
+    li = c.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
     o = c.t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
-    base = [F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("part"),
-            F.col("l_suppkey").alias("supplier")]
-    order = j.select(F.lit("order").alias("process"), *base, F.col("o_orderdate").cast("date").alias("date"),
-                     F.lit(None).cast("string").alias("return_reason"))
-    ship = j.select(F.lit("ship").alias("process"), *base, F.col("l_shipdate").cast("date").alias("date"),
-                    F.lit(None).cast("string").alias("return_reason"))
-    ret = j.filter(F.col("l_returnflag") == "R").select(
-        F.lit("return").alias("process"), *base, F.col("l_shipdate").cast("date").alias("date"),
-        F.col("l_returnflag").alias("return_reason"))
-    return order.unionByName(ship).unionByName(ret)
+    none = F.lit(None).cast("string")
+    tags = F.array(
+        F.struct(F.lit("order").alias("process"), F.col("o_orderdate").cast("date").alias("date"),
+                 none.alias("return_reason")),
+        F.struct(F.lit("ship").alias("process"), F.col("l_shipdate").cast("date").alias("date"),
+                 none.alias("return_reason")),
+        F.when(F.col("l_returnflag") == "R",
+               F.struct(F.lit("return").alias("process"), F.col("l_shipdate").cast("date").alias("date"),
+                        F.col("l_returnflag").alias("return_reason"))))
+    return (j.select(F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("part"),
+                     F.col("l_suppkey").alias("supplier"), F.explode(tags).alias("_t"))
+            .filter(F.col("_t").isNotNull())
+            .select("_t.process", "customer", "part", "supplier", "_t.date", "_t.return_reason"))
 
 
 def _bus_dims(c):

@@ -37,6 +37,17 @@ class Ctx:
         # key then stays splittable by AQE's skew-join handling.
         return clean.dwd_trade_order(self.trade_order())
 
+    def dwd_table(self) -> DataFrame:
+        """DWD written once as a table under the checkpoint folder and read
+        back — for queries that consume the layer several times (reports),
+        as a warehouse would read its persisted DWD layer."""
+        if getattr(self, "_dwd_table", None) is None:
+            from starlayer.session import scratch_dir
+            path = scratch_dir(self.spark, "dwd")
+            self.dwd().write.mode("overwrite").parquet(path)
+            self._dwd_table = self.spark.read.parquet(path)
+        return self._dwd_table
+
     def dws(self, window_days: int | None = 30) -> DataFrame:
         return layers.dws_trade_order_1d(self.dwd(), self.as_of, window_days)
 

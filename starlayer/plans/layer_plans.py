@@ -220,9 +220,12 @@ FROM dwd WHERE order_date <= {ORDERS_AS_OF}
 GROUP BY {pk}, merchant_id{extra}"""
 
 
-for _p in ("1d", "1w", "1m", "td"):
+for _p in ("", "1d", "1w", "1m", "td"):
     def _mk(p):
-        @register(f"dws_subject_rollup_{p}", _rollup_sql(p, "order_status"))
+        key = f"dws_subject_rollup_{p}" if p else "dws_subject_rollup"
+        p = p or "1d"
+
+        @register(key, _rollup_sql(p, "order_status"))
         def _q(c):
             return layers.dws_subject_rollup(c.dwd(), "merchant_id", ["order_status"], p, c.as_of)
     _mk(_p)

@@ -54,23 +54,26 @@ def _recon_count(c):
     return q.recon_count(c.trade_order(), c.dwd())
 
 
-for _tbl in ("raw", "dwd"):
+for _tbl in ("raw", "dwd", ""):
     def _mk(tbl):
-        src_sql = "trade_order" if tbl == "raw" else "dwd"
-        pre = with_(TRADE_ORDER) if tbl == "raw" else with_(*ORDER_CHAIN)
+        # "" = the plain key, on the dirty source (checks on clean tables are 0)
+        raw = tbl in ("raw", "")
+        src_sql = "trade_order" if raw else "dwd"
+        pre = with_(TRADE_ORDER) if raw else with_(*ORDER_CHAIN)
+        sfx = f"_{tbl}" if tbl else ""
 
         def frame(c):
-            return c.trade_order() if tbl == "raw" else c.dwd()
+            return c.trade_order() if raw else c.dwd()
 
-        register(f"edge_null_pk_{tbl}", pre + f"SELECT COUNT(*) AS null_pk_count FROM {src_sql} WHERE order_id IS NULL")(
+        register(f"edge_null_pk{sfx}", pre + f"SELECT COUNT(*) AS null_pk_count FROM {src_sql} WHERE order_id IS NULL")(
             lambda c: q.edge_null_pk(frame(c)))
-        register(f"edge_dup_pk_{tbl}", pre + f"""SELECT order_id, COUNT(*) AS dup_count FROM {src_sql}
+        register(f"edge_dup_pk{sfx}", pre + f"""SELECT order_id, COUNT(*) AS dup_count FROM {src_sql}
 GROUP BY order_id HAVING COUNT(*) > 1""")(lambda c: q.edge_dup_pk(frame(c)))
-        register(f"edge_negative_{tbl}", pre + f"""SELECT COUNT(*) AS negative_amount_count FROM {src_sql}
+        register(f"edge_negative{sfx}", pre + f"""SELECT COUNT(*) AS negative_amount_count FROM {src_sql}
 WHERE order_amount < 0""")(lambda c: q.edge_negative(frame(c)))
-        register(f"edge_zero_{tbl}", pre + f"""SELECT COUNT(*) AS zero_amount_count FROM {src_sql}
+        register(f"edge_zero{sfx}", pre + f"""SELECT COUNT(*) AS zero_amount_count FROM {src_sql}
 WHERE order_amount = 0""")(lambda c: q.edge_zero(frame(c)))
-        register(f"edge_future_date_{tbl}", pre + f"""SELECT COUNT(*) AS future_date_count FROM {src_sql}
+        register(f"edge_future_date{sfx}", pre + f"""SELECT COUNT(*) AS future_date_count FROM {src_sql}
 WHERE order_date > {ORDERS_AS_OF}""")(lambda c: q.edge_future_date(frame(c), c.as_of))
     _mk(_tbl)
 
@@ -173,18 +176,20 @@ def _report_consistency(c):
 
 
 def _layer_totals(c):
-    dwd = c.dwd()
-    win = dwd.filter(F.col("order_date") >= F.date_sub(F.lit(c.as_of), 30))
-    dws = c.dws(30)
-    dws_all = c.dws(None)
     from starlayer.operators import layers
+    dwd = c.dwd_table()
+    win = dwd.filter(F.col("order_date") >= F.date_sub(F.lit(c.as_of), 30))
+    dws = layers.dws_trade_order_1d(dwd, c.as_of, 30)
+    dws_all = layers.dws_trade_order_1d(dwd, c.as_of, None)
     return q.layer_totals(win, dws, layers.ads_trade_summary(dws),
                           layers.dwt_user_topic(dws_all, c.as_of), dws_all)
 
 
 @register("report_performance")
 def _report_performance(c):
-    return q.report_performance(c.dwd())
+    """The timed count+sum probe over the stored DWD table (as the rule times
+    a query on the built layer, not the build)."""
+    return q.report_performance(c.dwd_table())
 
 
 @register("quality_report", _CONSISTENCY_SQL + """
@@ -206,8 +211,8 @@ u AS (SELECT * FROM acc UNION ALL SELECT * FROM com UNION ALL SELECT * FROM con)
 SELECT * FROM u
 UNION ALL SELECT 'overall', NULL, COALESCE(BOOL_AND(passed), FALSE), COUNT(score) || ' dimensions scored' FROM u""")
 def _quality_report(c):
-    acc = q.report_accuracy(q.recon_count(c.trade_order(), c.dwd()))
-    com = q.report_completeness(q.completeness_counts(c.dwd()))
+    acc = q.report_accuracy(q.recon_count(c.trade_order(), c.dwd_table()))
+    com = q.report_completeness(q.completeness_counts(c.dwd_table()))
     con = q.report_consistency(_layer_totals(c))
     return q.quality_report(acc, com, con)
 
@@ -215,7 +220,7 @@ def _quality_report(c):
 @register("quality_report_full")
 def _quality_report_full(c):
     """All four dimensions including the timed one (rows-only check)."""
-    acc = q.report_accuracy(q.recon_count(c.trade_order(), c.dwd()))
-    com = q.report_completeness(q.completeness_counts(c.dwd()))
+    acc = q.report_accuracy(q.recon_count(c.trade_order(), c.dwd_table()))
+    com = q.report_completeness(q.completeness_counts(c.dwd_table()))
     con = q.report_consistency(_layer_totals(c))
-    return q.quality_report(acc, com, con, q.report_performance(c.dwd()))
+    return q.quality_report(acc, com, con, q.report_performance(c.dwd_table()))

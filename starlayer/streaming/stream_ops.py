@@ -108,6 +108,17 @@ def stream_dwd_latest(stream: DataFrame, out_base: str, checkpoint: str, key: st
     return table
 
 
+def stream_dwd_dedup(stream: DataFrame, out_path: str, checkpoint: str, key: str, ts: str,
+                     delay: str = "1 day") -> DataFrame:
+    """Streaming landing that drops re-delivered rows: ``dropDuplicatesWithinWatermark``
+    keeps the first row per ``key`` while it is inside the watermark delay
+    (state is evicted after it), appended to a parquet table."""
+    s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) \
+        .dropDuplicatesWithinWatermark([key])
+    run_available_now(s.writeStream.format("parquet").option("path", out_path).outputMode("append"), checkpoint)
+    return stream.sparkSession.read.schema(s.schema).parquet(out_path)
+
+
 def stream_dws_1d(events: DataFrame, out_base: str, checkpoint: str, delay: str = "1 day") -> VersionedTable:
     """Streaming daily summary: tumbling one-day event-time windows per event
     type with a watermark; updated windows are upserted per micro-batch."""
