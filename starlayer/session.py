@@ -58,3 +58,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(input_bytes: int | None = None) -> dict[str, str]:
+    """Recommended settings for a large cluster: AQE re-plans with runtime
+    sizes (coalescing small partitions, splitting skewed join partitions);
+    the initial shuffle partition count is sized from the input so that no
+    reducer starts with more than a few GB."""
+    initial = 2000 if input_bytes is None else max(200, int(input_bytes / (512 * 1024 * 1024)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.session.timeZone": "UTC",
+    }
