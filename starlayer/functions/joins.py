@@ -28,3 +28,11 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (a global aggregate) to every row
+    of ``df`` through one scalar subquery — evaluated once, no join."""
+    s = one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]).alias("_s")).scalar()
+    return df.select("*", s.alias("_scalars")).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col("_scalars").getField(c).alias(c) for c in one_row.columns])

@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType
 
 from starlayer.functions import lexicon as L
 from starlayer.functions.exprs import ratio
+from starlayer.functions.joins import with_scalars
 
 
 def _kw_hit(name: str, words: list[str]) -> bool:
@@ -45,8 +46,7 @@ def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool =
         else:
             stats += [F.lit(None).cast("double").alias(f"_lo{i}"), F.lit(None).cast("double").alias(f"_hi{i}"),
                       F.min(col).cast("string").alias(f"_ls{i}"), F.max(col).cast("string").alias(f"_hs{i}")]
-    one = (df.agg(*stats).withColumn("_k", F.lit(1))
-           .join(F.broadcast(df.agg(*dist).withColumn("_k", F.lit(1))), "_k"))
+    one = with_scalars(df.agg(*stats), df.agg(*dist))
     parts = ", ".join(f"'{c}', _n{i}, _d{i}, _lo{i}, _hi{i}, _ls{i}, _hs{i}" for i, c in enumerate(cols))
     return one.selectExpr(
         "_rows AS row_count",
@@ -139,7 +139,7 @@ def advise_mini(dim: DataFrame, key: str, attrs: list[str], change_log: DataFram
     if change_log is not None:
         s = change_stats(change_log, log_key, log_date, log_attrs)
         avg = s.select("avg_changes_per_key")
-        base = rows.withColumn("_k", F.lit(1)).join(F.broadcast(avg.withColumn("_k", F.lit(1))), "_k").drop("_k")
+        base = with_scalars(rows, avg)
     else:
         base = rows.withColumn("avg_changes_per_key", F.lit(0.0))
     freq = _freq_level(F.col("avg_changes_per_key"), low, high)
@@ -163,7 +163,7 @@ def advise_multivalue(df: DataFrame, a: str, b: str, array_max: float = L.MULTIV
     per_b = pairs.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
     sa = per_a.agg(F.sum("_n").alias("pairs"), F.count(F.lit(1)).alias("a_keys"), F.max("_n").alias("max_b_per_a"))
     sb = per_b.agg(F.count(F.lit(1)).alias("b_keys"), F.max("_n").alias("max_a_per_b"))
-    s = sa.withColumn("_k", F.lit(1)).join(F.broadcast(sb.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    s = with_scalars(sa, sb)
     avg_b = ratio(F.col("pairs"), F.col("a_keys"), 4)
     rel = (F.when(F.col("max_b_per_a") <= 1, "n:1").when(F.col("max_a_per_b") <= 1, "1:n").otherwise("m:n"))
     rule = F.when(rel == "n:1", 1).when((rel == "1:n") & (avg_b <= array_max), 2) \
@@ -212,7 +212,7 @@ def advise_fact_type(events: DataFrame, key: str, process: str, ts: str, end_pro
                    F.count(F.lit(1)).alias("rows"),
                    F.countDistinct(F.col(ts).cast("date")).alias("days"),
                    F.max(snap).alias("snapshot_like"))
-    s = g.withColumn("_k", F.lit(1)).join(F.broadcast(k.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    s = with_scalars(g, k)
     share = ratio(F.col("keys_with_intervals"), F.col("keys"), 4)
     intervals = F.coalesce(share > interval_share, F.lit(False))
     end = F.col("keys_at_end") > 0

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlayer.functions import lexicon as L
+from starlayer.functions.joins import with_scalars
 
 
 def _hits(text: Column, words: list[str], lower: bool = True) -> Column:
@@ -147,6 +148,6 @@ def bus_matrix_shared(long: DataFrame) -> DataFrame:
     n = long.select("process").distinct().agg(F.count(F.lit(1)).alias("_np"))
     g = long.groupBy("dimension").agg(F.count(F.when(F.col("used"), 1)).alias("processes_using"),
                                       F.max(F.when(F.col("used"), F.col("process"))).alias("_any"))
-    j = g.withColumn("_k", F.lit(1)).join(F.broadcast(n.withColumn("_k", F.lit(1))), "_k")
+    j = with_scalars(g, n)
     return j.select("dimension", "processes_using", (F.col("processes_using") == F.col("_np")).alias("shared"),
                     F.when(F.col("processes_using") == 1, F.col("_any")).alias("only_process"))

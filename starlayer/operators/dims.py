@@ -67,6 +67,8 @@ def scd2_merge(dim: DataFrame, batch: DataFrame, key: str, date_col: str, attrs:
     rebuilt for them; all other rows pass through untouched. A changed current
     row is closed on the first change date and the new row opens that day.
     Applying batches in order equals :func:`scd2_build` over the whole log.
+    ``dim`` is read several times (closed rows, current rows, their dates):
+    pass the stored table of the previous run, not an unmaterialised plan.
     """
     closed = dim.filter(~F.col("is_current"))
     cur = dim.filter(F.col("is_current"))

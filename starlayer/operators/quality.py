@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import lit_date
+from starlayer.functions.joins import with_scalars
 
 
 def _c(x) -> Column:
@@ -114,12 +115,10 @@ def edge_skew(df: DataFrame, key: str, factor: float = 2.0) -> DataFrame:
     """Q21 — keys whose row count exceeds ``factor`` × the average per key.
 
     Per-key counts are a partial+final aggregate; the average is a one-row
-    aggregate of those counts, joined back on a constant key (broadcast of a
-    single row).
+    aggregate of those counts attached as a scalar subquery (no join).
     """
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
-    avg = per.agg(F.avg("row_count").alias("avg_count")).withColumn("_k", F.lit(1))
-    j = per.withColumn("_k", F.lit(1)).join(F.broadcast(avg), "_k").drop("_k")
+    j = with_scalars(per, per.agg(F.avg("row_count").alias("avg_count")))
     return (j.filter(F.col("row_count") > F.col("avg_count") * F.lit(factor))
             .select(key, "row_count", F.round("avg_count", 4).alias("avg_count"),
                     F.round(F.col("row_count") / F.col("avg_count"), 4).alias("skew_ratio")))

@@ -8,6 +8,8 @@ from starlayer.operators import dims as d
 from starlayer.operators import hierarchy as h
 from starlayer.plans import context as cx
 from starlayer.plans.catalog import register
+from starlayer.session import scratch_dir
+from starlayer.sources.sinks import sink_overwrite_table
 from starlayer.plans.sqlbits import (
     ORDER_CHAIN, CHANGE_LOG, PART_EDGES, CLOSURE, D, B, versions_sql, with_,
 )
@@ -44,6 +46,9 @@ def _scd2_merge(c):
     dim = d.scd2_build(log.filter(dc < F.lit(cuts[0]).cast("date")), "customer_key", "change_date", _ATTRS)
     bounds = cuts + [None]
     for lo, hi in zip(bounds, bounds[1:]):
+        # each batch is a daily job: the dimension it reads is the stored
+        # table of the previous run (a new folder per version)
+        dim = sink_overwrite_table(dim, scratch_dir(c.spark, "scd2_dim"))
         pred = dc >= F.lit(lo).cast("date")
         if hi is not None:
             pred = pred & (dc < F.lit(hi).cast("date"))

@@ -128,10 +128,10 @@ def _compact_files(c):
     b, a = s.file_stats(before), s.file_stats(after)
     rb = before.agg(F.count(F.lit(1)).alias("rows_before"))
     ra = after.agg(F.count(F.lit(1)).alias("rows_after"))
-    one = F.lit(1)
-    return (b.select(F.col("files").alias("files_before"), one.alias("_k"))
-            .join(a.select(F.col("files").alias("files_after"), one.alias("_k")), "_k")
-            .join(rb.withColumn("_k", one), "_k").join(ra.withColumn("_k", one), "_k").drop("_k"))
+    from starlayer.functions.joins import with_scalars
+    out = with_scalars(b.select(F.col("files").alias("files_before")),
+                       a.select(F.col("files").alias("files_after")))
+    return with_scalars(with_scalars(out, rb), ra)
 
 
 @register("read_partition_window", with_(*ORDER_CHAIN) + f"""
