@@ -218,8 +218,8 @@ r AS (SELECT *, CASE WHEN processes = 0 THEN 0
 SELECT processes, keys, interval_share, keys_at_end, rows_per_day,
        CASE WHEN rule = 1 THEN 'accumulating_snapshot' WHEN rule = 2 THEN 'periodic_snapshot' ELSE 'transaction' END
          AS fact_type,
-       CASE rule WHEN 0 THEN 0.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 WHEN 3 THEN 0.9 WHEN 4 THEN 0.7 ELSE 0.6 END
-         AS confidence, rule
+       CAST(CASE rule WHEN 0 THEN 0.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 WHEN 3 THEN 0.9 WHEN 4 THEN 0.7 ELSE 0.6 END
+            AS DOUBLE) AS confidence, rule
 FROM r"""
 
 
