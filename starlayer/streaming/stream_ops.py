@@ -122,12 +122,16 @@ def stream_dwd_dedup(stream: DataFrame, out_path: str, checkpoint: str, key: str
 def stream_dws_1d(events: DataFrame, out_base: str, checkpoint: str, delay: str = "1 day") -> VersionedTable:
     """Streaming daily summary: tumbling one-day event-time windows per event
     type with a watermark; updated windows are upserted per micro-batch."""
-    # Event time must be a TIMESTAMP for watermarks; NTZ is read as UTC.
-    ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    # Event time must be a TIMESTAMP for watermarks. The wall-clock (NTZ) time
+    # is mapped to the instant with the same UTC reading, so day windows are
+    # wall-clock days whatever the session time zone.
+    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    ev = events.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz))
+    day = F.expr("date_from_unix_date(CAST(unix_seconds(w.start) DIV 86400 AS INT))")
     agg = (ev.withWatermark("ts", delay)
            .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"))
-           .select(F.col("w.start").cast("date").alias("day"), "event_type", "events", "value_sum"))
+           .select(day.alias("day"), "event_type", "events", "value_sum"))
     schema = "day date, event_type string, events bigint, value_sum decimal(28,2)"
     from pyspark.sql.types import _parse_datatype_string
     table = VersionedTable(events.sparkSession, out_base, _parse_datatype_string(schema))
