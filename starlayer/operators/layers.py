@@ -176,13 +176,12 @@ def dws_exact_distinct_guard(dwd: DataFrame, number: str = "order_no") -> DataFr
     """G13 — per date: exact distinct numbers next to the (wrong) sum of
     per-(date, user, merchant) distinct counts, and the overcount.
 
-    Both sides aggregate the same scan; each distinct count is planned as a
-    two-phase aggregate (partial on the number, no global collect).
+    One pass: the distinct (date, user, merchant, number) tuples are built once
+    (partial aggregation before the shuffle); the summed count is the number of
+    such tuples per date and the exact count their distinct numbers per date.
     """
-    exact = dwd.groupBy("order_date").agg(F.countDistinct(number).alias("exact_cnt"))
-    per_group = (dwd.groupBy("order_date", "user_id", "merchant_id")
-                 .agg(F.countDistinct(number).alias("g"))
-                 .groupBy("order_date").agg(F.sum("g").cast("bigint").alias("summed_cnt")))
-    return (exact.join(per_group, "order_date", "inner")
-            .select("order_date", F.col("exact_cnt").cast("bigint").alias("exact_cnt"), "summed_cnt",
-                    (F.col("summed_cnt") - F.col("exact_cnt")).cast("bigint").alias("overcount")))
+    t = dwd.select("order_date", "user_id", "merchant_id", number).dropna(subset=[number]).distinct()
+    g = t.groupBy("order_date").agg(F.countDistinct(number).cast("bigint").alias("exact_cnt"),
+                                    F.count(F.lit(1)).cast("bigint").alias("summed_cnt"))
+    return g.select("order_date", "exact_cnt", "summed_cnt",
+                    (F.col("summed_cnt") - F.col("exact_cnt")).cast("bigint").alias("overcount"))
