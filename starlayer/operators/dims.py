@@ -74,14 +74,23 @@ def scd2_merge(dim: DataFrame, batch: DataFrame, key: str, date_col: str, attrs:
     cur = dim.filter(F.col("is_current"))
     # Rerun safety: only changes after a key's current version count; a batch
     # applied twice (or a late re-delivery) leaves the table unchanged.
-    eff = cur.select(key, F.col("effective_date").alias("_eff"))
-    b = (batch.select(key, *attrs, date_col).join(eff, key, "left")
-         .filter(F.col("_eff").isNull() | (F.col(date_col).cast("date") > F.col("_eff"))).drop("_eff"))
-    touched = b.select(key).distinct()
-    cur_keep = cur.join(touched, key, "left_anti")
-    cur_redo = cur.join(touched, key, "left_semi").select(
+    # Keys are renamed on the side derived from ``dim`` so no join compares a
+    # lineage with itself (self-join attribute ambiguity).
+    eff = cur.select(F.col(key).alias("_ek"), F.col("effective_date").alias("_eff"))
+    bb = batch.select(key, *attrs, date_col)
+    b = (bb.join(eff, bb[key] == eff["_ek"], "left")
+         .filter(F.col("_eff").isNull() | (F.col(date_col).cast("date") > F.col("_eff"))).drop("_ek", "_eff"))
+    touched = b.select(F.col(key).alias("_tk")).distinct()
+    cur_keep = cur.join(touched, cur[key] == touched["_tk"], "left_anti")
+    cur_redo = cur.join(touched, cur[key] == touched["_tk"], "left_semi").select(
         key, *attrs, F.col("effective_date").alias(date_col))
-    redo = scd_versions(cur_redo.unionByName(b), key, date_col, attrs)
+    # The union (touched keys only, small) is checkpointed: with
+    # spark.sql.unionOutputPartitioning (on by default in Spark 4.1) the window
+    # trusted the union of two key-partitioned children to be partitioned by
+    # the key and produced duplicate chains when AQE read the children with
+    # different partition layouts (found by a property test). A reliable
+    # checkpoint gives the window a plain input and its own exchange.
+    redo = scd_versions(cur_redo.unionByName(b).checkpoint(), key, date_col, attrs)
     return closed.unionByName(cur_keep).unionByName(redo)
 
 
