@@ -90,6 +90,8 @@ def scd2_merge(dim: DataFrame, batch: DataFrame, key: str, date_col: str, attrs:
     # the key and produced duplicate chains when AQE read the children with
     # different partition layouts (found by a property test). A reliable
     # checkpoint gives the window a plain input and its own exchange.
+    from starlayer.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(dim.sparkSession)
     redo = scd_versions(cur_redo.unionByName(b).checkpoint(), key, date_col, attrs)
     return closed.unionByName(cur_keep).unionByName(redo)
 
