@@ -31,11 +31,25 @@ class Ctx:
     def trade_order(self) -> DataFrame:
         return trade_order(self.t("orders"), self.t("lineitem"))
 
-    def dwd(self) -> DataFrame:
-        # The dedup window gets its own exchange on order_id rather than
-        # reusing the join's order-key partitioning (``colocate``): a hot order
-        # key then stays splittable by AQE's skew-join handling.
-        return clean.dwd_trade_order(self.trade_order())
+    def dwd(self, since=None) -> DataFrame:
+        """DWD from the raw tables. ``since`` keeps order dates >= since *before*
+        the dedup: order_id determines the order and so its date, hence
+        filtering before or after the latest-row window gives the same rows,
+        but before it the filter reaches the orders scan and prunes the
+        lineitem side (runtime filter) instead of deduplicating all history.
+
+        The dedup window gets its own exchange on order_id rather than
+        reusing the join's order-key partitioning (``colocate``): a hot order
+        key then stays splittable by AQE's skew-join handling.
+        """
+        raw = self.trade_order()
+        if since is not None:
+            raw = raw.filter(F.col("order_date") >= F.lit(since))
+        return clean.dwd_trade_order(raw)
+
+    def dwd_window(self, days: int) -> DataFrame:
+        import datetime as _dt
+        return self.dwd(since=self.as_of - _dt.timedelta(days=days))
 
     def dwd_table(self) -> DataFrame:
         """DWD written once as a table under the checkpoint folder and read
@@ -49,7 +63,8 @@ class Ctx:
         return self._dwd_table
 
     def dws(self, window_days: int | None = 30) -> DataFrame:
-        return layers.dws_trade_order_1d(self.dwd(), self.as_of, window_days)
+        src = self.dwd() if window_days is None else self.dwd_window(window_days)
+        return layers.dws_trade_order_1d(src, self.as_of, window_days)
 
     def dwt(self) -> DataFrame:
         return layers.dwt_user_topic(self.dws(None), self.as_of)

@@ -32,7 +32,7 @@ SELECT merchant_id, {D('SUM(CASE WHEN order_status = ' + "'paid'" + ' THEN order
 FROM dwd WHERE order_date <= {ORDERS_AS_OF} AND order_date >= {ORDERS_AS_OF} - INTERVAL 29 DAY
 GROUP BY merchant_id""")
 def _metric_derived(c):
-    return m.metric_derived(c.dwd(), ["merchant_id"], m.DerivedMetric(GMV, (PAID,), "30d"), c.as_of)
+    return m.metric_derived(c.dwd_window(30), ["merchant_id"], m.DerivedMetric(GMV, (PAID,), "30d"), c.as_of)
 
 
 def _in(p):

@@ -82,7 +82,7 @@ WHERE order_date > {ORDERS_AS_OF}""")(lambda c: q.edge_future_date(frame(c), c.a
 SELECT order_date, COUNT(*) AS daily_count FROM dwd
 WHERE order_date >= {ORDERS_AS_OF} - INTERVAL 30 DAY GROUP BY order_date ORDER BY order_date DESC""")
 def _edge_daily_count(c):
-    return q.edge_daily_count(c.dwd(), c.as_of)
+    return q.edge_daily_count(c.dwd_window(30), c.as_of)
 
 
 @register("edge_date_gaps", with_(*ORDER_CHAIN) + """
