@@ -272,3 +272,17 @@ def test_accumulating_upsert_keeps_first_value(spark):
     full = facts.fact_accumulating(ev, "k", "p", "ts", ["a", "b"])
     inc = facts.fact_accumulating_batches(ev, "k", "p", "ts", ["a", "b"], ["2020-01-03", "2020-01-07"])
     assert rows(inc) == rows(full.select(*inc.columns))
+
+
+def test_window_filter_reaches_orders_scan(spark):
+    c = Ctx(spark, SF_SMALL)
+    plan = c.dws(30)._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.splitlines() if "orders.parquet" in ln]
+    assert scans and all("GreaterThanOrEqual(o_orderdate" in ln for ln in scans)
+
+
+def test_dwd_scan_is_pruned(spark):
+    c = Ctx(spark, SF_SMALL)
+    plan = c.dwd()._jdf.queryExecution().executedPlan().toString()
+    li = [ln for ln in plan.splitlines() if "lineitem.parquet" in ln][0]
+    assert "l_comment" not in li and "l_quantity" not in li and "l_extendedprice" in li
