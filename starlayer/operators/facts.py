@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlayer.functions.exprs import MONEY, in_period, lit_date, period_start, ratio
+from starlayer.functions.exprs import MONEY, in_period, lit_date, ratio
 
 
 def _c(x) -> Column:
@@ -260,5 +260,3 @@ def fact_per_process(df: DataFrame, process_col: str, path: str | None = None) -
     df.write.mode("overwrite").partitionBy(process_col).parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["period_start"]

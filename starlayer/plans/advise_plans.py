@@ -12,7 +12,7 @@ from starlayer.operators import hierarchy as h
 from starlayer.plans import context as cx
 from starlayer.plans.catalog import register
 from starlayer.plans.sqlbits import (
-    TRADE_ORDER, CHANGE_LOG, PART_EDGES, CLOSURE, LI_MONEY, R, D, versions_sql, with_,
+    TRADE_ORDER, CHANGE_LOG, PART_EDGES, CLOSURE, LI_MONEY, R, versions_sql, with_,
 )
 
 _PROFILE_COLS = ["order_id", "user_id", "order_date", "order_amount", "order_status", "created_at"]

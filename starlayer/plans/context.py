@@ -6,8 +6,6 @@ Catalyst sees one plan from the parquet scans to the query output.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType

@@ -9,7 +9,7 @@ from starlayer.operators import dims as dimops
 from starlayer.plans import context as cx
 from starlayer.plans.catalog import register
 from starlayer.plans.sqlbits import (
-    ORDER_CHAIN, ORDERS_AS_OF, EVENTS_AS_OF, CHANGE_LOG, EVENT_VALUES, SPARSE_DAY, DENSE_DAY, ORDER_LC,
+    ORDER_CHAIN, ORDERS_AS_OF, CHANGE_LOG, EVENT_VALUES, SPARSE_DAY, DENSE_DAY, ORDER_LC,
     EVENT_LC, LI_MONEY, ORDER_MS, EVENT_MS, R, D, B, acc_select, versions_sql, with_,
 )
 from starlayer.session import scratch_dir

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from starlayer.operators import quality as q
 from starlayer.plans.catalog import register
 from starlayer.plans.sqlbits import (
-    ORDER_CHAIN, ORDERS_AS_OF, TRADE_ORDER, D, B, dws_cte, ads_cte, dwt_cte, with_,
+    ORDER_CHAIN, ORDERS_AS_OF, TRADE_ORDER, D, dws_cte, ads_cte, dwt_cte, with_,
 )
 
 _TO_COLS = "order_id, user_id, item_id, merchant_id, order_date, order_amount, order_status, order_no, created_at"

@@ -10,7 +10,6 @@ equals the batch operator over the same input (tested).
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,6 +167,3 @@ def stream_scd2(changes: DataFrame, out_base: str, checkpoint: str, key: str, da
     run_available_now(changes.writeStream.foreachBatch(apply), checkpoint)
     return table
 
-
-def _exists(path: str) -> bool:
-    return os.path.exists(path)
