@@ -286,3 +286,18 @@ def test_dwd_scan_is_pruned(spark):
     plan = c.dwd()._jdf.queryExecution().executedPlan().toString()
     li = [ln for ln in plan.splitlines() if "lineitem.parquet" in ln][0]
     assert "l_comment" not in li and "l_quantity" not in li and "l_extendedprice" in li
+
+
+def test_with_scalars_attaches_one_row(spark):
+    from starlayer.functions.joins import with_scalars
+    df = spark.range(5).withColumnRenamed("id", "k")
+    out = with_scalars(df, df.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("mx")))
+    assert rows(out) == [(i, 5, 4) for i in range(5)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_edge_skew_flags_hot_key(spark):
+    df = spark.range(100).select(F.when(F.col("id") < 40, 0).otherwise(F.col("id")).alias("k"))
+    hot = quality.edge_skew(df, "k", 2.0).collect()
+    assert [(r.k, r.row_count) for r in hot] == [(0, 40)]
