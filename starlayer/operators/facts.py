@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import MONEY, in_period, lit_date, ratio
+from starlayer.session import ensure_checkpoint_dir
 
 
 def _c(x) -> Column:
@@ -166,6 +167,7 @@ def fact_accumulating_batches(events: DataFrame, key, process_col: str, ts_col:
             pred = pred & (F.col(ts_col) < F.lit(hi).cast("timestamp_ntz"))
         cur = fact_accumulating_upsert(cur, events.filter(pred), key, process_col, ts_col, milestones)
         if checkpoint_every and (i + 1) % checkpoint_every == 0:
+            ensure_checkpoint_dir(events.sparkSession)
             cur = cur.checkpoint()
     return cur
 

@@ -4,11 +4,16 @@ cluster)."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+#: scratch tables of this process, deleted at its end
+_SCRATCH: dict[str, SparkSession] = {}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "starlayer") -> SparkSession:
@@ -38,8 +43,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``; we only set our own when it
-    is unset (local tests), in a fresh scratch folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only a single-JVM session
+    (``local`` / ``local[N]``), where driver and executors are one process, may
+    fall back to a fresh scratch folder; any other master must name the folder,
+    since a machine-local one is not visible to the other machines.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,17 +54,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="starlayer-ckpt-", dir="/tmp")
+        conf_dir = _local_fallback(sc.master)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def _local_fallback(master: str) -> str:
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is not set and master {master!r} is not one local JVM: "
+                           "name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="starlayer-ckpt-", dir="/tmp")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint area for written tables."""
+    """A fresh folder under the shared checkpoint area for a written table.
+
+    The folder lives until ``drop_path`` or the end of the driver process.
+    """
     base = ensure_checkpoint_dir(spark)
-    import uuid
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(_drop_all)
+    _SCRATCH[path] = spark
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table through Hadoop's file system, so any store works."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _SCRATCH.pop(path, None)
+
 
-    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+def _drop_all() -> None:
+    for path, spark in list(_SCRATCH.items()):
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone; scratch only
+            return
 
 
 def cluster_conf(input_bytes: int | None = None) -> dict[str, str]:
