@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starlayer.llm import chat, langid, quality
+from starlayer.llm import chat, langid, quality, toxicity
 from starlayer.llm.common import table
 
 
@@ -24,8 +24,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op3(table(spark, sf_dir, "conversations"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_quality, op3_chat_format)
+    f.__name__: f for f in (op1_language_id, op2_line_quality, op3_chat_format, op8_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
