@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starlayer.llm import chat, langid, quality, toxicity
+from starlayer.llm import chat, langid, mixing, packing, quality, sharding, tokenbin, toxicity
 from starlayer.llm.common import table
 
 
@@ -24,12 +24,29 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op3(table(spark, sf_dir, "conversations"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op6(table(spark, sf_dir, "documents"))
+
+
+def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_quality, op3_chat_format, op8_toxicity)
+    f.__name__: f for f in (op1_language_id, op2_line_quality, op3_chat_format, op4_source_mix, op6_best_fit_pack,
+                             op7_hash_tree_shards, op8_toxicity, op9_token_orc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
