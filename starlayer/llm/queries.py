@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starlayer.llm import chat, langid, mixing, packing, quality, sharding, tokenbin, toxicity
+from starlayer.llm import chat, jaccard, langid, mixing, packing, quality, sharding, tokenbin, toxicity, vecdedup
 from starlayer.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.op5(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op6(table(spark, sf_dir, "documents"))
 
@@ -44,9 +48,13 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_line_quality, op3_chat_format, op4_source_mix, op6_best_fit_pack,
-                             op7_hash_tree_shards, op8_toxicity, op9_token_orc)
+    f.__name__: f for f in (op1_language_id, op2_line_quality, op3_chat_format, op4_source_mix, op5_near_vectors, op6_best_fit_pack,
+                             op7_hash_tree_shards, op8_toxicity, op9_token_orc, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {}
