@@ -25,8 +25,9 @@ from starlayer.llm.common import Store, components, runs, slices
 from starlayer.llm.sharding import mix64
 from starlayer.llm.vecdedup import pair_parts
 
-PERCENT = 90
-SHINGLE = 3
+#: a near duplicate by default: five-word shingles, similarity 0.8
+PERCENT = 80
+SHINGLE = 5
 #: prefix beyond the necessary one, as a share of the set: a document must share
 #: at least that much of its prefix with others to stay
 EXTRA = 20
@@ -326,4 +327,5 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, text
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs)
+    """Query op10: three-word shingles, similarity 0.9."""
+    return jaccard_components(docs, percent=90, width=3)

@@ -41,7 +41,7 @@ def targets(store: Store, sizes: DataFrame, weights: tuple[float, ...], share: f
     ranked = global_rank(spark, store, per, order, parts=1 + n // 50_000)
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
     open_to = store.put(ranked.select("source", "source_size", weight.alias("weight"),
-                                      (F.col("source_size") * F.lit(float(most))).alias("cap")), "weights")
+                                      (F.col("source_size") * F.lit(float(most))).alias("cap")), "weights", keep=True)
     total = open_to.agg(F.sum("source_size")).first()[0] or 0
     level, before = 0.0, -1.0
     while level > before:
@@ -52,6 +52,7 @@ def targets(store: Store, sizes: DataFrame, weights: tuple[float, ...], share: f
     target = F.least(F.col("weight") * F.lit(level), F.col("cap"))
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0)
     out = open_to.select("source", "source_size", target.alias("target"), rate.alias("rate"))
+    # a row per source; larger tables are left to the planner
     return F.broadcast(out) if n <= BROADCAST_SOURCES else out
 
 
@@ -59,19 +60,15 @@ def copies(u: str, rate: str) -> Column:
     return (F.floor(rate) + (F.col(u) < F.col(rate) - F.floor(rate)).cast("long")).cast("long")
 
 
-def rates_for(store: Store, docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0,
-              text: str = "text", source: str = "source") -> DataFrame:
-    sized = docs.select(F.col(source).alias("source"), word_count(text).alias("size"))
-    return targets(store, sized, weights, share, most)
-
-
-def emit(store: Store, docs: DataFrame, seed: int = 17, text: str = "text", source: str = "source",
-         doc_id: str = "doc_id", **mix) -> DataFrame:
+def emit(docs: DataFrame, seed: int = 17, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text",
+         source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns as they are, each as often as the mix
     takes it. Rows of one id and text are drawn alike; a NULL source is a source
     of its own; empty texts weigh nothing and follow their source's rate."""
-    rates = rates_for(store, docs, text=text, source=source, **mix).select(
-        F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
+    sized = docs.select(F.col(source).alias("source"), word_count(text).alias("size"))
+    with Store(docs.sparkSession) as store:
+        rates = targets(store, sized, weights, share, most).select(
+            F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
     rows = docs.withColumn("_mix_u", draw(seed, doc_id, text))
     taken = rows.join(rates, F.col(source).eqNullSafe(F.col("_mix_source")))
     again = F.explode(F.array_repeat(F.lit(0), copies("_mix_u", "_mix_rate").cast("int")))
@@ -85,9 +82,7 @@ def mix(docs: DataFrame, seed: int = 17, weights=(3, 1, 2), share: float = 1.5,
     with Store(spark) as store:
         sized = store.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"),
                                       draw(seed, "doc_id", "text").alias("u")), "sized", keep=True)
-        rates = targets(store, sized, weights, share, most)
-        kept = Store(spark).put(rates.select(F.col("source").alias("of"), "source_size", "target", "rate"), "rates", keep=True)
-    kept = F.broadcast(kept) if kept.count() <= BROADCAST_SOURCES else kept
-    rows = sized.join(kept, F.col("source").eqNullSafe(F.col("of")))
+        rates = targets(store, sized, weights, share, most).withColumnRenamed("source", "of")
+    rows = sized.join(rates, F.col("source").eqNullSafe(F.col("of")))
     return rows.select("doc_id", "size", F.col("source_size").cast("long"), F.col("target").cast("double"),
                        (F.col("size") * copies("u", "rate")).cast("long").alias("taken"))
