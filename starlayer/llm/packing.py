@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlayer.llm.common import Store, slices
-from starlayer.llm.tokens import END, crc32, encoder
+from starlayer.llm.tokens import crc32, encoder
 
 LENGTH = 2048
 #: short pieces packed together; a group wastes at most about one sequence
@@ -43,11 +43,12 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
     """One row per piece of each tokenised document (its ids, then id 0)."""
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 1024):
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids = memoryview(ids + END)
-                out += [(doc, k, s, n, crc32(ids[4 * s:4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, length))]
+            ids, bounds = encode(batch.column(1))
+            data = memoryview(ids).cast("B")
+            for doc, lo, hi in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                out += [(doc, k, s, n, crc32(data[4 * (lo + s):4 * (lo + s + n)])) for k, (s, n) in enumerate(cut(hi - lo, length))]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starlayer.llm.common import Store, part_offsets, slices
-from starlayer.llm.tokens import END, crc32, encoder
+from starlayer.llm.tokens import crc32, encoder
 from starlayer.session import drop_path, scratch_dir
 
 #: what the writer is told: the stripes are the units of parallel reads, the row
@@ -35,11 +35,9 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
     def run(batches):
         encode, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 256):
-            ids = [b + END for b in encode(batch.column(1).to_pylist())]
-            n = np.array([len(b) // 4 for b in ids], dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()),
-                                             pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+        for batch in slices(batches, 1024):
+            ids, bounds = encode(batch.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([part] * k, pa.int32()), pa.array(range(seq, seq + k), pa.int64()), lists],
@@ -63,8 +61,8 @@ def index(spark: SparkSession, path: str) -> DataFrame:
         for batch in slices(batches, 512):
             lists = batch.column(3)
             bounds = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            crc = [crc32(ids[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
+            ids = memoryview(lists.values.to_numpy(zero_copy_only=False).view(np.uint8))
+            crc = [crc32(ids[4 * a:4 * b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
                                              names=["doc_id", "part", "seq", "n_tokens", "ids_crc32"])
 

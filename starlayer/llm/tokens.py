@@ -11,57 +11,137 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "byte_bpe_50k.json"
 END = np.zeros(1, dtype="<u4").tobytes()
-#: chunks held by one worker; about 200 bytes each
-MOST_CHUNKS = 500_000
+#: chunks of one generation of a worker's memo; about 180 bytes each, two
+#: generations are held
+MOST_CHUNKS = 600_000
 LONGEST = 64
 
+# Byte-level alphabet: printable bytes of Latin-1 stand for themselves, the
+# others for the code points from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SPACE = "\u0120"
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _latin_word(chunk: str) -> bool:
+    """Letters only, of the Latin blocks, where all Unicode versions agree."""
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0250")
+
 
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.splitter = Tokenizer.from_file(path)
+        self.splitter.pre_tokenizer = CharDelimiterSplit(" ")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.mark = dict(zip(".,", self._encode([".", ","])))
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; NULL counts as empty."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each with a space before it, encoded as one text: its
+        chunks hold no other space, so an id that starts with one starts a chunk."""
+        if not chunks:
+            return []
+        found = self._cut(self.tokenizer, " " + " ".join(chunks))
+        return found if len(found) == len(chunks) else self._encode([" " + c for c in chunks])
+
+    def _cut(self, tokenizer, joined: str) -> list[bytes]:
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        first = 4 * np.flatnonzero(self.spaced[ids])
+        data, cuts = ids.tobytes(), [*first.tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it. Such a word is
+        one piece, so a second tokenizer, which only splits at spaces, takes the
+        pieces in the model's alphabet of bytes."""
+        if not words:
+            return []
+        pieces = [SPACE + w if w.isascii() else SPACE + w.encode().decode("latin-1").translate(BYTES) for w in words]
+        return self._cut(self.splitter, " ".join(pieces))
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks not in the memo; all but long ones are remembered."""
         if len(self.known) > MOST_CHUNKS:
-            self.known.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        known, new, cut, whole = self.known, set(), [], []
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif "  " in text:
-                whole.append(i)
-            else:
-                head, *rest = text.split(" ")
-                cut.append((i, head, rest))
-                new.update(set(rest).difference(known))
-        fresh = list(new)
-        ids = dict(zip(fresh, self._encode([" " + c for c in fresh])))
-        long = {c: b for c, b in ids.items() if len(c) > LONGEST}
-        known.update((c, b) for c, b in ids.items() if len(c) <= LONGEST)
-        heads = self._encode([h for _, h, _ in cut])
-        for (i, _, rest), first in zip(cut, heads):
-            if long and not long.keys().isdisjoint(rest):
-                out[i] = first + b"".join([known.get(c) if c in known else long[c] for c in rest])
-            else:
-                out[i] = first + b"".join(map(known.__getitem__, rest))
-        for i, b in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = b
-        return out
+            self.known, self.old = {}, self.known
+        found = {c: self.old[c] for c in chunks if c in self.old}
+        new = [c for c in chunks if c not in found]
+        # a run of letters ends before a full stop or comma, which is then a piece
+        # of its own: the word's ids serve with and without it
+        bare: dict[str, bytes | None] = {}
+        stopped = []
+        for c in new:
+            if _latin_word(c):
+                bare[c] = None
+            elif c[-1:] in (".", ",") and _latin_word(c[:-1]):
+                bare[c[:-1]] = None
+                stopped.append(c)
+        for c in bare:
+            bare[c] = self.known.get(c) or self.old.get(c)
+        unseen = [c for c, b in bare.items() if b is None]
+        bare.update(zip(unseen, self._words(unseen)))
+        found.update(bare)
+        found.update((c, bare[c[:-1]] + self.mark[c[-1]]) for c in stopped)
+        rest = [c for c in new if c not in found]
+        plain = [c for c in rest if c and not c[0].isspace() and not c[-1].isspace()]
+        found.update(zip(plain, self._chunks(plain)))
+        odd = [c for c in rest if c not in found]
+        found.update(zip(odd, self._encode([" " + c for c in odd])))
+        self.known.update((c, b) for c, b in found.items() if len(c) <= LONGEST)
+        return found
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by id 0, and the texts' bounds in
+        them; NULL counts as empty.
+
+        Distinct chunks of the batch are looked up once; their ids are gathered
+        into the texts' places by index vectors."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring(texts, "  ")
+        parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = parts.flatten().dictionary_encode()
+        code, chunks = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # a text's first chunk has no space before it; a text with double spaces is one chunk
+        heads = [t if w else chunks[c] for t, w, c in zip(
+            pc.if_else(whole, texts, "").to_pylist(), whole.to_pylist(), code[bounds[:-1]].tolist())]
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            found = self._learn([c for c, b in zip(chunks, ids) if b is None])
+            ids = [found[c] if b is None else b for c, b in zip(chunks, ids)]
+        ids += self._encode(heads)
+        ids.append(END)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        place = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        segment = code.astype(np.int64)
+        segment[bounds[:-1]] = len(chunks) + np.arange(len(texts))
+        segment = np.insert(segment, bounds[1:], len(ids) - 1)
+        length = size[segment]
+        ends = np.cumsum(length)
+        spot = np.repeat(place[segment] - (ends - length), length)
+        spot += np.arange(len(spot))
+        return pool[spot], np.concatenate([[0], ends[bounds[1:] + np.arange(len(texts))]])
 
 
 _ENCODERS: dict[str, Encoder] = {}
