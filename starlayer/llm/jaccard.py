@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlayer.llm.common import Store, components, runs, slices
@@ -85,9 +85,7 @@ def sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: i
     def run(batches):
         for batch in slices(batches):
             found = [shingles(t, width) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
-            prefixes = [s[:prefix_length(len(s), percent)].view(np.int64) for s in found]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()),
-                                             pa.array(np.concatenate([*prefixes, np.empty(0, dtype=np.int64)])))
+            lists = _lists([s[:prefix_length(len(s), percent)].view(np.int64) for s in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in found], pa.int64()),
                  pa.array([set_id(s) if len(s) else None for s in found], pa.int64()), lists],
@@ -134,18 +132,31 @@ class Index:
         order = np.argsort(length, kind="stable")
         long = min(need - 1, int(need / (MU * np.log2(max(int(length.max()), 2)) + 1)))
         short, probed = order[:len(order) - long], order[len(order) - long:]
-        lists = [self.owner[a:b].tolist() for a, b in zip(first[short], last[short])]
-        found = []
-        base = at[probed] * self.step
-        for member, count in merge_skip(lists, need - long):
-            if skip[member]:
-                continue
-            keys = base + member
-            spot = np.searchsorted(self.keys, keys)
-            both = count + int((self.keys[np.minimum(spot, len(self.keys) - 1)] == keys).sum())
-            if 100 * both >= percent * (n + int(self.size[member]) - both):
-                found.append(member)
-        return found
+        member, count = merge([self.owner[a:b] for a, b in zip(first[short], last[short])], need - long)
+        wanted = ~skip[member]
+        member, count = member[wanted], count[wanted]
+        size = self.size[member]
+        enough = -(-percent * (n + size) // (100 + percent))  # overlap at which the similarity is reached
+        for k, (a, b) in enumerate(zip(first[probed].tolist(), last[probed].tolist())):
+            if not len(member):
+                break
+            items = self.owner[a:b]
+            spot = np.searchsorted(items, member)
+            count = count + (items[np.minimum(spot, len(items) - 1)] == member)
+            if k % 8 == 7:  # who misses too many lists is out
+                still = count + (long - 1 - k) >= enough
+                member, count, enough = member[still], count[still], enough[still]
+        return member[count >= enough].tolist()
+
+
+def merge(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members in at least ``need`` of the sorted lists, and in how many. Many
+    entries are merged by one stable sort of the runs, few by the skipping heap."""
+    if sum(map(len, lists)) > 1000:
+        member, count = np.unique(np.concatenate(lists), return_counts=True)
+        return member[count >= need], count[count >= need]
+    found = np.array(merge_skip([x.tolist() for x in lists], need), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -218,9 +229,6 @@ def join_family(sizes: np.ndarray, members: list[np.ndarray], side: np.ndarray,
 
 # --- the join ----------------------------------------------------------------------------
 
-FAMILY = "family long, left int, right int, sub int, set_id long, n long, shingles binary"
-
-
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, text: str = "text",
                        doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
@@ -234,8 +242,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     rows = store.put(sets(docs, text, doc_id, percent, width), "sets")
     distinct = store.put(rows.where("n > 0 and doc_id is not null").groupBy("set_id", "n")
                          .agg(F.min("doc_id").alias("first"), F.any_value("prefix").alias("prefix")), "distinct_sets")
-    members = store.put(_families(store, distinct, percent), "families")
-    links = store.put(_links(docs, members, percent, width, text, doc_id), "links")
+    ids = store.put(_sharing(store, distinct, percent).select("set_id").distinct(), "sharing")
+    wanted = distinct.select("set_id", "n", "first").join(ids, "set_id")
+    kept = store.put(_whole_sets(docs, wanted, ids.count(), width, text, doc_id), "whole_sets")
+    families = store.put(_families(store, kept, percent), "families")
+    links = store.put(_links(kept, families, percent), "links")
     tied = components(store, links).withColumnRenamed("node", "set_id")
     named = distinct.select("set_id", "first").join(tied, "set_id")
     label = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -249,57 +260,93 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     return out
 
 
-def _families(store: Store, distinct: DataFrame, percent: int) -> DataFrame:
-    """(set_id, first, n, family, parts) of the sets that may have a partner.
+def _sharing(store: Store, prefixes: DataFrame, percent: int) -> DataFrame:
+    """(token, set_id, n): prefix shingles that two sets of fitting size have,
+    of the sets that may have a partner.
 
     Two linked sets share at least as many prefix shingles as the smaller one's
-    prefix has beyond the necessary. So a set stays only if that many of its
-    prefix shingles also stand in prefixes of sets of fitting size; neighbours
-    in a shingle's list, ordered by size, then form one family.
+    prefix has beyond the necessary; a set with fewer shared ones is left out.
     """
-    by_token = Window.partitionBy("token").orderBy("n", "set_id")
-    fits = lambda small, large: F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
-    postings = distinct.select(F.explode("prefix").alias("token"), "set_id", "n")
-    near = (postings.withColumn("before", F.lag("n").over(by_token)).withColumn("after", F.lead("n").over(by_token))
-            .where(fits("before", "n") | fits("n", "after")).select("token", "set_id", "n"))
+    postings = prefixes.select(F.explode("prefix").alias("token"), "set_id", "n")
+    near = (postings.withColumn("before", F.lag("n").over(_by_token())).withColumn("after", F.lead("n").over(_by_token()))
+            .where(_fits("before", "n", percent) | _fits("n", "after", percent)).select("token", "set_id", "n"))
     near = store.put(near, "shared_postings")
     smallest = F.ceil(F.col("n") * percent / 100)
     enough = (near.groupBy("set_id", "n").agg(F.count(F.lit(1)).alias("shared"))
               .where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(smallest / EXTRA))).select("set_id"))
-    chained = (near.join(enough, "set_id").withColumn("before", F.lag("n").over(by_token))
-               .withColumn("previous", F.lag("set_id").over(by_token)).where(fits("before", "n"))
+    return near.join(enough, "set_id")
+
+
+def _by_token():
+    return Window.partitionBy("token").orderBy("n", "set_id")
+
+
+def _fits(small: str, large: str, percent: int) -> Column:
+    return F.coalesce(F.col(small) * 100 >= F.col(large) * percent, F.lit(False))
+
+
+def _families(store: Store, kept: DataFrame, percent: int) -> DataFrame:
+    """(set_id, family, parts) of the sets that may have a partner, from whole
+    sets (set_id, n, shingles).
+
+    Prefixes are taken anew with the rarest shingles of the sets left first: a
+    passage that many share is at the end of the order, so it neither keeps a
+    set nor ties families together. Neighbours in a shingle's list, ordered by
+    size, form one family.
+    """
+    postings = kept.select("set_id", "n", F.explode("shingles").alias("token"))
+    counted = postings.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    need = F.ceil(F.col("n") * percent / 100)
+    length = (F.col("n") - need + F.ceil(F.col("n") / EXTRA)).cast("int")
+    prefixes = (counted.groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+                .select("set_id", "n", F.slice("all", F.lit(1), length).alias("prefix")))  # one set's shingles
+    prefixes = prefixes.select("set_id", "n", F.transform(F.filter("prefix", lambda t: t.df > 1), lambda t: t.token).alias("prefix"))
+    chained = (_sharing(store, prefixes, percent).withColumn("before", F.lag("n").over(_by_token()))
+               .withColumn("previous", F.lag("set_id").over(_by_token())).where(_fits("before", "n", percent))
                .select(F.col("set_id").alias("a"), F.col("previous").alias("b")))
     family = components(store, chained).select(F.col("node").alias("set_id"), F.col("component").alias("family"))
-    members = family.join(distinct.select("set_id", "first", "n"), "set_id")
+    members = family.join(kept.select("set_id", "n"), "set_id")
     parts = members.groupBy("family").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
-    return members.join(parts, "family")
+    return members.join(parts, "family").select("set_id", "family", "parts")
 
 
-def _links(docs: DataFrame, members: DataFrame, percent: int, width: int, text: str, doc_id: str) -> DataFrame:
-    """(a, b): links between sets that span the components of each family."""
-    wanted = members.select(F.col("first").alias("doc"), "set_id", "n", "family", "parts")
-    if members.count() <= BROADCAST_MEMBERS:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int, text: str, doc_id: str) -> DataFrame:
+    """(set_id, n, shingles) of the wanted (set_id, n, first), from their texts."""
+    wanted = wanted.select(F.col("first").alias("doc"), "set_id", "n")
+    if n_wanted <= BROADCAST_MEMBERS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted, "doc")
 
     def read(batches):
         for batch in slices(batches, 256):
-            _, body, ids, n, family, parts = batch.columns
+            _, body, ids, n = batch.columns
             found = [shingles(t, width) for t in pc.cast(body, pa.binary()).to_pylist()]
             same = pa.array([len(s) > 0 and set_id(s) == i for s, i in zip(found, ids.to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([family, parts, ids, n, pa.array([s.tobytes() for s in found], pa.binary())],
-                                             names=["family", "parts", "set_id", "n", "shingles"]).filter(same)
+            yield pa.RecordBatch.from_arrays([ids, n, _lists([s.view(np.int64) for s in found])],
+                                             names=["set_id", "n", "shingles"]).filter(same)
+
+    # an id that repeats with the same set is read once more than needed
+    return texts.mapInArrow(read, "set_id long, n long, shingles array<long>").dropDuplicates(["set_id"])
 
-    loaded = texts.mapInArrow(read, "family long, parts int, set_id long, n long, shingles binary")
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()),
+                                    pa.array(np.concatenate([*arrays, np.empty(0, dtype=np.int64)])))
+
+
+def _links(kept: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between sets that span the components of each family."""
     keys = ["family", "left", "right"]
-    dealt = pair_parts(loaded, "family", "parts", "set_id").select(*[c.split()[0] for c in FAMILY.split(", ")])
+    dealt = pair_parts(kept.join(families, "set_id"), "family", "parts", "set_id").select(*keys, "sub", "set_id", "n", "shingles")
 
     def search(batches):
         for group in runs(batches, keys):
-            ids, at = np.unique(group.column("set_id").to_numpy(), return_index=True)  # an id may repeat
-            body = group.column("shingles").to_pylist()
-            links = join_family(group.column("n").to_numpy()[at], [np.frombuffer(body[i], dtype=np.uint64) for i in at],
-                                group.column("sub").to_numpy()[at], group.column("left")[0].as_py(),
+            group = group.combine_chunks()
+            ids = group.column("set_id").to_numpy()
+            lists = group.column("shingles").chunk(0)
+            values, bounds = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            links = join_family(group.column("n").to_numpy(), [values[a:b] for a, b in zip(bounds, bounds[1:])],
+                                group.column("sub").to_numpy(), group.column("left")[0].as_py(),
                                 group.column("right")[0].as_py(), percent)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[list(side)]) for side in zip(*links)], names=["a", "b"])
