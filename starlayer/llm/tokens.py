@@ -10,6 +10,7 @@ Texts with double spaces go to the library whole.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -31,9 +32,12 @@ SPACE = "\u0120"
 BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def _latin_word(chunk: str) -> bool:
-    """Letters only, of the Latin blocks, where all Unicode versions agree."""
-    return chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0250")
+# Letters of ASCII and of the Latin blocks, where all Unicode versions agree; ASCII
+# signs, no apostrophe first, since that may begin a piece like 's.
+_WORD = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{1,48})"
+_SIGNS = r"([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?"
+#: a word, perhaps signs, perhaps a line's end, a word and perhaps signs
+SHAPE = re.compile(rf"{_WORD}{_SIGNS}(?:(\n){_WORD}{_SIGNS})?").fullmatch
 
 
 class Encoder:
@@ -50,7 +54,9 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.mark = dict(zip(".,", self._encode([".", ","])))
+        self.signs: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.line = self._encode(["\n"])[0]
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -70,43 +76,55 @@ class Encoder:
         data, cuts = ids.tobytes(), [*first.tolist(), 4 * len(ids)]
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each with a space before it. Such a word is
-        one piece, so a second tokenizer, which only splits at spaces, takes the
-        pieces in the model's alphabet of bytes."""
+    def _words(self, words: list[str], space: bool) -> list[bytes]:
+        """Ids of words of letters, with or without a space before them. Such a
+        word is one piece, so a second tokenizer, which only splits at spaces,
+        takes the pieces in the model's alphabet of bytes."""
         if not words:
             return []
-        pieces = [SPACE + w if w.isascii() else SPACE + w.encode().decode("latin-1").translate(BYTES) for w in words]
-        return self._cut(self.splitter, " ".join(pieces))
+        pieces = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in words]
+        if space:
+            return self._cut(self.splitter, SPACE + (" " + SPACE).join(pieces))
+        # a lone space after each word shows where it ends
+        found = self._cut(self.splitter, SPACE + " " + f" {SPACE} ".join(pieces))
+        return [b[4:] for b in found]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks not in the memo; all but long ones are remembered."""
+        """Ids of chunks not in the memo; all but long ones are remembered.
+
+        Most are a word and perhaps signs, perhaps the end of a line and the
+        next one's first word: each of these is a piece of its own, so a word's
+        ids serve whatever follows it.
+        """
         if len(self.known) > MOST_CHUNKS:
             self.known, self.old = {}, self.known
+        if len(self.firsts) > MOST_CHUNKS // 4:
+            self.firsts = {}
         found = {c: self.old[c] for c in chunks if c in self.old}
-        new = [c for c in chunks if c not in found]
-        # a run of letters ends before a full stop or comma, which is then a piece
-        # of its own: the word's ids serve with and without it
-        bare: dict[str, bytes | None] = {}
-        stopped = []
-        for c in new:
-            if _latin_word(c):
-                bare[c] = None
-            elif c[-1:] in (".", ",") and _latin_word(c[:-1]):
-                bare[c[:-1]] = None
-                stopped.append(c)
-        for c in bare:
-            bare[c] = self.known.get(c) or self.old.get(c)
-        unseen = [c for c, b in bare.items() if b is None]
-        bare.update(zip(unseen, self._words(unseen)))
-        found.update(bare)
-        found.update((c, bare[c[:-1]] + self.mark[c[-1]]) for c in stopped)
-        rest = [c for c in new if c not in found]
+        shaped = [m for m in map(SHAPE, chunks) if m and m[0] not in found]
+        words = {m[1]: self.known.get(m[1]) or self.old.get(m[1]) for m in shaped}
+        unseen = [w for w, b in words.items() if b is None]
+        words.update(zip(unseen, self._words(unseen, space=True)))
+        unseen = list({m[4] for m in shaped if m[3]}.difference(self.firsts))
+        self.firsts.update(zip(unseen, self._words(unseen, space=False)))
+        unseen = list({r for m in shaped for r in (m[2], m[5]) if r}.difference(self.signs))
+        self.signs.update(zip(unseen, self._encode(unseen)))
+        for m in shaped:
+            ids = words[m[1]]
+            if m[2]:
+                ids += self.signs[m[2]]
+            if m[3]:
+                ids += self.line + self.firsts[m[4]] + (self.signs[m[5]] if m[5] else b"")
+            found[m[0]] = ids
+        if len(self.signs) > MOST_CHUNKS // 16:
+            self.signs = {}
+        rest = [c for c in chunks if c not in found]
         plain = [c for c in rest if c and not c[0].isspace() and not c[-1].isspace()]
+        odd = [c for c in rest if not c or c[0].isspace() or c[-1].isspace()]
         found.update(zip(plain, self._chunks(plain)))
-        odd = [c for c in rest if c not in found]
         found.update(zip(odd, self._encode([" " + c for c in odd])))
-        self.known.update((c, b) for c, b in found.items() if len(c) <= LONGEST)
+        self.known.update(words)
+        self.known.update(found if max(map(len, chunks)) <= LONGEST else {c: b for c, b in found.items() if len(c) <= LONGEST})
         return found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
