@@ -157,7 +157,8 @@ def parse(formatted: bytes) -> list[tuple[str, bytes]]:
                 break
         else:
             if inner.startswith(ROLE.encode()):
-                name, _, rest = re.split(rf"(?<!\\)( {re.escape(END_ROLE)} )".encode(), inner[len(ROLE):], maxsplit=1)
+                # a mark inside the name follows a backslash, not a space
+                name, _, rest = inner[len(ROLE):].partition(f" {END_ROLE} ".encode())
                 out.append((unescape(name).decode(), unescape(rest[:-1])))
             else:
                 out.append(("assistant", unescape(inner[1:-1])))

@@ -81,47 +81,49 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, searched: int = SEARCHED) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, searched: int = SEARCHED,
+                 rounds: int = 20) -> list[list[int]]:
     """Empties bins by exchanges that each raise the sum of squared fills.
 
     The emptiest underfull bin gives: an item moves to a fuller bin with room,
     or is exchanged for a shorter one there, or two of its items for one item
-    shorter than both. Every exchange leaves the taking bin fuller, so the
-    search ends; a bin that gives all it has is gone.
+    shorter than both. Then the next emptiest gives, and rounds go on while any
+    exchange was found. Every one leaves the fuller bin fuller still; a bin that
+    has given all it had is gone.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])[:searched]
-    while len(under) > 1:
-        giver = under[0]
-        takers = under[1:]
-        changed = True
-        while changed and bins[giver]:
-            changed = False
-            for taker in sorted(takers, key=lambda k: -fill[k]):
-                free = capacity - fill[taker]
-                if not free or fill[taker] < fill[giver]:
-                    continue
-                found = _exchange(bins[giver], bins[taker], size, free)
-                if found:
-                    gone, back = found
-                    for i in gone:
-                        bins[giver].remove(i)
-                    for i in back:
-                        bins[taker].remove(i)
-                    bins[giver] += back
-                    bins[taker] += gone
-                    gain = sum(size[i] for i in gone) - sum(size[i] for i in back)
-                    fill[taker] += gain
-                    fill[giver] -= gain
-                    changed = True
-                    break
-        # what this bin could give is given; the next emptiest is next
-        under = [k for k in takers if fill[k] < capacity]
-        under.sort(key=lambda k: fill[k])
+    for _ in range(rounds):
+        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: fill[k])[:searched]
+        if not any([_give(giver, under[x + 1:], bins, fill, size, capacity) for x, giver in enumerate(under)]):
+            break
     return [b for b in bins if b]
 
 
+def _give(giver: int, takers: list[int], bins: list[list[int]], fill: list[int], size: list[int], capacity: int) -> bool:
+    """Exchanges from one bin to fuller ones until none raises the sum."""
+    any_given, given = False, True
+    while given and bins[giver]:
+        given = False
+        for taker in sorted(takers, key=lambda k: -fill[k]):
+            free = capacity - fill[taker]
+            found = _exchange(bins[giver], bins[taker], size, free) if free and fill[taker] >= fill[giver] else None
+            if found:
+                gone, back = found
+                for i in gone:
+                    bins[giver].remove(i)
+                for i in back:
+                    bins[taker].remove(i)
+                bins[giver] += back
+                bins[taker] += gone
+                gain = sum(size[i] for i in gone) - sum(size[i] for i in back)
+                fill[taker] += gain
+                fill[giver] -= gain
+                given = any_given = True
+                break
+    return any_given
+
+
 def _exchange(giver: list[int], taker: list[int], size: list[int], free: int) -> tuple[list[int], list[int]] | None:
     """The move, one-for-one or two-for-one exchange that fills the taker most."""
     best, found = 0, None
