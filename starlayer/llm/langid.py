@@ -89,7 +89,9 @@ def fit(docs: DataFrame, per_language: int = 3000, most_grams: int = 200_000, mi
     return {"langs": names, "orders": {n: _log_frequencies(t, names) for n, t in tables.items()}}
 
 
-def _log_frequencies(entries: dict[str, list], names: list[str], smooth: float = 0.5) -> dict[str, np.ndarray]:
+def _log_frequencies(entries: dict[str, list], names: list[str], smooth: float = 0.5) -> tuple[str, np.ndarray]:
+    """The grams, joined (one string travels in less memory than many), and a
+    row of log frequencies for each."""
     at = {x: i for i, x in enumerate(names)}
     counts = np.zeros((len(entries), len(names)))
     for i, by in enumerate(entries.values()):
@@ -97,25 +99,30 @@ def _log_frequencies(entries: dict[str, list], names: list[str], smooth: float =
             counts[i, at[lang]] = k
     total = counts.sum(axis=0) + smooth * max(len(entries), 1)
     logs = np.log((counts + smooth) / total).astype(np.float32)
-    return {g: logs[i] for i, g in enumerate(entries)}
+    return "\n".join(entries), logs
 
 
 class Predictor:
     """Scores texts with a fitted model; holds a bounded memo of words."""
 
     def __init__(self, model: dict):
-        self.langs, self.orders = model["langs"], model["orders"]
-        self.memo = Memo(self._word, max(len(self.langs), 1))
+        self.langs = model["langs"]
+        self.row: dict[int, dict[str, int]] = {}
+        self.logs: dict[int, np.ndarray] = {}
+        for n, table in model["orders"].items():
+            names, logs = (list(table), np.array(list(table.values()))) if isinstance(table, dict) else (table[0].split("\n"), table[1])
+            self.row[n], self.logs[n] = {g: i for i, g in enumerate(names)} if len(logs) else {}, logs
+        self.memo = Memo(self._word, max(len(self.langs), 1), most=250_000)
 
     def _word(self, word: str) -> np.ndarray:
-        known = self.orders[0].get(word)
+        known = self.row[0].get(word)
         if known is not None:
-            return known
+            return self.logs[0][known]
         for n in range(ORDER, 0, -1):
-            table = self.orders[n]
-            found = [table[g] for g in grams(word, n) if g in table]
+            row = self.row[n]
+            found = [row[g] for g in grams(word, n) if g in row]
             if found:
-                return np.mean(found, axis=0)
+                return self.logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs), dtype=np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
