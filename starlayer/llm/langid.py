@@ -67,39 +67,33 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(list(c.values()), pa.int64())], names=["lang", "n", "gram", "k"])
 
 
-def fit(docs: DataFrame, per_language: int = 3000, most_grams: int = 200_000, min_count: int = 2) -> dict:
+def fit(docs: DataFrame, per_language: int = 3000, most_grams: int = 150_000, min_count: int = 2) -> dict:
     """Word (n = 0) and n-gram frequencies per language from a bounded sample.
 
     The model keeps the ``most_grams`` most frequent entries of each order, the
-    documented bound of what reaches the driver and every executor."""
+    documented bound of what reaches the driver and every executor: all grams of
+    an order as one string, which takes less memory than many, and a matrix."""
     counts = (training_sample(docs, per_language=per_language)
               .mapInArrow(_count_grams, "lang string, n int, gram string, k long")
               .groupBy("n", "gram", "lang").agg(F.sum("k").alias("k")))
-    entries = (counts.groupBy("n", "gram").agg(F.sum("k").alias("total"), F.collect_list(F.struct("lang", "k")).alias("by"))
-               .where(F.col("total") >= min_count))  # a list entry per language
-    tables: dict[int, dict[str, list]] = {}
-    langs: set[str] = set()
+    orders = {}
     with Store(docs.sparkSession) as store:
-        entries = store.put(entries, "grams")
+        counts = store.put(counts, "grams")
+        langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+        by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("k"))), F.lit(0)) for x in langs]
+        entries = counts.groupBy("n", "gram").agg(F.sum("k").alias("total"), F.array(*by_lang).alias("by"))
         for n in range(ORDER + 1):
-            top = entries.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(most_grams).collect()
-            tables[n] = {r["gram"]: [(x["lang"], x["k"]) for x in r["by"]] for r in top}
-            langs.update(x[0] for by in tables[n].values() for x in by)
-    names = sorted(langs)
-    return {"langs": names, "orders": {n: _log_frequencies(t, names) for n, t in tables.items()}}
-
-
-def _log_frequencies(entries: dict[str, list], names: list[str], smooth: float = 0.5) -> tuple[str, np.ndarray]:
-    """The grams, joined (one string travels in less memory than many), and a
-    row of log frequencies for each."""
-    at = {x: i for i, x in enumerate(names)}
-    counts = np.zeros((len(entries), len(names)))
-    for i, by in enumerate(entries.values()):
-        for lang, k in by:
-            counts[i, at[lang]] = k
-    total = counts.sum(axis=0) + smooth * max(len(entries), 1)
-    logs = np.log((counts + smooth) / total).astype(np.float32)
-    return "\n".join(entries), logs
+            top = (entries.where((F.col("n") == n) & (F.col("total") >= min_count))
+                   .orderBy(F.desc("total"), "gram").limit(most_grams).select("gram", "by").toArrow())
+            by = top.column("by").combine_chunks().flatten().to_numpy(zero_copy_only=False) if langs else np.empty(0)
+            orders[n] = "\n".join(top.column("gram").to_pylist()), _log_frequencies(by.reshape(top.num_rows, len(langs)))
+    return {"langs": langs, "orders": orders}
+
+
+def _log_frequencies(counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """A row of log frequencies per language for each gram."""
+    total = counts.sum(axis=0) + smooth * max(len(counts), 1)
+    return np.log((counts + smooth) / total).astype(np.float32)
 
 
 class Predictor:
