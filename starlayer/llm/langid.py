@@ -80,12 +80,14 @@ def fit(docs: DataFrame, per_language: int = 3000, most_grams: int = 150_000, mi
     with Store(docs.sparkSession) as store:
         counts = store.put(counts, "grams")
         langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+        if not langs:
+            return {"langs": [], "orders": {n: ("", np.zeros((0, 0), dtype=np.float32)) for n in range(ORDER + 1)}}
         by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("k"))), F.lit(0)) for x in langs]
         entries = counts.groupBy("n", "gram").agg(F.sum("k").alias("total"), F.array(*by_lang).alias("by"))
         for n in range(ORDER + 1):
             top = (entries.where((F.col("n") == n) & (F.col("total") >= min_count))
                    .orderBy(F.desc("total"), "gram").limit(most_grams).select("gram", "by").toArrow())
-            by = top.column("by").combine_chunks().flatten().to_numpy(zero_copy_only=False) if langs else np.empty(0)
+            by = top.column("by").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             orders[n] = "\n".join(top.column("gram").to_pylist()), _log_frequencies(by.reshape(top.num_rows, len(langs)))
     return {"langs": langs, "orders": orders}
 
