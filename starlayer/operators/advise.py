@@ -18,9 +18,10 @@ from starlayer.functions.exprs import ratio
 from starlayer.functions.joins import with_scalars
 
 
-def _kw_hit(name: str, words: list[str]) -> bool:
-    low = (name or "").lower()
-    return any(w in name or w.lower() in low for w in words)
+def _kw_hit(name: str, words: list[str], fold: bool = False) -> bool:
+    """Whether a keyword stands in the name, as written; ``fold`` ignores case."""
+    name = name or ""
+    return any(w in name or fold and w.lower() in name.lower() for w in words)
 
 
 def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -103,7 +104,7 @@ def advise_degenerate(df: DataFrame, cols: list[str], declared_pk: tuple = ()) -
     p = profile_columns(df, cols)
     kw = F.lit(False)
     for c in cols:
-        if _kw_hit(c, L.DEGENERATE_KEYWORDS):
+        if _kw_hit(c, L.DEGENERATE_KEYWORDS, fold=True):
             kw = kw | (F.col("column_name") == c)
     pk = F.col("column_name").isin(*declared_pk) if declared_pk else F.lit(False)
     measured = (F.col("distinct_count") == F.col("row_count")) & (F.col("null_count") == 0)

@@ -78,16 +78,11 @@ def dwd_enum_standardize(df: DataFrame, mapping: dict[str, str], col: str = "ord
     """C06 — raw code → standard value through a mapping frame; unknown codes
     become ``unknown``; rows whose amount lies outside [lower, upper] are dropped.
 
-    The mapping frame is built from a Python dict, so its size is bounded by
-    the dict and it is broadcast.
+    The mapping is a literal map in the plan: no join, no shuffle of the fact.
     """
-    spark = df.sparkSession
-    m = spark.createDataFrame([(k, v) for k, v in mapping.items()], "_raw string, _std string")
     raw = F.lower(F.trim(F.col(col)))
-    out = (df.withColumn("_raw", raw)
-           .join(bounded_broadcast(m), "_raw", "left")
-           .withColumn(col, F.coalesce(F.col("_std"), F.lit(unknown)))
-           .drop("_raw", "_std"))
+    known = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    out = df.withColumn(col, F.coalesce(F.try_element_at(known, raw), F.lit(unknown)) if mapping else F.lit(unknown))
     if amount is not None:
         if lower is not None:
             out = out.filter(F.col(amount) >= F.lit(lower))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import lit_date
+from starlayer.functions.joins import bounded_broadcast
 from starlayer.session import ensure_checkpoint_dir
 
 OPEN_END = _dt.date(9999, 12, 31)
@@ -131,34 +132,36 @@ def zipper_check(zipper: DataFrame, key: str) -> DataFrame:
         .withColumn("ok", (F.col("overlaps") == 0) & (F.col("gaps") == 0) & (F.col("open_rows") == 1)))
 
 
-def _small_key(df: DataFrame, cols: list[str], id_col: str, max_rows: int) -> DataFrame:
-    """Dense surrogate key over a small distinct set, with a runtime guard.
+def _dense_key(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
+    """Dense surrogate key over a distinct set of any size, in column order.
 
-    The distinct set is bounded by the product of the attribute cardinalities
-    (the advisors only recommend these dimensions at ≤ ``max_rows`` rows), so
-    the single-partition numbering window is safe; exceeding the bound fails
-    the job instead of silently overloading one task.
-    """
-    d = df.select(*cols).distinct()
-    w = Window.orderBy(*[F.col(c).asc_nulls_first() for c in cols])
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return (d.withColumn(id_col, F.row_number().over(w).cast("bigint"))
-            .withColumn("_n", n)
-            .withColumn(id_col, F.when(F.col("_n") <= max_rows, F.col(id_col))
-                        .otherwise(F.raise_error(F.lit(f"{id_col}: more than {max_rows} rows")).cast("bigint")))
-            .drop("_n")
-            .select(id_col, *cols))
-
-
-def junk_build(df: DataFrame, flags: list[str], max_rows: int = 10000) -> DataFrame:
+    The set is range-partitioned and written once; each part is numbered by
+    itself and shifted by the counts of the parts before (a row per part)."""
+    from starlayer.session import scratch_dir
+
+    spark = df.sparkSession
+    order = [F.col(c).asc_nulls_first() for c in cols]
+    path = scratch_dir(spark, id_col)
+    (df.select(*cols).distinct().repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+     .write.parquet(path))
+    d = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+             .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (d.withColumn("_in", inside).join(F.broadcast(shift), "_part")
+            .select((F.col("_in") + F.col("_before")).cast("bigint").alias(id_col), *cols))
+
+
+def junk_build(df: DataFrame, flags: list[str]) -> DataFrame:
     """D08 — distinct flag combinations → ``junk_id`` + flags."""
-    return _small_key(df, flags, "junk_id", max_rows)
+    return _dense_key(df, flags, "junk_id")
 
 
 def junk_attach(fact: DataFrame, junk: DataFrame, flags: list[str]) -> DataFrame:
     """D09 — replace the flags on the fact by ``junk_id`` (NULL-safe match).
-    The junk dimension is bounded (see ``junk_build``), so it is broadcast."""
-    j = F.broadcast(junk.select("junk_id", *[F.col(f).alias(f"_j_{f}") for f in flags]))
+    A junk dimension that proves small is broadcast, a larger one shuffles."""
+    j = bounded_broadcast(junk.select("junk_id", *[F.col(f).alias(f"_j_{f}") for f in flags]))
     cond = None
     for f in flags:
         c = fact[f].eqNullSafe(j[f"_j_{f}"])
@@ -175,11 +178,11 @@ def band(col: str, edges: list[float], labels: list[str]) -> Column:
     return e.otherwise(F.lit(labels[-1]))
 
 
-def mini_build(df: DataFrame, key: str, band_cols: dict[str, Column], max_rows: int = 10000) -> DataFrame:
+def mini_build(df: DataFrame, key: str, band_cols: dict[str, Column]) -> DataFrame:
     """D10 — banded fast-changing attributes → mini dimension with ``mini_id``.
     Returns the mini dimension; ``mini_attach`` puts its key on the facts."""
     b = df.select(key, *[c.alias(n) for n, c in band_cols.items()])
-    return _small_key(b, list(band_cols), "mini_id", max_rows)
+    return _dense_key(b, list(band_cols), "mini_id")
 
 
 def mini_attach(fact: DataFrame, main: DataFrame, key_fact: str, key_main: str,
@@ -187,14 +190,14 @@ def mini_attach(fact: DataFrame, main: DataFrame, key_fact: str, key_main: str,
     """D11 — the fact carries both the main dimension key and ``mini_id``."""
     names = list(band_cols)
     m = main.select(F.col(key_main).alias("_mk"), *[c.alias(n) for n, c in band_cols.items()])
-    m = m.join(F.broadcast(mini), names, "left").select("_mk", "mini_id")
+    m = m.join(bounded_broadcast(mini), names, "left").select("_mk", "mini_id")
     return fact.join(m, fact[key_fact] == m["_mk"], "left").drop("_mk")
 
 
 def bridge_build(df: DataFrame, group_key: str, member_key: str, weight_col: str = "weight",
                  extra_aggs: list[Column] | None = None) -> DataFrame:
-    """D12/D13 — bridge (group, member, weight): equal weights as
-    decimal(18,4), the rounding remainder on the last member, so the weights of
+    """D12/D13 — bridge (group, member, weight): equal weights
+    (decimal(18,12), four places up to 10,000 members), the rounding remainder on the last member, so the weights of
     a group sum to exactly 1.
 
     Members per group and the last member come from a grouped aggregate
@@ -206,8 +209,10 @@ def bridge_build(df: DataFrame, group_key: str, member_key: str, weight_col: str
         pairs = pairs.drop("_x")
     per = pairs.groupBy(group_key).agg(F.count(F.lit(1)).alias("_n"), F.max(member_key).alias("_last"))
     n = F.col("_n")
-    base = (F.floor(F.lit(10000) / n) / F.lit(10000)).cast("decimal(18,4)")
-    last = (F.lit(1).cast("decimal(18,4)") - base * (n - 1)).cast("decimal(18,4)")
+    # Four decimals; twelve where four would leave most members without weight.
+    scale = F.when(n <= 10000, F.lit(10**4)).otherwise(F.lit(10**12)).cast("decimal(13,0)")
+    base = (F.floor(scale / n).cast("decimal(13,0)") / scale).cast("decimal(18,12)")
+    last = (F.lit(1).cast("decimal(18,12)") - base * (n - 1).cast("decimal(13,0)")).cast("decimal(18,12)")
     return (pairs.join(per, group_key)
             .withColumn(weight_col, F.when(F.col(member_key) == F.col("_last"), last).otherwise(base))
             .drop("_n", "_last"))

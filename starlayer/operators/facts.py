@@ -132,8 +132,9 @@ def fact_accumulating(events: DataFrame, key, process_col: str, ts_col: str, mil
 
 def fact_accumulating_upsert(current: DataFrame | None, batch_events: DataFrame, key, process_col: str,
                              ts_col: str, milestones) -> DataFrame:
-    """F07 — apply one batch: new keys are inserted, an existing milestone is
-    filled only while still NULL, durations and status are recomputed.
+    """F07 — apply one batch: new keys are inserted, a first-time milestone is
+    filled only while still NULL, a last-time (``max``) one takes the later
+    time, durations and status are recomputed.
 
     Batches cut by event time arrive in order, so the first value seen is the
     minimum and the result equals a full build.
@@ -146,7 +147,9 @@ def fact_accumulating_upsert(current: DataFrame | None, batch_events: DataFrame,
     cur = current.select(*keys, *[F.col(f"{n}_ts").alias(f"_o_{n}") for n in names])
     nb = b.select(*keys, *[F.col(f"{n}_ts").alias(f"_n_{n}") for n in names])
     j = cur.join(nb, keys, "full_outer")
-    merged = j.select(*keys, *[F.coalesce(F.col(f"_o_{n}"), F.col(f"_n_{n}")).alias(f"{n}_ts") for n in names])
+    last = {m[0] for m in milestones if not isinstance(m, str) and m[2] == "max"}
+    merged = j.select(*keys, *[(F.greatest if n in last else F.coalesce)(F.col(f"_o_{n}"), F.col(f"_n_{n}")).alias(f"{n}_ts")
+                               for n in names])
     return _finish_accumulating(merged, key, milestones)
 
 

@@ -29,53 +29,43 @@ def hier_flatten(edges: DataFrame, node: str = "node_id", parent: str = "parent_
                       F.col("_over").alias("deeper_than_k"))
 
 
-def hier_closure(edges: DataFrame, node: str = "node_id", parent: str = "parent_id",
-                 max_depth: int = 64, workdir: str | None = None) -> DataFrame:
-    """D18 — closure table (ancestor, descendant, distance); distance 0 = self.
-
-    Semi-naive expansion: round *d* joins only the pairs found in round
-    *d − 1* with the edges (one equi join on the frontier's ancestor), so each
-    closure pair moves once. Every round is written as a table under the
-    session's checkpoint folder and the next round reads it back: lineage
-    stays one round long, a lost executor recomputes at most one round, and
-    nothing is cached. The driver only asks "any new pair?" per round. A node
-    that reaches itself (a cycle) or a walk longer than ``max_depth`` is
-    reported with distance −1 instead of looping forever.
+def hier_closure(edges: DataFrame, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """D18 — closure table (ancestor, descendant, distance), one row per pair
+    with the least distance; distance 0 = self.
+
+    Distances double: the pairs up to 2d are those up to d and, for each longer
+    shortest path, its first d steps joined with the rest. Pairs known already
+    are dropped, so a graph of any depth takes about log2(depth) rounds, each
+    written to the shared folder (one-round lineage). A node that reaches
+    itself is reported once more, with distance −1.
     """
     from starlayer.session import scratch_dir
 
     spark = edges.sparkSession
-    base = workdir or scratch_dir(spark, "closure")
-    e = edges.filter(F.col(parent).isNotNull()).select(F.col(node).alias("_c"), F.col(parent).alias("_p"))
-    nodes = edges.select(F.col(node).alias("descendant")).distinct()
-    self_pairs = nodes.select(F.col("descendant").alias("ancestor"), "descendant", F.lit(0).alias("distance"))
-    frontier = e.select(F.col("_p").alias("ancestor"), F.col("_c").alias("descendant"),
-                        F.lit(1).alias("distance"))
-    rounds = []
-    d = 1
+    base = scratch_dir(spark, "closure")
+    up = edges.filter(F.col(parent).isNotNull() & F.col(node).isNotNull()).select(
+        F.col(parent).alias("ancestor"), F.col(node).alias("descendant"), F.lit(1).alias("distance")).distinct()
+    rounds: list[str] = []
+    reach, fresh = 1, up
     while True:
-        path = f"{base}/round={d:04d}"
-        frontier.write.mode("overwrite").parquet(path)
-        done = spark.read.parquet(path)
+        path = f"{base}/upto={reach:08d}"
+        fresh.write.parquet(path)
         rounds.append(path)
-        ok = done.filter(F.col("ancestor") != F.col("descendant"))
-        if ok.isEmpty() or d >= max_depth:
+        known = spark.read.schema(up.schema).parquet(*rounds)
+        # a node on its own cycle is no step of a shortest path
+        steps = known.filter(F.col("ancestor") != F.col("descendant"))
+        first = steps.filter(F.col("distance") == reach).select("ancestor", F.col("descendant").alias("_mid"))
+        if first.isEmpty():
             break
-        frontier = (ok.join(e, ok["ancestor"] == e["_c"])
-                    .select(F.col("_p").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance")))
-        d += 1
-    walked = spark.read.parquet(*rounds).select("ancestor", "descendant", "distance")
-    pairs = walked.filter(F.col("ancestor") != F.col("descendant"))
-    cycles = walked.filter(F.col("ancestor") == F.col("descendant")).select(
-        "ancestor", "descendant", F.lit(-1).alias("distance"))
-    out = self_pairs.unionByName(pairs).unionByName(cycles.distinct())
-    last = spark.read.parquet(rounds[-1])
-    if d >= max_depth and not last.filter(F.col("ancestor") != F.col("descendant")).isEmpty():
-        over = last.filter(F.col("ancestor") != F.col("descendant")).select(
-            F.lit(None).cast(last.schema["ancestor"].dataType).alias("ancestor"), "descendant",
-            F.lit(-1).alias("distance")).distinct()
-        out = out.unionByName(over)
-    return out
+        rest = steps.select(F.col("ancestor").alias("_mid"), "descendant", "distance")
+        fresh = (first.join(rest, "_mid").groupBy("ancestor", "descendant")
+                 .agg((F.min("distance") + reach).cast("int").alias("distance"))
+                 .join(known.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"))
+        reach *= 2
+    nodes = edges.select(F.col(node).alias("ancestor")).filter("ancestor is not null").distinct()
+    loops = F.when(F.col("ancestor") == F.col("descendant"), F.lit(-1)).otherwise(F.col("distance"))
+    return (nodes.select("ancestor", F.col("ancestor").alias("descendant"), F.lit(0).alias("distance"))
+            .unionByName(known.select("ancestor", "descendant", loops.alias("distance"))))
 
 
 def hier_depth(closure: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ from starlayer.functions.exprs import lit_date, ratio
 
 
 def _order_cnt(key: str, unique: bool):
-    # After C04 the key is unique per DWD row, so COUNT equals COUNT DISTINCT
-    # and avoids the distinct aggregation's extra expand/shuffle.
+    # Orders are counted once by default; a caller whose rows are unique by key
+    # (after C04) may say so and spare the distinct aggregation's shuffle.
     return F.count(key) if unique else F.countDistinct(key)
 
 
 def dws_trade_order_1d(dwd: DataFrame, as_of=None, window_days: int | None = 30,
-                       keys_unique: bool = True) -> DataFrame:
+                       keys_unique: bool = False) -> DataFrame:
     """G01 — by date, user, merchant: orders, gmv, average amount, paid orders.
 
     ``window_days`` keeps ``order_date >= as_of - window_days``; ``None`` keeps
@@ -89,9 +89,12 @@ def period_key(period: str, as_of, date_col: str = "order_date"):
 
 
 def dws_subject_rollup(dwd: DataFrame, subject: str, dims=(), period: str = "1d",
-                       as_of=None, keys_unique: bool = True) -> DataFrame:
+                       as_of=None, keys_unique: bool = False, metrics: dict | None = None) -> DataFrame:
     """G05 — any subject × extra dims × period (1d/1w/1m/td) × metrics.
 
+    ``metrics`` maps output names to aggregate columns; by default orders, gmv
+    and paid orders.
+
     ``td`` keeps every row up to ``as_of``; the other periods keep rows up to
     ``as_of`` when it is given.
     """
@@ -99,10 +102,11 @@ def dws_subject_rollup(dwd: DataFrame, subject: str, dims=(), period: str = "1d"
     if as_of is not None:
         src = src.filter(F.col("order_date") <= lit_date(as_of))
     paid_key = F.when(F.col("order_status") == "paid", F.col("order_id"))
+    if metrics is None:
+        metrics = {"order_cnt": _order_cnt("order_id", keys_unique), "gmv": F.sum("order_amount"),
+                   "paid_order_cnt": _order_cnt(paid_key, keys_unique)}
     return (src.groupBy(period_key(period, as_of).alias("period_date"), subject, *dims)
-            .agg(_order_cnt("order_id", keys_unique).alias("order_cnt"),
-                 F.sum("order_amount").alias("gmv"),
-                 (F.count(paid_key) if keys_unique else F.countDistinct(paid_key)).alias("paid_order_cnt")))
+            .agg(*[m.alias(name) for name, m in metrics.items()]))
 
 
 def dwt_incremental(dwt_prev: DataFrame, dws_batch: DataFrame, as_of,

@@ -62,7 +62,7 @@ class Ctx:
 
     def dws(self, window_days: int | None = 30) -> DataFrame:
         src = self.dwd() if window_days is None else self.dwd_window(window_days)
-        return layers.dws_trade_order_1d(src, self.as_of, window_days)
+        return layers.dws_trade_order_1d(src, self.as_of, window_days, keys_unique=True)
 
     def dwt(self) -> DataFrame:
         return layers.dwt_user_topic(self.dws(None), self.as_of)
@@ -122,10 +122,10 @@ def order_lifecycle_events(c: "Ctx") -> DataFrame:
 
 
 def part_edges(c: "Ctx") -> DataFrame:
-    """Deep hierarchy: part k → parent floor(k/2), root 1, keys ≥ 1."""
-    p = c.t("part").filter(F.col("p_partkey") >= 1)
+    """Deep hierarchy: part k → parent floor(k/2), root 1; part 0 is a root of its own."""
+    p = c.t("part")
     return p.select(F.col("p_partkey").alias("node_id"),
-                    F.when(F.col("p_partkey") == 1, F.lit(None).cast("bigint"))
+                    F.when(F.col("p_partkey") <= 1, F.lit(None).cast("bigint"))
                     .otherwise(F.floor(F.col("p_partkey") / 2).cast("bigint")).alias("parent_id"))
 
 

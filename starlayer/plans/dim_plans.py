@@ -309,10 +309,10 @@ r AS (SELECT clo.ancestor, SUM(q) AS quantity, SUM(g) AS gross, SUM(n) AS fact_r
 """
 
 
-def _rollup(c):
+def _rollup(c, clo=None):
     li = c.t("lineitem").select("l_partkey", F.col("l_quantity").cast("decimal(18,2)").alias("qty"),
                                 F.col("l_extendedprice").cast("decimal(18,2)").alias("gross"))
-    return h.hier_rollup(li, _closure(c), "l_partkey", {"quantity": "qty", "gross": "gross"})
+    return h.hier_rollup(li, clo if clo is not None else _closure(c), "l_partkey", {"quantity": "qty", "gross": "gross"})
 
 
 @register("hier_rollup", with_(PART_EDGES).replace("WITH ", "WITH RECURSIVE ") + ", " + CLOSURE + _ROLLUP_SQL + f"""
@@ -330,7 +330,7 @@ FROM r JOIN dep ON r.ancestor = dep.node WHERE dep.depth <= 3""")
 def _join_hierarchy_bridge(c):
     """Totals of the top three levels of the part hierarchy through the closure."""
     clo = _closure(c)
-    r = _rollup(c)
+    r = _rollup(c, clo)
     dep = h.hier_depth(clo).withColumnRenamed("descendant", "ancestor")
     return (r.join(dep, "ancestor").filter(F.col("depth") <= 3)
             .select("ancestor", "depth", "quantity", "gross", "fact_rows"))

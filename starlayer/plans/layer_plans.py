@@ -168,9 +168,9 @@ def _dwt_merchant_topic(c):
 
 
 _ITEM_DWS = f"""dws_item AS (
-  SELECT order_date AS period_date, item_id, COUNT(order_id) AS order_cnt,
+  SELECT order_date AS period_date, item_id, COUNT(DISTINCT order_id) AS order_cnt,
          SUM(order_amount) AS gmv,
-         COUNT(CASE WHEN order_status = 'paid' THEN order_id END) AS paid_order_cnt
+         COUNT(DISTINCT CASE WHEN order_status = 'paid' THEN order_id END) AS paid_order_cnt
   FROM dwd WHERE order_date <= {ORDERS_AS_OF} GROUP BY order_date, item_id)"""
 
 
@@ -213,9 +213,9 @@ def _rollup_sql(period: str, dims: str = "") -> str:
           "1m": "CAST(date_trunc('month', order_date) AS DATE)", "td": ORDERS_AS_OF}[period]
     extra = f", {dims}" if dims else ""
     return with_(*ORDER_CHAIN) + f"""
-SELECT {pk} AS period_date, merchant_id{extra}, COUNT(order_id) AS order_cnt,
+SELECT {pk} AS period_date, merchant_id{extra}, COUNT(DISTINCT order_id) AS order_cnt,
        {D('SUM(order_amount)')} AS gmv,
-       COUNT(CASE WHEN order_status = 'paid' THEN order_id END) AS paid_order_cnt
+       COUNT(DISTINCT CASE WHEN order_status = 'paid' THEN order_id END) AS paid_order_cnt
 FROM dwd WHERE order_date <= {ORDERS_AS_OF}
 GROUP BY {pk}, merchant_id{extra}"""
 

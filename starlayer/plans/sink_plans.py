@@ -19,7 +19,7 @@ from starlayer.session import scratch_dir
 def _synth_sql(variant: str) -> str:
     user_mul, item_mul, amount_mul, pending_lt = (42, 7, 37, 2) if variant == "v1" else (7, 11, 17, 3)
     return f"""SELECT
-  'O' || LPAD(CAST(n AS VARCHAR), 6, '0') AS order_id,
+  'O' || LPAD(CAST(n AS VARCHAR), CAST(GREATEST(6, LENGTH(CAST(n AS VARCHAR))) AS INTEGER), '0') AS order_id,
   'U' || LPAD(CAST(((n * {user_mul}) % 1000 + 1) AS VARCHAR), 4, '0') AS user_id,
   'I' || LPAD(CAST(((n * {item_mul}) % 500 + 1) AS VARCHAR), 4, '0') AS item_id,
   'M' || LPAD(CAST(((n * 13) % 50 + 1) AS VARCHAR), 3, '0') AS merchant_id,
@@ -27,7 +27,7 @@ def _synth_sql(variant: str) -> str:
   CAST(ROUND(CAST((n * {amount_mul}) % 1000 + 10 AS DECIMAL(18,2)), 2) AS DOUBLE) AS order_amount,
   CASE WHEN (n * 11) % 10 < {pending_lt} THEN 'pending' WHEN (n * 11) % 10 < 7 THEN 'paid' ELSE 'shipped' END
     AS order_status,
-  'NO' || LPAD(CAST(n AS VARCHAR), 8, '0') AS order_no,
+  'NO' || LPAD(CAST(n AS VARCHAR), CAST(GREATEST(8, LENGTH(CAST(n AS VARCHAR))) AS INTEGER), '0') AS order_no,
   TIMESTAMP '2001-08-01 00:00:00' - ((n * 5) % 86400) * INTERVAL 1 SECOND AS created_at
 FROM (SELECT o_orderkey AS n FROM orders)"""
 

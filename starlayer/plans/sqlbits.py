@@ -32,7 +32,7 @@ TRADE_ORDER = """trade_order AS (
          AS DECIMAL(18,2)) AS order_amount,
     CASE o.o_orderstatus WHEN 'F' THEN ' PAID' WHEN 'O' THEN 'Shipped ' WHEN 'P' THEN 'pending' END
       AS order_status,
-    'NO' || LPAD(CAST(l.l_orderkey AS VARCHAR), 8, '0') AS order_no,
+    'NO' || LPAD(CAST(l.l_orderkey AS VARCHAR), CAST(GREATEST(8, LENGTH(CAST(l.l_orderkey AS VARCHAR))) AS INTEGER), '0') AS order_no,
     l.l_shipdate AS created_at
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
@@ -56,10 +56,10 @@ def dws_cte(name: str = "dws", window_days: int | None = 30, src: str = "dwd") -
         f"WHERE order_date >= {ORDERS_AS_OF} - INTERVAL {window_days} DAY"
     return f"""{name} AS (
   SELECT order_date, user_id, merchant_id,
-         COUNT(order_id) AS order_cnt,
+         COUNT(DISTINCT order_id) AS order_cnt,
          SUM(order_amount) AS gmv,
          {R('SUM(order_amount)', 'COUNT(order_amount)', 2)} AS avg_order_amount,
-         COUNT(CASE WHEN order_status = 'paid' THEN order_id END) AS paid_order_cnt
+         COUNT(DISTINCT CASE WHEN order_status = 'paid' THEN order_id END) AS paid_order_cnt
   FROM {src} {where}
   GROUP BY order_date, user_id, merchant_id)"""
 
@@ -151,8 +151,8 @@ LI_MONEY = """lim AS (
   FROM lineitem)"""
 
 PART_EDGES = """pe AS (
-  SELECT p_partkey AS node_id, CASE WHEN p_partkey = 1 THEN NULL ELSE p_partkey // 2 END AS parent_id
-  FROM part WHERE p_partkey >= 1)"""
+  SELECT p_partkey AS node_id, CASE WHEN p_partkey <= 1 THEN NULL ELSE p_partkey // 2 END AS parent_id
+  FROM part)"""
 
 CLOSURE = """clo(ancestor, descendant, distance) AS (
   SELECT node_id, node_id, 0 FROM pe

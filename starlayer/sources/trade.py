@@ -20,6 +20,12 @@ ORDERS_AS_OF = _dt.date(2001, 8, 1)
 EVENTS_AS_OF = _dt.date(2024, 1, 30)
 
 
+def zero_pad(value: Column, width: int) -> Column:
+    """Digits padded to ``width``; a longer number keeps all its digits."""
+    digits = value.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def trade_order(orders: DataFrame, lineitem: DataFrame, keep_order_key: bool = False) -> DataFrame:
     """S01 — item-grain order source from ``lineitem ⋈ orders``.
 
@@ -47,7 +53,7 @@ def trade_order(orders: DataFrame, lineitem: DataFrame, keep_order_key: bool = F
         F.col("o_orderdate").cast("date").alias("order_date"),
         amount.cast(MONEY).alias("order_amount"),
         status.alias("order_status"),
-        F.concat(F.lit("NO"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0")).alias("order_no"),
+        F.concat(F.lit("NO"), zero_pad(F.col("l_orderkey"), 8)).alias("order_no"),
         F.col("l_shipdate").alias("created_at"),
         *([F.col("l_orderkey").alias("_order_key")] if keep_order_key else []),
     )
@@ -72,7 +78,7 @@ def synth_orders_from(numbers: DataFrame, n_col: str = "n", *, seed: int = 42,
     n = F.col(n_col).cast("bigint")
 
     def code(prefix: str, value: Column, width: int) -> Column:
-        return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"))
+        return F.concat(F.lit(prefix), zero_pad(value, width))
 
     bucket = (n * 11) % 10
     a = lit_date(as_of)

@@ -15,15 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlayer.operators import dims as dimops
+from starlayer.session import drop_path
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """File stream over one table file of a folder (schema from the file)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """File stream over one table, a file or a folder of part files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def read_dir_stream(spark: SparkSession, path: str, schema, max_files: int | None = 1) -> DataFrame:
@@ -63,6 +67,10 @@ class VersionedTable:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.select(*[f.name for f in self.schema.fields]).write.mode("overwrite") \
             .parquet(f"{self.base}/v={batch_id}")
+        # the version before stays for a retry of this batch; older ones go
+        for v in self._versions():
+            if v < batch_id - 1:
+                drop_path(self.spark, f"{self.base}/v={v}")
 
 
 def run_available_now(writer, checkpoint: str) -> None:
@@ -82,88 +90,91 @@ def _upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
                       for c in cols if c not in keys]).select(*cols)
 
 
-def stream_dwd_latest(stream: DataFrame, out_base: str, checkpoint: str, key: str = "order_id",
-                      watermark: str | None = None) -> VersionedTable:
-    """Streaming C01: standardise, filter, and keep the latest row per key.
+def _apply_batches(stream: DataFrame, table: VersionedTable, step, checkpoint: str) -> VersionedTable:
+    """Runs ``step(previous table, batch) -> new rows`` per micro-batch. No
+    watermark: a late row meets the stored rows of its key like any other, and
+    the state is the table itself."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.write(step(table.read(before=batch_id), batch), batch_id)
+
+    run_available_now(stream.writeStream.foreachBatch(apply), checkpoint)
+    return table
+
 
-    The latest row is a streaming aggregate ``max_by(row, ordering)`` — one
-    state row per key (evictable with ``watermark`` on ``created_at``). Each
-    micro-batch's updated keys are upserted into the versioned table.
-    """
-    from starlayer.operators.clean import dwd_filter_invalid, dwd_standardize
+def stream_dwd_latest(stream: DataFrame, out_base: str, checkpoint: str, key: str = "order_id") -> VersionedTable:
+    """Streaming C01: standardise, filter, and keep the latest row per key,
+    whichever batch it arrives in."""
+    from starlayer.operators.clean import dwd_dedup_latest, dwd_filter_invalid, dwd_standardize
     s = dwd_filter_invalid(dwd_standardize(stream))
-    if watermark:
-        s = s.withWatermark("created_at", watermark)
-    cols = [c for c in s.columns if c != key]
-    order = F.struct(F.col("created_at"), -F.col("item_id"), -F.col("merchant_id"), -F.col("order_amount"))
-    latest = s.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
-    schema = s.schema
-    table = VersionedTable(stream.sparkSession, out_base, schema)
+    table = VersionedTable(stream.sparkSession, out_base, s.schema)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        table.write(_upsert(table.read(before=batch_id), batch, [key]), batch_id)
+    def step(old: DataFrame, batch: DataFrame) -> DataFrame:
+        touched = old.join(batch.select(key).distinct(), key, "left_semi").select(*batch.columns)
+        return _upsert(old, dwd_dedup_latest(touched.unionByName(batch), key), [key])
+
+    return _apply_batches(s, table, step, checkpoint)
 
-    run_available_now(latest.writeStream.outputMode("update").foreachBatch(apply), checkpoint)
-    return table
 
+def stream_dwd_dedup(stream: DataFrame, out_base: str, checkpoint: str, key: str, ts: str) -> VersionedTable:
+    """Streaming landing without re-delivered rows: the earliest row per
+    ``key``, however late it arrives."""
+    table = VersionedTable(stream.sparkSession, out_base, stream.schema)
+    cols = [c for c in stream.columns if c != key]
 
-def stream_dwd_dedup(stream: DataFrame, out_path: str, checkpoint: str, key: str, ts: str,
-                     delay: str = "1 day") -> DataFrame:
-    """Streaming landing that drops re-delivered rows: ``dropDuplicatesWithinWatermark``
-    keeps the first row per ``key`` while it is inside the watermark delay
-    (state is evicted after it), appended to a parquet table."""
-    s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) \
-        .dropDuplicatesWithinWatermark([key])
-    run_available_now(s.writeStream.format("parquet").option("path", out_path).outputMode("append"), checkpoint)
-    return stream.sparkSession.read.schema(s.schema).parquet(out_path)
-
-
-def stream_dws_1d(events: DataFrame, out_base: str, checkpoint: str, delay: str = "1 day") -> VersionedTable:
-    """Streaming daily summary: tumbling one-day event-time windows per event
-    type with a watermark; updated windows are upserted per micro-batch."""
-    # Event time must be a TIMESTAMP for watermarks. The wall-clock (NTZ) time
-    # is mapped to the instant with the same UTC reading, so day windows are
-    # wall-clock days whatever the session time zone.
-    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    ev = events.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz))
-    day = F.expr("date_from_unix_date(CAST(unix_seconds(w.start) DIV 86400 AS INT))")
-    agg = (ev.withWatermark("ts", delay)
-           .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
-           .agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"))
-           .select(day.alias("day"), "event_type", "events", "value_sum"))
-    schema = "day date, event_type string, events bigint, value_sum decimal(28,2)"
+    def step(old: DataFrame, batch: DataFrame) -> DataFrame:
+        touched = old.join(batch.select(key).distinct(), key, "left_semi").select(*batch.columns)
+        first = touched.unionByName(batch).groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(ts, *cols)).alias("_r"))
+        return _upsert(old, first.select(key, "_r.*").select(*batch.columns), [key])
+
+    return _apply_batches(stream, table, step, checkpoint)
+
+
+def stream_dws_1d(events: DataFrame, out_base: str, checkpoint: str) -> VersionedTable:
+    """Streaming daily summary per event type: each micro-batch is summed and
+    added to its days, so late rows count in theirs."""
     from pyspark.sql.types import _parse_datatype_string
-    table = VersionedTable(events.sparkSession, out_base, _parse_datatype_string(schema))
+    keys = ["day", "event_type"]
+    schema = _parse_datatype_string("day date, event_type string, events bigint, value_sum decimal(28,2)")
+    table = VersionedTable(events.sparkSession, out_base, schema)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        table.write(_upsert(table.read(before=batch_id), batch, ["day", "event_type"]), batch_id)
+    def step(old: DataFrame, batch: DataFrame) -> DataFrame:
+        add = batch.groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(
+            F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"))
+        return old.unionByName(add.select(*old.columns)).groupBy(*keys).agg(
+            F.sum("events").alias("events"), F.sum("value_sum").cast("decimal(28,2)").alias("value_sum"))
 
-    run_available_now(agg.writeStream.outputMode("update").foreachBatch(apply), checkpoint)
-    return table
+    return _apply_batches(events, table, step, checkpoint)
 
 
 def stream_scd2(changes: DataFrame, out_base: str, checkpoint: str, key: str, date_col: str,
-                attrs: list[str], prep=None, key_type=None) -> VersionedTable:
-    """Streaming SCD2: every micro-batch of changes is applied with the batch
-    merge (D03) to the previous version of the dimension. ``prep`` turns a raw
-    micro-batch into change-log rows (batch operators are allowed there)."""
+                attrs: list[str], prep=None) -> VersionedTable:
+    """Streaming SCD2. Raw changes are logged per micro-batch (a retried batch
+    rewrites its own folder); the versions of the keys that a batch touches are
+    rebuilt from their whole log, so a change older than the current version
+    takes its place. ``prep`` turns raw rows into change-log rows."""
     from pyspark.sql.types import BooleanType, DateType, StructField, StructType
+    spark = changes.sparkSession
     sample = prep(changes) if prep is not None else changes
     base_fields = [f for f in sample.schema.fields if f.name in [key] + attrs]
     schema = StructType(base_fields + [StructField("effective_date", DateType()),
                                        StructField("expiry_date", DateType()),
                                        StructField("is_current", BooleanType())])
-    table = VersionedTable(changes.sparkSession, out_base, schema)
+    table = VersionedTable(spark, out_base, schema)
+    logged: list[str] = []
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        prev = table.read(before=batch_id)
-        b = (prep(batch) if prep is not None else batch).select(key, *attrs, date_col)
-        if prev.isEmpty():
-            nxt = dimops.scd2_build(b, key, date_col, attrs)
-        else:
-            nxt = dimops.scd2_merge(prev, b, key, date_col, attrs)
-        table.write(nxt, batch_id)
+        path = f"{table.base}/log/b={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{table.base}/log")
+        stored = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+        logged[:] = [p for p in (st.getPath().toString() for st in stored) if int(p.rsplit("=", 1)[1]) <= batch_id]
+        make = prep or (lambda rows: rows)
+        log = make(spark.read.schema(batch.schema).parquet(*logged)).select(key, *attrs, date_col)
+        touched = make(spark.read.schema(batch.schema).parquet(path)).select(key).distinct()
+        rebuilt = dimops.scd2_build(log.join(touched, key, "left_semi"), key, date_col, attrs)
+        kept = table.read(before=batch_id).join(touched, key, "left_anti")
+        names = [f.name for f in schema.fields]
+        table.write(kept.select(*names).unionByName(rebuilt.select(*names)), batch_id)
 
     run_available_now(changes.writeStream.foreachBatch(apply), checkpoint)
     return table
-

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL, rows
 from starlayer.operators import advise, classify, clean, dims, facts, hierarchy, layers, metrics, quality
 from starlayer.plans.context import Ctx, change_log, part_edges
+from starlayer.sources.trade import zero_pad
 
 D = dt.date
 TS = dt.datetime
@@ -126,16 +127,68 @@ def test_junk_round_trip_keeps_flags(spark):
     assert rows(back) == rows(li.select("l_orderkey", "l_partkey", "l_suppkey", *flags))
 
 
-def test_junk_build_guard(spark):
-    df = spark.range(50).select((F.col("id") % 50).alias("a"))
-    with pytest.raises(Exception):
-        dims.junk_build(df, ["a"], max_rows=10).collect()
+def test_dense_keys_without_a_row_limit(spark):
+    df = spark.range(20_002).select((F.col("id") % 10_001).cast("int").alias("a"), F.lit("x").alias("b"))
+    got = [(r.junk_id, r.a) for r in dims.junk_build(df, ["a", "b"]).collect()]
+    assert sorted(got) == [(k + 1, k) for k in range(10_001)]
+
+
+def test_bridge_weights_of_a_large_group(spark):
+    df = spark.range(10_050).select(F.lit(1).alias("g"), F.col("id").alias("m"))
+    w = dims.bridge_build(df.unionByName(spark.createDataFrame([(2, 5), (2, 6), (2, 7)], "g int, m long")), "g", "m")
+    r = {x.g: x for x in w.groupBy("g").agg(F.sum("weight").alias("s"), F.min("weight").alias("lo"), F.max("weight").alias("hi")).collect()}
+    assert r[1].s == 1 and r[2].s == 1 and r[1].lo > 0 and r[1].hi < r[1].lo * 2
+    assert sorted(float(x.weight) for x in w.where("g = 2").collect()) == [0.3333, 0.3333, 0.3334]
+
+
+def test_long_order_numbers_stay_whole(spark):
+    got = spark.createDataFrame([(7,), (1234567890,), (1234567891,)], "n long").select(zero_pad(F.col("n"), 8).alias("p"))
+    assert [r.p for r in got.collect()] == ["00000007", "1234567890", "1234567891"]
+
+
+def test_orders_count_once_by_default(spark):
+    one = ("1-1", 1, 1, 1, dt.date(2001, 1, 1), 5.0, "paid")
+    df = spark.createDataFrame([one, one], "order_id string, user_id int, item_id int, merchant_id int, order_date date, "
+                               "order_amount double, order_status string").withColumn("order_amount", F.col("order_amount").cast("decimal(18,2)"))
+    assert layers.dws_trade_order_1d(df, "2001-01-02").first().order_cnt == 1
+    assert layers.dws_subject_rollup(df, "merchant_id").first().paid_order_cnt == 1
+    only = layers.dws_subject_rollup(df, "user_id", metrics={"rows": F.count(F.lit(1))}).first()
+    assert only.asDict() == {"period_date": dt.date(2001, 1, 1), "user_id": 1, "rows": 2}
+
+
+def brute_closure(edges):
+    out = {(n, n, 0) for n, _ in edges}
+    up = {}
+    for n, p in edges:
+        if p is not None:
+            up.setdefault(n, set()).add(p)
+    for n, _ in edges:
+        seen, front, d = {}, set(up.get(n, ())), 1
+        while front:
+            for a in front:
+                seen[a] = d
+            front = {b for a in front for b in up.get(a, ())} - set(seen)
+            d += 1
+        out |= {(a, n, -1 if a == n else k) for a, k in seen.items()}
+    return out
+
+
+@pytest.mark.parametrize("edges", [
+    [("R", None), ("a", "R"), ("b", "R"), ("x", "a"), ("x", "b"), ("y", "x")],
+    [(1, 2), (2, 1), (3, 1), (4, 3), (9, 9)],
+    [(0, None)] + [(k, k - 1) for k in range(1, 71)],
+])
+def test_closure_one_row_per_pair(spark, edges):
+    kind = "string" if isinstance(edges[0][0], str) else "long"
+    e = spark.createDataFrame(edges, f"node_id {kind}, parent_id {kind}")
+    got = [tuple(r) for r in hierarchy.hier_closure(e).select("ancestor", "descendant", "distance").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_closure(edges)
 
 
 def test_closure_cycle_and_depth(spark):
     e = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (10, 11), (11, 10)],
                               "node_id int, parent_id int")
-    clo = hierarchy.hier_closure(e, max_depth=10)
+    clo = hierarchy.hier_closure(e)
     good = clo.filter("distance >= 0 and descendant <= 5")
     assert good.count() == 5 + 4 + 3 + 2 + 1
     err = {(r.ancestor, r.descendant) for r in clo.filter("distance = -1").collect()}
@@ -147,7 +200,7 @@ def test_closure_cycle_and_depth(spark):
 
 def test_closure_pair_count_matches_fixture(spark):
     c = Ctx(spark, "/root/testdata/sf0.01")
-    assert hierarchy.hier_closure(part_edges(c)).count() == 19953
+    assert hierarchy.hier_closure(part_edges(c)).count() == 19954  # part 0 included
 
 
 def test_flatten_levels(spark):
