@@ -60,6 +60,19 @@ class Memo(dict):
         return self.rows[at]
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What this Python worker keeps between tasks (a model with its memo, an
+    encoder): one thing at a time, so that a worker which serves one operator
+    after another does not gather the memories of all."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Store:
     """Tables written to the shared folder: they cut lineage, survive lost
     executors, and go when the ``with`` block ends (``keep`` holds one until the

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlayer.llm.common import Store, components, runs, slices
+from starlayer.llm.common import Store, components, held, runs, slices
 from starlayer.llm.sharding import mix64
 from starlayer.llm.vecdedup import pair_parts
 
@@ -35,7 +35,8 @@ EXTRA = 20
 PART = 2_000_000
 #: family members up to which their ids (24 bytes each) are broadcast
 BROADCAST_MEMBERS = 1_000_000
-MOST_WORDS = 400_000
+#: word hashes that a worker remembers
+MOST_WORDS = 300_000
 #: cost of a heap step in binary probes, for the number of long lists
 MU = 0.0085
 
@@ -46,18 +47,16 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text's
     whole sequence is its one shingle; without words, none."""
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if len(_WORDS) > MOST_WORDS:
-        _WORDS.clear()
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = held("words", _Words)
+    if len(known) > MOST_WORDS:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(width, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for k in range(n):

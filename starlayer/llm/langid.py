@@ -9,6 +9,7 @@ shorter ones, down to single letters.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlayer.llm.common import Memo, Store, id_share, slices
+from starlayer.llm.common import Memo, Store, held, id_share, slices
 
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -134,19 +135,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-_PREDICTORS: dict[int, Predictor] = {}
-
-
 def _predictor(shared) -> Predictor:
-    if shared.value["id"] not in _PREDICTORS:
-        _PREDICTORS.clear()
-        _PREDICTORS[shared.value["id"]] = Predictor(shared.value["model"])
-    return _PREDICTORS[shared.value["id"]]
+    return held(("langid", shared.value["id"]), lambda: Predictor(shared.value["model"]))
 
 
 def _share(spark: SparkSession, model: dict):
-    import uuid
-
     return spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "model": model})
 
 

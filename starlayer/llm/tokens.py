@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from starlayer.llm.common import held
+
 TOKENIZER = "byte_bpe_50k.json"
 END = np.zeros(1, dtype="<u4").tobytes()
 #: chunks of one generation of a worker's memo; about 180 bytes each, two
@@ -162,18 +164,13 @@ class Encoder:
         return pool[spot], np.concatenate([[0], ends[bounds[1:] + np.arange(len(texts))]])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
     """This worker's encoder for a tokenizer file (by default the public one)."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def crc32(ids: bytes | memoryview) -> int:

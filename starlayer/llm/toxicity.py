@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlayer.llm.common import Memo, Store, id_share, slices
+from starlayer.llm.common import Memo, Store, held, id_share, slices
 
 # Plain insults that count even where no label names them.
 SEED = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown"
@@ -45,7 +45,7 @@ class Featurizer:
     def __init__(self, lexicon: dict):
         self.words: dict[str, float] = {w: 2.0 for w in SEED} | lexicon["words"]
         self.stems: dict[str, float] = lexicon["stems"]
-        self.memo = Memo(self._token, 11)
+        self.memo = Memo(self._token, 11, most=250_000)
 
     def _token(self, token: str) -> np.ndarray:
         row = np.zeros(11, dtype=np.float32)
@@ -250,17 +250,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 24_000) -> dict | None:
 
 # --- scoring ----------------------------------------------------------------------------
 
-_SCORERS: dict[str, Featurizer] = {}
-
-
 def _scores(shared, texts: list) -> np.ndarray:
     model = shared.value["model"]
     if model is None:
         return np.zeros(len(texts))
-    if shared.value["id"] not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[shared.value["id"]] = Featurizer(model["lexicon"])
-    x = np.stack([_SCORERS[shared.value["id"]](t) for t in texts])
+    describe = held(("toxicity", shared.value["id"]), lambda: Featurizer(model["lexicon"]))
+    x = np.stack([describe(t) for t in texts])
     return np.interp(raw_scores(model["trees"], x), *model["isotonic"])
 
 
