@@ -24,7 +24,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END = np.zeros(1, dtype="<u4").tobytes()
 #: chunks of one generation of a worker's memo; about 180 bytes each, two
 #: generations are held
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 400_000
 LONGEST = 64
 
 # Byte-level alphabet: printable bytes of Latin-1 stand for themselves, the
@@ -102,25 +102,31 @@ class Encoder:
             self.known, self.old = {}, self.known
         if len(self.firsts) > MOST_CHUNKS // 4:
             self.firsts = {}
-        found = {c: self.old[c] for c in chunks if c in self.old}
-        shaped = [m for m in map(SHAPE, chunks) if m and m[0] not in found]
-        words = {m[1]: self.known.get(m[1]) or self.old.get(m[1]) for m in shaped}
+        found: dict[str, bytes] = {}
+        shaped, rest = [], []
+        for c in chunks:
+            if c in self.old:
+                found[c] = self.old[c]
+            elif m := SHAPE(c):
+                shaped.append((c, *m.groups()))
+            else:
+                rest.append(c)
+        words = {x[1]: self.known.get(x[1]) or self.old.get(x[1]) for x in shaped}
         unseen = [w for w, b in words.items() if b is None]
         words.update(zip(unseen, self._words(unseen, space=True)))
-        unseen = list({m[4] for m in shaped if m[3]}.difference(self.firsts))
+        unseen = list({x[4] for x in shaped if x[3]}.difference(self.firsts))
         self.firsts.update(zip(unseen, self._words(unseen, space=False)))
-        unseen = list({r for m in shaped for r in (m[2], m[5]) if r}.difference(self.signs))
+        unseen = list({r for x in shaped for r in (x[2], x[5]) if r}.difference(self.signs))
         self.signs.update(zip(unseen, self._encode(unseen)))
-        for m in shaped:
-            ids = words[m[1]]
-            if m[2]:
-                ids += self.signs[m[2]]
-            if m[3]:
-                ids += self.line + self.firsts[m[4]] + (self.signs[m[5]] if m[5] else b"")
-            found[m[0]] = ids
+        for c, word, signs, line, first, more in shaped:
+            ids = words[word]
+            if signs:
+                ids += self.signs[signs]
+            if line:
+                ids += self.line + self.firsts[first] + (self.signs[more] if more else b"")
+            found[c] = ids
         if len(self.signs) > MOST_CHUNKS // 16:
             self.signs = {}
-        rest = [c for c in chunks if c not in found]
         plain = [c for c in rest if c and not c[0].isspace() and not c[-1].isspace()]
         odd = [c for c in rest if not c or c[0].isspace() or c[-1].isspace()]
         found.update(zip(plain, self._chunks(plain)))
