@@ -60,6 +60,19 @@ class Memo(dict):
         return self.rows[at]
 
 
+def small_batches(spark: SparkSession, rows: int = 2048, size: int = 8 << 20) -> None:
+    """Lowers (never raises) the session's Arrow batch bounds: a batch stands in
+    the JVM and in the Python worker of each running task, so with long texts
+    the defaults, made for narrow rows, cost hundreds of MB an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
 _HELD: dict = {}
 
 
@@ -80,6 +93,7 @@ class Store:
 
     def __init__(self, spark: SparkSession):
         ensure_checkpoint_dir(spark)
+        small_batches(spark)
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Store:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlayer.llm.common import slices
+from starlayer.llm.common import slices, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -137,6 +137,7 @@ def clean_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
                 [batch.column(0), *(pa.array([x[k].decode() if k == 7 else x[k] for x in found], types[k]) for k in order)],
                 names=names)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, schema)
 
