@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,12 +25,25 @@ def id_share(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can: a long-lived
+    worker otherwise keeps the peak of every batch it has seen."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches again, at most ``rows`` rows each, so that what Python holds
-    of one batch stays small."""
-    for batch in batches:
+    of one batch stays small; freed memory goes back every few batches."""
+    for k, batch in enumerate(batches):
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        if k % 4 == 3:
+            give_back()
 
 
 class Memo(dict):
@@ -82,6 +96,7 @@ def held(key, make: Callable):
     after another does not gather the memories of all."""
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 

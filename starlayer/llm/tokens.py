@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,16 @@ END = np.zeros(1, dtype="<u4").tobytes()
 #: generations are held
 MOST_CHUNKS = 400_000
 LONGEST = 64
+#: words of up to 48 letters encoded in one call: the library's encodings take
+#: some 200 bytes a token while they live
+WORDS_AT_ONCE = 16_384
 
 # Byte-level alphabet: printable bytes of Latin-1 stand for themselves, the
 # others for the code points from 256 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 SPACE = "\u0120"
 BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+del BYTES[0x20]  # spaces part the words that are encoded together
 
 
 # Letters of ASCII and of the Latin blocks, where all Unicode versions agree; ASCII
@@ -42,6 +47,21 @@ _SIGNS = r"([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?"
 SHAPE = re.compile(rf"{_WORD}{_SIGNS}(?:(\n){_WORD}{_SIGNS})?").fullmatch
 
 
+def portions(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of about ``most`` characters (a longer text
+    alone): the library's encodings take some 200 bytes a token while they live."""
+    some: list[str] = []
+    size = 0
+    for t in texts:
+        if some and size + len(t) > most:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -62,15 +82,17 @@ class Encoder:
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for some in portions(texts)
+                for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks, each with a space before it, encoded as one text: its
         chunks hold no other space, so an id that starts with one starts a chunk."""
-        if not chunks:
-            return []
-        found = self._cut(self.tokenizer, " " + " ".join(chunks))
-        return found if len(found) == len(chunks) else self._encode([" " + c for c in chunks])
+        out: list[bytes] = []
+        for some in portions(chunks):
+            found = self._cut(self.tokenizer, " " + " ".join(some))
+            out += found if len(found) == len(some) else self._encode([" " + c for c in some])
+        return out
 
     def _cut(self, tokenizer, joined: str) -> list[bytes]:
         ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -82,14 +104,16 @@ class Encoder:
         """Ids of words of letters, with or without a space before them. Such a
         word is one piece, so a second tokenizer, which only splits at spaces,
         takes the pieces in the model's alphabet of bytes."""
-        if not words:
-            return []
-        pieces = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in words]
-        if space:
-            return self._cut(self.splitter, SPACE + (" " + SPACE).join(pieces))
-        # a lone space after each word shows where it ends
-        found = self._cut(self.splitter, SPACE + " " + f" {SPACE} ".join(pieces))
-        return [b[4:] for b in found]
+        out: list[bytes] = []
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            joined = " ".join(words[k:k + WORDS_AT_ONCE])
+            if not joined.isascii():
+                joined = joined.encode().decode("latin-1").translate(BYTES)
+            if space:
+                out += self._cut(self.splitter, SPACE + joined.replace(" ", " " + SPACE))
+            else:  # a lone space after each word shows where it ends
+                out += [b[4:] for b in self._cut(self.splitter, f"{SPACE} {joined.replace(' ', f' {SPACE} ')}")]
+        return out
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks not in the memo; all but long ones are remembered.
@@ -103,21 +127,26 @@ class Encoder:
         if len(self.firsts) > MOST_CHUNKS // 4:
             self.firsts = {}
         found: dict[str, bytes] = {}
-        shaped, rest = [], []
+        single, shaped, rest = [], [], []
         for c in chunks:
-            if c in self.old:
-                found[c] = self.old[c]
-            elif m := SHAPE(c):
-                shaped.append((c, *m.groups()))
-            else:
+            if b := self.old.get(c):
+                found[c] = b
+            elif not (m := SHAPE(c)):
                 rest.append(c)
+            elif m.lastindex == 1:
+                single.append(c)
+            else:
+                shaped.append((c, *m.groups()))
         words = {x[1]: self.known.get(x[1]) or self.old.get(x[1]) for x in shaped}
-        unseen = [w for w, b in words.items() if b is None]
-        words.update(zip(unseen, self._words(unseen, space=True)))
+        alone = set(single)
+        unseen = single + [w for w, b in words.items() if b is None and w not in alone]
+        new = dict(zip(unseen, self._words(unseen, space=True)))
+        words.update(new)
         unseen = list({x[4] for x in shaped if x[3]}.difference(self.firsts))
         self.firsts.update(zip(unseen, self._words(unseen, space=False)))
         unseen = list({r for x in shaped for r in (x[2], x[5]) if r}.difference(self.signs))
         self.signs.update(zip(unseen, self._encode(unseen)))
+        found.update((c, new[c]) for c in single)
         for c, word, signs, line, first, more in shaped:
             ids = words[word]
             if signs:
