@@ -9,6 +9,7 @@ Texts with double spaces go to the library whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -47,7 +48,7 @@ _SIGNS = r"([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?"
 SHAPE = re.compile(rf"{_WORD}{_SIGNS}(?:(\n){_WORD}{_SIGNS})?").fullmatch
 
 
-def portions(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
+def portions(texts: list[str], most: int = 100_000) -> Iterator[list[str]]:
     """``texts`` in order, in lists of about ``most`` characters (a longer text
     alone): the library's encodings take some 200 bytes a token while they live."""
     some: list[str] = []
@@ -65,6 +66,7 @@ def portions(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        gc.set_threshold(100_000, 50, 1000)  # many strings and tuples, no cycles
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
