@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlayer.llm.common import Store, slices
+from starlayer.llm.common import Store, slices, small_batches
 from starlayer.llm.tokens import crc32, encoder
 
 LENGTH = 2048
@@ -27,6 +27,9 @@ LENGTH = 2048
 GROUP = 65_536
 #: underfull bins that one local search looks at
 SEARCHED = 400
+#: chunks that a packing worker's encoder remembers: fewer than by itself, since
+#: the pipeline packs on executors whose heap earlier stages have filled
+PACK_CHUNKS = 200_000
 
 
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -42,8 +45,8 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
            tokenizer: str | None = None) -> DataFrame:
     """One row per piece of each tokenised document (its ids, then id 0)."""
     def run(batches):
-        encode = encoder(tokenizer)
-        for batch in slices(batches, 1024):
+        encode = encoder(tokenizer, PACK_CHUNKS)
+        for batch in slices(batches, 512):
             out = []
             ids, bounds = encode(batch.column(1))
             data = memoryview(ids).cast("B")
@@ -53,6 +56,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession, 512, 2 << 20)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 

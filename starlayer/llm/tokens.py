@@ -64,7 +64,8 @@ def portions(texts: list[str], most: int = 100_000) -> Iterator[list[str]]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_chunks: int = MOST_CHUNKS):
+        self.most_chunks = most_chunks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         gc.set_threshold(100_000, 50, 1000)  # many strings and tuples, no cycles
         from tokenizers import Tokenizer
@@ -124,9 +125,9 @@ class Encoder:
         next one's first word: each of these is a piece of its own, so a word's
         ids serve whatever follows it.
         """
-        if len(self.known) > MOST_CHUNKS:
+        if len(self.known) > self.most_chunks:
             self.known, self.old = {}, self.known
-        if len(self.firsts) > MOST_CHUNKS // 4:
+        if len(self.firsts) > self.most_chunks // 4:
             self.firsts = {}
         found: dict[str, bytes] = {}
         single, shaped, rest = [], [], []
@@ -156,7 +157,7 @@ class Encoder:
             if line:
                 ids += self.line + self.firsts[first] + (self.signs[more] if more else b"")
             found[c] = ids
-        if len(self.signs) > MOST_CHUNKS // 16:
+        if len(self.signs) > self.most_chunks // 16:
             self.signs = {}
         plain = [c for c in rest if c and not c[0].isspace() and not c[-1].isspace()]
         odd = [c for c in rest if not c or c[0].isspace() or c[-1].isspace()]
@@ -201,13 +202,13 @@ class Encoder:
         return pool[spot], np.concatenate([[0], ends[bounds[1:] + np.arange(len(texts))]])
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, most_chunks: int = MOST_CHUNKS) -> Encoder:
     """This worker's encoder for a tokenizer file (by default the public one)."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    return held(("encoder", path), lambda: Encoder(path))
+    return held(("encoder", path, most_chunks), lambda: Encoder(path, most_chunks))
 
 
 def crc32(ids: bytes | memoryview) -> int:
