@@ -10,7 +10,6 @@ raise the sum of squared fills until the emptiest bins run empty.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -25,8 +24,6 @@ from starlayer.llm.tokens import crc32, encoder
 LENGTH = 2048
 #: short pieces packed together; a group wastes at most about one sequence
 GROUP = 65_536
-#: underfull bins that one local search looks at
-SEARCHED = 400
 #: chunks that a packing worker's encoder remembers: fewer than by itself, since
 #: the pipeline packs on executors whose heap earlier stages have filled
 PACK_CHUNKS = 200_000
@@ -85,72 +82,114 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, searched: int = SEARCHED,
-                 rounds: int = 20) -> list[list[int]]:
-    """Empties bins by exchanges that each raise the sum of squared fills.
+class _Underfull:
+    """Bins that have room, found by their free space and their items' lengths.
 
-    The emptiest underfull bin gives: an item moves to a fuller bin with room,
-    or is exchanged for a shorter one there, or two of its items for one item
-    shorter than both. Then the next emptiest gives, and rounds go on while any
-    exchange was found. Every one leaves the fuller bin fuller still; a bin that
-    has given all it had is gone.
+    ``kinds`` has a bit per length that some bin of a free space holds, bit 0
+    standing for taking nothing out; ``frees`` a bit per free space.
     """
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: fill[k])[:searched]
-        if not any([_give(giver, under[x + 1:], bins, fill, size, capacity) for x, giver in enumerate(under)]):
-            break
-    return [b for b in bins if b]
 
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size = bins, size
+        self.free = [capacity - sum(size[i] for i in b) for b in bins]
+        self.holders: dict[tuple[int, int], dict[int, None]] = {}
+        self.kinds = [0] * (capacity + 1)
+        self.frees = 0
+        for b in range(len(bins)):
+            self.add(b)
+
+    def _kinds(self, b: int) -> set[int]:
+        return {0, *(self.size[i] for i in self.bins[b])} if self.free[b] and self.bins[b] else set()
+
+    def add(self, b: int) -> None:
+        free = self.free[b]
+        for n in self._kinds(b):
+            self.holders.setdefault((free, n), {})[b] = None
+            self.kinds[free] |= 1 << n
+            self.frees |= 1 << free
+
+    def remove(self, b: int) -> None:
+        free = self.free[b]
+        for n in self._kinds(b):
+            holders = self.holders[free, n]
+            del holders[b]
+            if not holders:
+                del self.holders[free, n]
+                self.kinds[free] &= ~(1 << n)
+                if not self.kinds[free]:
+                    self.frees &= ~(1 << free)
+
+    def best(self, amounts: dict[int, tuple[int, ...]], most: int) -> tuple[int, int, int] | None:
+        """(free, back, amount) of the exchange that moves most into a bin with
+        at most ``most`` free: ``amount`` goes in, an item of ``back`` comes out."""
+        gain, found = 0, None
+        frees = self.frees & ((1 << most + 1) - 1)
+        while frees:
+            free = frees.bit_length() - 1
+            if free <= gain:  # no exchange moves more than is free
+                break
+            frees ^= 1 << free
+            kinds = self.kinds[free]
+            for amount in amounts:
+                least = max(0, amount - free)
+                fits = (kinds & ((1 << amount) - 1)) >> least
+                if fits:
+                    back = least + (fits & -fits).bit_length() - 1
+                    if amount - back > gain:
+                        gain, found = amount - back, (free, back, amount)
+        return found
+
+
+def _amounts(items: list[int], size: list[int]) -> dict[int, tuple[int, ...]]:
+    """The lengths of one item and of two, with items that have them."""
+    own: dict[int, list[int]] = defaultdict(list)
+    for i in items:
+        own[size[i]].append(i)
+    out = {n: (some[0],) for n, some in own.items()}
+    few = [i for some in own.values() for i in some[:2]]
+    for x, i in enumerate(few):
+        for j in few[x + 1:]:
+            out.setdefault(size[i] + size[j], (i, j))
+    return out
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Empties bins by exchanges that each raise the sum of squared fills.
 
-def _give(giver: int, takers: list[int], bins: list[list[int]], fill: list[int], size: list[int], capacity: int) -> bool:
-    """Exchanges from one bin to fuller ones until none raises the sum."""
-    any_given, given = False, True
-    while given and bins[giver]:
-        given = False
-        for taker in sorted(takers, key=lambda k: -fill[k]):
-            free = capacity - fill[taker]
-            found = _exchange(bins[giver], bins[taker], size, free) if free and fill[taker] >= fill[giver] else None
-            if found:
-                gone, back = found
-                for i in gone:
+    The emptiest underfull bin gives: an item moves to a bin at least as full
+    with room, or one or two of its items are exchanged for a shorter one there.
+    Of all such exchanges the one that moves most is made, until there is none;
+    then the next emptiest gives, and rounds go on until one finds no exchange
+    between any two bins. A bin that has given all it had is gone.
+    """
+    size = lengths.tolist()
+    under = _Underfull(bins, size, capacity)
+    free, exchanged = under.free, True
+    while exchanged:
+        exchanged = False
+        for giver in sorted((b for b in range(len(bins)) if bins[b] and free[b]), key=lambda b: -free[b]):
+            under.remove(giver)
+            while bins[giver] and free[giver]:
+                amounts = _amounts(bins[giver], size)
+                found = under.best(amounts, free[giver])
+                if not found:
+                    break
+                room, back, amount = found
+                taker = next(iter(under.holders[room, back]))
+                under.remove(taker)
+                for i in amounts[amount]:
                     bins[giver].remove(i)
-                for i in back:
-                    bins[taker].remove(i)
-                bins[giver] += back
-                bins[taker] += gone
-                gain = sum(size[i] for i in gone) - sum(size[i] for i in back)
-                fill[taker] += gain
-                fill[giver] -= gain
-                given = any_given = True
-                break
-    return any_given
-
-
-def _exchange(giver: list[int], taker: list[int], size: list[int], free: int) -> tuple[list[int], list[int]] | None:
-    """The move, one-for-one or two-for-one exchange that fills the taker most."""
-    best, found = 0, None
-    own = sorted((size[i], i) for i in taker)
-    for i in giver:
-        if best < size[i] <= free:
-            best, found = size[i], ([i], [])
-    for i in giver:
-        # the shortest item that leaves room for item i
-        k = bisect_left(own, (size[i] - free, -1))
-        if k < len(own) and best < size[i] - own[k][0] <= free:
-            best, found = size[i] - own[k][0], ([i], [own[k][1]])
-    if best < free and len(giver) > 1:
-        few = sorted(giver, key=lambda i: -size[i])[:16]
-        for x, i in enumerate(few):
-            for j in few[x + 1:]:
-                both = size[i] + size[j]
-                if best < both <= free:
-                    best, found = both, ([i, j], [])
-                k = bisect_left(own, (both - free, -1))
-                if k < len(own) and best < both - own[k][0] <= free:
-                    best, found = both - own[k][0], ([i, j], [own[k][1]])
-    return found
+                    bins[taker].append(i)
+                if back:
+                    j = next(i for i in bins[taker] if size[i] == back)
+                    bins[taker].remove(j)
+                    bins[giver].append(j)
+                free[taker] -= amount - back
+                free[giver] += amount - back
+                under.add(taker)
+                exchanged = True
+            under.add(giver)
+    return [b for b in bins if b]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = LENGTH) -> list[list[int]]:

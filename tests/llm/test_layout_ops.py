@@ -189,6 +189,33 @@ def test_local_search_exchanges():
     assert len(packing.local_search([[0, 1], [2, 3], [4]], lengths, 100)) == 2
 
 
+def exchange_left(bins, lengths, capacity):
+    """Whether a move, 1-for-1 or 2-for-1 exchange with a bin at least as full is left."""
+    under = [b for b in bins if lengths[b].sum() < capacity]
+    sums = [np.unique([*lengths[b], *(lengths[i] + lengths[j] for x, i in enumerate(b) for j in b[x + 1:])]) for b in under]
+    fill = [lengths[b].sum() for b in under]
+    for g, amounts in enumerate(sums):
+        for t, taker in enumerate(under):
+            if t != g and fill[t] >= fill[g]:
+                gain = amounts[:, None] - np.array([0, *lengths[taker]])
+                if ((gain > 0) & (gain <= capacity - fill[t])).any():
+                    return True
+    return False
+
+
+def test_local_search_leaves_no_exchange():
+    # more underfull bins than 400; and givers with more than 16 items
+    rng = np.random.default_rng(1)
+    for lengths, capacity in ((rng.integers(600, 1100, 2_000), 2048), (rng.integers(2, 90, 400), 997)):
+        first = packing.best_fit(lengths, capacity)
+        if capacity == 997:
+            first = [[int(i) for i in part] for part in np.array_split(np.arange(len(lengths)), 22)]
+        packed = packing.local_search([list(b) for b in first], lengths, capacity)
+        assert sorted(i for b in packed for i in b) == list(range(len(lengths)))
+        assert all(lengths[b].sum() <= capacity for b in packed)
+        assert not exchange_left(packed, lengths, capacity) and len(packed) < len(first)
+
+
 # --- sharding --------------------------------------------------------------------------------
 
 def test_shards(docs, odd, none):
