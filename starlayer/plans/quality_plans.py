@@ -35,6 +35,22 @@ def _recon_extra(c):
     return q.recon_extra(_older(c), c.dwd(), ["order_id"])
 
 
+_KEYED = """keyed AS (
+  SELECT * FROM dwd UNION ALL BY NAME
+  SELECT * REPLACE (order_no || '-' || CAST(item_id AS VARCHAR) AS order_id) FROM trade_order WHERE order_id IS NULL)"""
+
+
+@register("recon_extra_all", with_(*ORDER_CHAIN, _KEYED) + f"""
+SELECT {_TO_SEL} FROM keyed b
+WHERE NOT EXISTS (SELECT 1 FROM trade_order a WHERE a.order_id = b.order_id)""")
+def _recon_extra_all(c):
+    """The whole source against a target that also holds the orders without a
+    key, under one made of order number and item: those keys are additional."""
+    keyed = c.trade_order().filter(F.col("order_id").isNull()).withColumn(
+        "order_id", F.concat_ws("-", "order_no", F.col("item_id").cast("string")))
+    return q.recon_extra(c.trade_order(), c.dwd().unionByName(keyed), ["order_id"])
+
+
 @register("recon_amount", with_(*ORDER_CHAIN) + f"""
 SELECT COALESCE(a.user_id, b.user_id) AS user_id,
        {D('COALESCE(a.amount, 0)')} AS source_amount, {D('COALESCE(b.amount, 0)')} AS target_amount,

@@ -354,3 +354,12 @@ def test_edge_skew_flags_hot_key(spark):
     df = spark.range(100).select(F.when(F.col("id") < 40, 0).otherwise(F.col("id")).alias("k"))
     hot = quality.edge_skew(df, "k", 2.0).collect()
     assert [(r.k, r.row_count) for r in hot] == [(0, 40)]
+
+
+def test_recon_extra_all_reads_the_whole_source(spark):
+    from starlayer.plans import catalog
+    source = Ctx(spark, SF_SMALL).trade_order()
+    extra = catalog.queries()["recon_extra_all"](spark, SF_SMALL).collect()
+    known = {r.order_id for r in source.select("order_id").collect()}
+    assert extra and not known & {r.order_id for r in extra}
+    assert len(extra) == source.where("order_id IS NULL").count()
