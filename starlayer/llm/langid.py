@@ -169,10 +169,10 @@ def identify(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "do
     return rows.mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: dict, text: str = "text", min_score: float = 0.4,
+def keep_identified(docs: DataFrame, model: dict, text: str = "text", min_score: float = 0.0,
                     langs: set[str] | None = None) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language is
-    determined with at least ``min_score`` (and is one of ``langs``, if given)."""
+    determined, if wanted with at least ``min_score`` and as one of ``langs``."""
     shared = _share(docs.sparkSession, model)
     at = docs.columns.index(text)
 

@@ -42,6 +42,14 @@ def test_language_odd_rows(spark, docs, odd, none):
     assert langid.identify(odd, langid.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_keep_identified_keeps_all_with_letters(spark, docs):
+    # words that no language knows: the posterior is one over the four languages
+    rows = spark.createDataFrame([(1, "日本"), (2, "日 7"), (3, "123 ..."), (4, None)], "doc_id long, text string")
+    model = langid.fit(docs)
+    assert len(model["langs"]) > 2 and min(r.score for r in langid.identify(rows, model).where("lang_pred <> 'und'").collect()) < 0.4
+    assert {r.doc_id for r in langid.keep_identified(rows, model).collect()} == {1, 2}
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     lines = (text or "").split("\n")
