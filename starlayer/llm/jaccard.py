@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from starlayer.llm.common import Store, components, held, runs, slices
 from starlayer.llm.sharding import mix64
@@ -236,6 +237,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     by links. A row without words or without id links with nothing and is its
     own component; repeated rows are equal sets; an empty table gives no rows.
     """
+    return _labelled(docs, percent, width, text, doc_id, ["doc_id", "n_shingles", "component_id"])
+
+
+def _labelled(docs: DataFrame, percent: int, width: int, text: str, doc_id: str, names: list[str]) -> DataFrame:
+    """``names`` of (doc_id, n_shingles, component_id, set_id, component) for
+    every row; ``component`` is a set of the component, the same for all its rows."""
     spark = docs.sparkSession
     store = Store(spark)
     rows = store.put(sets(docs, text, doc_id, percent, width), "sets")
@@ -249,12 +256,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     tied = components(store, links).withColumnRenamed("node", "set_id")
     named = distinct.select("set_id", "first").join(tied, "set_id")
     label = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    tied = named.join(label, "component").select("set_id", "component_id")
+    tied = named.join(label, "component").select("set_id", "component", "component_id")
     classes = distinct.select("set_id", "first").join(tied, "set_id", "left").select(
-        "set_id", F.coalesce("component_id", "first").alias("component_id"))
+        "set_id", F.coalesce("component", "set_id").alias("component"), F.coalesce("component_id", "first").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
     out = store.put(out.join(classes, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "jaccard", keep=True)
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "component")
+        .select(*names), "jaccard", keep=True)
     store.__exit__()
     return out
 
@@ -354,22 +362,38 @@ def _links(kept: DataFrame, families: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, one of each component: the
-    row with the smallest id. Of rows that repeat an id one stays; rows without
-    words or id all stay."""
-    found = jaccard_components(docs, percent, width, text, doc_id)
-    first = (found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id")
-             .agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_rows")))
-    dropped = first.where(F.col("doc_id") != F.col("_c")).select(F.col("doc_id").alias("_id"))
-    repeated = first.where((F.col("doc_id") == F.col("_c")) & (F.col("_rows") > 1)).select(F.col("doc_id").alias("_id"))
+    """The rows of ``docs``, all columns as they are, one of each component: a
+    row with the smallest id. Rows that repeat an id compete only within a
+    component; rows without words or id all stay."""
+    found = _labelled(docs, percent, width, text, doc_id, ["doc_id", "n_shingles", "component_id", "set_id", "component"])
+    worded = found.where("doc_id is not null and n_shingles > 0")
+    first = worded.groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_rows"))
+    dropped = first.where((F.col("doc_id") != F.col("_c")) & (F.col("_rows") == 1)).select(F.col("doc_id").alias("_id"))
+    repeated = first.where(F.col("_rows") > 1).select(F.col("doc_id").alias("_id"))
     left = docs.join(dropped, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
     if repeated.isEmpty():
         return left
-    twice = left.join(repeated, F.col(doc_id).cast("long") == F.col("_id"), "left_semi")
-    blank = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = twice.where(~blank).dropDuplicates([doc_id])
-    return (left.join(repeated, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
-            .unionByName(twice.where(blank)).unionByName(one))
+    again = F.col(doc_id).cast("long") == F.col("_id")
+    twice = _with_set(left.join(repeated, again, "left_semi"), width, text)
+    places = (worded.where("doc_id = component_id").join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
+              .select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_place"), F.col("component").alias("_component")).distinct())
+    one = (twice.join(places, again & (F.col("_set") == F.col("_place")))
+           .dropDuplicates(["_id", "_component"]).select(docs.columns))
+    return (left.join(repeated, again, "left_anti")
+            .unionByName(twice.where("_set is null").select(docs.columns)).unionByName(one))
+
+
+def _with_set(docs: DataFrame, width: int, text: str) -> DataFrame:
+    """``docs`` with ``_set``, the id of a row's shingle set, NULL without words."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            found = [shingles(t, width) for t in pc.cast(batch.column(at), pa.binary()).to_pylist()]
+            ids = pa.array([set_id(s) if len(s) else None for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "_set"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", LongType())]))
 
 
 def op10(docs: DataFrame) -> DataFrame:

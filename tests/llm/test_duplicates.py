@@ -163,6 +163,17 @@ def test_jaccard_odd_rows(spark, odd, none):
     assert jaccard.keep_one(none).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b),      # b has no copy, though its id stands on a copy of 1
+            (3, c), (3, c), (3, "x y"),  # two texts of one id, one of them twice
+            (4, c), (3, " "), (3, None), (None, c)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(
+        [(1, a), (2, b), (3, c), (3, "x y"), (3, " "), (3, None), (None, c)], key=key)
+
+
 def test_search_equals_counting():
     rng = np.random.default_rng(8)
     for trial in range(30):
