@@ -40,6 +40,16 @@ def _profile_columns(c):
     return a.profile_columns(c.trade_order(), _PROFILE_COLS)
 
 
+_ALL_TYPES = [("order_id", False), ("user_id", True), ("item_id", True), ("merchant_id", True), ("order_date", False),
+              ("order_amount", True), ("order_status", False), ("order_no", False), ("created_at", False)]
+
+
+@register("profile_columns_all", with_(TRADE_ORDER) + _profile_sql("trade_order", _ALL_TYPES))
+def _profile_columns_all(c):
+    """Every column of the table."""
+    return a.profile_columns(c.trade_order())
+
+
 @register("profile_columns_approx")
 def _profile_columns_approx(c):
     """HyperLogLog++ distinct counts for very large tables (rows-only check)."""

@@ -363,3 +363,9 @@ def test_recon_extra_all_reads_the_whole_source(spark):
     known = {r.order_id for r in source.select("order_id").collect()}
     assert extra and not known & {r.order_id for r in extra}
     assert len(extra) == source.where("order_id IS NULL").count()
+
+
+def test_profile_columns_all_profiles_every_column(spark):
+    from starlayer.plans import catalog
+    got = [r.column_name for r in catalog.queries()["profile_columns_all"](spark, SF_SMALL).collect()]
+    assert sorted(got) == sorted(Ctx(spark, SF_SMALL).trade_order().columns) and len(got) == 9
