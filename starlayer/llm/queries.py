@@ -8,7 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starlayer.llm import chat, jaccard, langid, mixing, packing, quality, sharding, tokenbin, toxicity, vecdedup
+from starlayer.llm import (chat, convrepair, exactdup, fim, jaccard, langid, mixing, packing, quality, sharding, tokenbin, toxicity,
+                           vecdedup)
 from starlayer.llm.common import table
 
 
@@ -52,9 +53,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.op13(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_line_quality, op3_chat_format, op4_source_mix, op5_near_vectors, op6_best_fit_pack,
-                             op7_hash_tree_shards, op8_toxicity, op9_token_orc, op10_jaccard_join)
+                             op7_hash_tree_shards, op8_toxicity, op9_token_orc, op10_jaccard_join, op11_content_sort, op12_fill_in_middle,
+                             op13_conversation_repair)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_content_sort": exactdup.OP11_SQL, "op12_fill_in_middle": fim.OP12_SQL}
