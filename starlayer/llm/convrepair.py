@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,13 +215,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
-            if rows and (row["conv_id"] != conv or len(rows) == PIECE):
+        for now, turn, role, digest, fault, copies in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and (now != conv or len(rows) == PIECE):
                 out.append(done())
                 part, rows = part + 1, []
             if not rows:
-                conv, start = row["conv_id"], tuple(row[c] for c in ORDER)
-            rows.append((row["turn"], row["role"][:1], row["fault"], row["copies"]))
+                conv, start = now, (now, turn, role, digest)
+            rows.append((turn, role[:1], fault, copies))
         if out:
             yield _piece_batch(out)
     if rows:
@@ -328,7 +329,8 @@ class _Repairer:
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per conversation its account (place 0), then the repaired turns. Rows
-    come as marker (kind 0), pieces (1) and turns (2) of each conversation."""
+    (conv_id, kind, role, text, piece, ...) come as marker (kind 0), pieces (1)
+    and turns (2) of each conversation."""
     conv, pieces, walk, started = None, [], None, False
     out: list[tuple] = []
     chars = 0
@@ -351,17 +353,18 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add(walk.inserts())
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if not started or row["conv_id"] != conv:
+        found = batch.column(4)
+        for i, (now, kind, role, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+            if not started or now != conv:
                 if started:
                     finish()
-                conv, pieces, walk, started = row["conv_id"], [], None, True
-            if row["kind"] == 1:
-                pieces.append(row["piece"])
-            elif row["kind"] == 2:
+                conv, pieces, walk, started = now, [], None, True
+            if kind == 1:
+                pieces.append(found[i].as_py())
+            elif kind == 2:
                 if walk is None:
                     account()
-                add(walk.turn(row["role"], row["text"]))
+                add(walk.turn(role, text))
             if chars > OUT_CHARS:
                 yield _repaired_batch(out)
                 out, chars = [], 0
@@ -396,12 +399,13 @@ def faults(turns: DataFrame) -> DataFrame:
     end = F.rtrim("text", F.lit(SPACE))
     fault = F.when(end == "", "blank").when(~F.right(end, F.lit(1)).isin(".", "!", "?"), "truncated").otherwise("")
     light = (turns.select("conv_id", "turn", "role", F.unhex(F.sha2("text", 256)).alias("digest"), fault.alias("fault"))
-             .groupBy("conv_id", "turn", "role", "digest", "fault").agg(F.count(F.lit(1)).alias("copies")))
-    first = (light.where("fault <> 'blank'").groupBy("conv_id", "role", "digest")
-             .agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))).alias("first"))
-             .select(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("digest").alias("_d"), "first"))
+             .groupBy(*ORDER, "fault").agg(F.count(F.lit(1)).alias("copies")))
+    first = (light.where("fault <> 'blank'")
+             .groupBy(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("digest").alias("_d"))
+             .agg(F.min("turn").alias("_turn"), F.max(F.col("turn").isNull()).alias("_null")))
     same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("digest") == F.col("_d"))
-    again = (F.col("fault") != "blank") & ~F.col("turn").eqNullSafe(F.col("first.turn"))
+    earliest = F.when(F.col("_null"), F.col("turn").isNull()).otherwise(F.col("turn") == F.col("_turn"))
+    again = (F.col("fault") != "blank") & ~earliest
     return light.join(first, same, "left").select(
         *ORDER, F.when(again, "duplicate").otherwise(F.col("fault")).alias("fault"), "copies")
 
@@ -429,15 +433,11 @@ def repair(turns: DataFrame, every: DataFrame | None = None, conv_id: str = "con
         found = store.put(faults(rows).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(
             _pieces, f"conv_id long, turn long, role string, digest binary, part long, piece {PIECE_DDL}"), "pieces", keep=True)
     ids = rows if every is None else every.select(F.col(conv_id).cast("long").alias("conv_id"))
-    none = F.lit(None)
-    marks = ids.select("conv_id").distinct().select(
-        "conv_id", F.lit(0).alias("kind"), none.cast("long").alias("turn"), none.cast("string").alias("role"),
-        none.cast("binary").alias("digest"), none.cast("long").alias("part"), none.cast("string").alias("text"),
-        none.cast(PIECE_DDL).alias("piece"))
-    parts = found.select("conv_id", F.lit(1).alias("kind"), "turn", "role", "digest", "part", none.cast("string").alias("text"), "piece")
-    said = rows.select("conv_id", F.lit(2).alias("kind"), "turn", "role", F.unhex(F.sha2("text", 256)).alias("digest"),
-                       none.cast("long").alias("part"), "text", none.cast(PIECE_DDL).alias("piece"))
-    return (marks.unionByName(parts).unionByName(said).repartition("conv_id")
+    marks = ids.select("conv_id").distinct().withColumn("kind", F.lit(0))
+    parts = found.withColumn("kind", F.lit(1))
+    said = rows.withColumn("kind", F.lit(2)).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    return (said.unionByName(parts, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
+            .select("conv_id", "kind", "role", "text", "piece", "turn", "digest", "part").repartition("conv_id")
             .sortWithinPartitions("conv_id", "kind", "turn", "role", "digest", "part").mapInArrow(_repair, REPAIRED))
 
 
@@ -470,20 +470,92 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGESTED.split(", ")]
     now, state = None, None
     for batch in batches:
-        done = []
-        for row in batch.to_pylist():
-            if row["place"] == 0:
+        done, accounts = [], zip(*(c.filter(pc.equal(batch.column(1), 0)).to_pylist() for c in [batch.column(0), *batch.columns[4:]]))
+        for place, role, text in zip(*(c.to_pylist() for c in batch.columns[1:4])):
+            if place == 0:
                 if now is not None:
                     done.append((*now, state.hexdigest()))
-                now, state = (row["conv_id"], *(row[c] for c in _ACCOUNT)), hashlib.sha256()
+                now, state = next(accounts), hashlib.sha256()
             else:
-                state.update(f"{chr(10) if row['place'] > 1 else ''}{row['role']}:{row['text']}".encode())
+                state.update(f"{chr(10) if place > 1 else ''}{role}:{text}".encode())
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
     if now is not None:
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*now, state.hexdigest()), kinds)], names=names)
 
 
+def _sql_crc32(text: str) -> str:
+    """CRC-32 of an ASCII string; DuckDB has no function for it."""
+    table = ("list_transform(range(256), lambda k: list_reduce(list_concat([k], range(8)), "
+             "lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))")
+    steps = f"list_concat([4294967295], list_transform(range(length({text})), lambda i: ascii({text}[i + 1])::BIGINT))"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, {table}[xor(c & 255, b) + 1])), 4294967295)"
+
+
+#: the grammar as an automaton, turn by turn: per conversation and state the
+#: cheapest, then least audit; no alignment with targets
+OP13_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (SELECT *, {_sql_crc32("k")} % 20 AS what FROM raw),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+         CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM damaged),
+turns AS (
+  SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS letter,
+         CASE WHEN said = '' THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM placed),
+ins(s, t, price, edits) AS (VALUES ('0', '0', 0, ''), ('0', 'u', 5, 'I'), ('0', 'a', 10, 'II'), ('s', 's', 0, ''), ('s', 'u', 5, 'I'),
+  ('s', 'a', 10, 'II'), ('u', 'u', 0, ''), ('u', 'a', 5, 'I'), ('a', 'a', 0, ''), ('a', 'u', 5, 'I')),
+go(s, t) AS (VALUES ('0', 's'), ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+edit AS (
+  SELECT r.conv_id, r.i, g.s, g.t, CASE WHEN letter = g.t THEN 0 ELSE 1 END + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS price,
+         CASE WHEN letter = g.t THEN 'K' ELSE 'R' END AS edits
+  FROM turns r, go g WHERE fault NOT IN ('blank', 'duplicate') AND (letter = g.t OR g.t <> 's')
+  UNION ALL SELECT conv_id, i, s, s, 2, 'D' FROM turns, (VALUES ('0'), ('s'), ('u'), ('a')) x(s)),
+-- way: the cost in nine digits, then the audit, so that the least string is the way sought
+best(conv_id, i, s, way) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '0', '000000000' FROM turns
+  UNION ALL
+  SELECT b.conv_id, e.i, e.t, min(lpad(CAST(CAST(substr(b.way, 1, 9) AS BIGINT) + n.price + e.price AS VARCHAR), 9, '0')
+                                  || substr(b.way, 10) || n.edits || e.edits)
+  FROM best b JOIN ins n ON n.s = b.s JOIN edit e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.s = n.t
+  GROUP BY b.conv_id, e.i, e.t),
+chosen AS (
+  SELECT b.conv_id, min(lpad(CAST(CAST(substr(b.way, 1, 9) AS BIGINT) + n.price AS VARCHAR), 9, '0') || substr(b.way, 10) || n.edits) AS way
+  FROM best b JOIN ins n ON n.s = b.s AND n.t IN ('0', 'a')
+  JOIN (SELECT conv_id, max(i) AS n FROM turns GROUP BY conv_id) z ON z.conv_id IS NOT DISTINCT FROM b.conv_id AND z.n = b.i
+  GROUP BY b.conv_id),
+letters AS (
+  SELECT conv_id, substr(way, 10) AS audit, unnest(range(1, length(way) - 8)) AS p FROM chosen),
+steps AS (
+  SELECT conv_id, p, substr(audit, p, 1) AS e, length(replace(substr(audit, 1, p), 'I', '')) AS i,
+         length(replace(substr(audit, 1, p), 'D', '')) AS place, length(replace(audit, 'D', '')) % 2 AS opened FROM letters),
+said AS (
+  SELECT s.conv_id, s.place, CASE WHEN e = 'K' THEN r.role WHEN (s.place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || CASE WHEN e = 'I' THEN '' ELSE r.text END AS line
+  FROM steps s LEFT JOIN turns r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i WHERE e <> 'D'),
+whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY place) AS repaired FROM said GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(way, 1, 9) AS BIGINT), 0) AS cost,
+       coalesce(substr(way, 10), '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op13(conversations: DataFrame) -> DataFrame:
     """Query op13: damaged conversations, their accounts and the digest of what
     the repair gives."""

@@ -71,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                              op13_conversation_repair)
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_content_sort": exactdup.OP11_SQL, "op12_fill_in_middle": fim.OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_content_sort": exactdup.OP11_SQL, "op12_fill_in_middle": fim.OP12_SQL,
+                             "op13_conversation_repair": convrepair.OP13_SQL}

@@ -31,9 +31,10 @@ def by_sql(key, table):
     return names, Counter(cur.fetchall())
 
 
-@pytest.mark.parametrize("key", ["op11_content_sort", "op12_fill_in_middle"])
-def test_whole_table_equals_sql(spark, key):
-    names, want = by_sql(key, "documents")
+@pytest.mark.parametrize("key, table", [("op11_content_sort", "documents"), ("op12_fill_in_middle", "documents"),
+                                        ("op13_conversation_repair", "conversations")])
+def test_whole_table_equals_sql(spark, key, table):
+    names, want = by_sql(key, table)
     got = queries.QUERIES[key](spark, MEDIUM)
     assert sorted(got.columns) == sorted(names)
     assert Counter(tuple(r) for r in got.select(*names).collect()) == want
@@ -286,6 +287,10 @@ def test_repair_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     frame = spark.createDataFrame(ODD * 2, schema).selectExpr("*", "7 as kind", "'x' as piece", "1.0 as digest", "2 as place")
     assert accounts(convrepair.op13(frame)) == brute_repair(ODD * 2)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", ODD * 2)
+    assert {r[0]: r[1:] for r in con.execute(convrepair.OP13_SQL).fetchall()} == brute_repair(ODD * 2)
     plain = accounts(convrepair.repair(frame).mapInArrow(convrepair._digests, convrepair.DIGESTED))
     assert plain == brute_repair(ODD * 2, damaged=False)
     turns = convrepair.repaired_turns(frame).where("conv_id = 6").orderBy("place").collect()
