@@ -155,8 +155,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
                  label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
-    Only rows of one label and one dimension are compared. Identical vectors
-    are one class that is joined once and link with each other. A row without
+    Only rows of one label and one dimension are compared. Identical vectors,
+    and those that differ by a power of two, are one class that is joined once
+    and link with each other. A row without
     id or label, or whose vector is NULL, empty, zero or holds a NULL or
     non-finite component, links with nothing and is its own component.
     Repeated rows count as vectors of their own; an empty table gives no rows.
@@ -167,7 +168,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     sound = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(
         F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("v", lambda c: c != 0.0),
         F.lit(False)))
-    rows = rows.withColumn("cid", F.when(sound, F.xxhash64("label", "v")))
+    # a power of two brings the largest component near 1: no square over- or underflows, no bit of a cosine changes
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", F.abs)))))
+    rows = rows.withColumn("sound", sound).withColumn("v", F.when(F.col("sound"), F.transform("v", lambda c: c / scale)))
+    rows = rows.withColumn("cid", F.when(F.col("sound"), F.xxhash64("label", "v")))
     classes = store.put(rows.where("cid is not null").groupBy("cid", "label", "v")
                         .agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
                         .withColumn("dim", F.size("v")), "classes")

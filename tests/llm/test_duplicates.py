@@ -70,6 +70,14 @@ def test_vectors_of_the_table(spark):
     assert got_vectors(frame) == brute_vectors(rows)
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200] * 3, 0), (2, [2e200] * 3, 0), (3, [1e-200] * 3, 0), (4, [1e-310, 1e-310, -1e-310], 0),
+            (5, [1.7e308, 1.7e308, -1.7e308], 0), (6, [5e-324, 0.0, 0.0], 0), (7, [3.0, 1e-300, 0.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert [(r.vec_id, r.n_links, r.component_id) for r in vecdedup.near_vectors(frame).orderBy("vec_id").collect()] == [
+        (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6)]
+
+
 @pytest.mark.parametrize("dim", [3, 24])
 def test_vectors_odd_rows(spark, dim, monkeypatch):
     monkeypatch.setattr(vecdedup, "CELL", 7)  # cells are compared in pairs of parts
