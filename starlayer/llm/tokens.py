@@ -4,7 +4,8 @@ In the byte-level pattern a space before a non-space always begins a new piece
 when a non-space or a complete run of space stands before it. A text without two
 spaces in a row can thus be cut at its spaces, and the ids of the chunks, each
 with its space, are the ids of the text. Chunks recur, so most are looked up.
-Texts with double spaces go to the library whole.
+Texts with double spaces, or with the letters of an added token, go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = Tokenizer.from_file(path)
         self.splitter.pre_tokenizer = CharDelimiterSplit(" ")
         self.known: dict[str, bytes] = {}
@@ -175,12 +176,14 @@ class Encoder:
         into the texts' places by index vectors."""
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring(texts, "  ")
+        for content in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, content))
         parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         bounds = parts.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = parts.flatten().dictionary_encode()
         code, chunks = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        # a text's first chunk has no space before it; a text with double spaces is one chunk
+        # a text's first chunk has no space before it; a whole text is one chunk
         heads = [t if w else chunks[c] for t, w, c in zip(
             pc.if_else(whole, texts, "").to_pylist(), whole.to_pylist(), code[bounds[:-1]].tolist())]
         ids = list(map(self.known.get, chunks))
