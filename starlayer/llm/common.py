@@ -25,6 +25,19 @@ def id_share(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each made longer until it is none of ``columns`` (which Spark
+    compares without case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

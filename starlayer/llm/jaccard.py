@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from starlayer.llm.common import Store, components, held, runs, slices
+from starlayer.llm.common import Store, components, fresh, held, runs, slices
 from starlayer.llm.sharding import mix64
 from starlayer.llm.vecdedup import pair_parts
 
@@ -366,34 +366,35 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, text
     row with the smallest id. Rows that repeat an id compete only within a
     component; rows without words or id all stay."""
     found = _labelled(docs, percent, width, text, doc_id, ["doc_id", "n_shingles", "component_id", "set_id", "component"])
+    key, of, component = fresh(docs.columns, "_id", "_set", "_component")
+    same = F.col(doc_id).cast("long") == F.col(key)
     worded = found.where("doc_id is not null and n_shingles > 0")
-    first = worded.groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_rows"))
-    dropped = first.where((F.col("doc_id") != F.col("_c")) & (F.col("_rows") == 1)).select(F.col("doc_id").alias("_id"))
-    repeated = first.where(F.col("_rows") > 1).select(F.col("doc_id").alias("_id"))
-    left = docs.join(dropped, F.col(doc_id).cast("long") == F.col("_id"), "left_anti")
+    first = worded.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    dropped = first.where((F.col(key) != F.col("least")) & (F.col("rows") == 1)).select(key)
+    repeated = first.where("rows > 1").select(key)
+    left = docs.join(dropped, same, "left_anti")
     if repeated.isEmpty():
         return left
-    again = F.col(doc_id).cast("long") == F.col("_id")
-    twice = _with_set(left.join(repeated, again, "left_semi"), width, text)
-    places = (worded.where("doc_id = component_id").join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
-              .select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_place"), F.col("component").alias("_component")).distinct())
-    one = (twice.join(places, again & (F.col("_set") == F.col("_place")))
-           .dropDuplicates(["_id", "_component"]).select(docs.columns))
-    return (left.join(repeated, again, "left_anti")
-            .unionByName(twice.where("_set is null").select(docs.columns)).unionByName(one))
-
-
-def _with_set(docs: DataFrame, width: int, text: str) -> DataFrame:
-    """``docs`` with ``_set``, the id of a row's shingle set, NULL without words."""
+    twice = _with_set(left.join(repeated, same, "left_semi"), width, text, of)
+    places = (worded.where("doc_id = component_id").withColumnRenamed("doc_id", key).join(repeated, key, "left_semi")
+              .select(key, F.col("set_id").alias(f"{of}_place"), F.col("component").alias(component)).distinct())
+    one = (twice.join(places, same & (F.col(of) == F.col(f"{of}_place")))
+           .dropDuplicates([key, component]).select(docs.columns))
+    return (left.join(repeated, same, "left_anti")
+            .unionByName(twice.where(F.col(of).isNull()).select(docs.columns)).unionByName(one))
+
+
+def _with_set(docs: DataFrame, width: int, text: str, name: str) -> DataFrame:
+    """``docs`` with column ``name``, the id of a row's shingle set, NULL without words."""
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in slices(batches, 256):
             found = [shingles(t, width) for t in pc.cast(batch.column(at), pa.binary()).to_pylist()]
             ids = pa.array([set_id(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "_set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def op10(docs: DataFrame) -> DataFrame:

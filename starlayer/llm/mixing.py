@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starlayer.llm.common import WORD, Store, global_rank
+from starlayer.llm.common import WORD, Store, fresh, global_rank
 
 #: sources up to which the table of rates (some 50 bytes a source) is broadcast
 BROADCAST_SOURCES = 100_000
@@ -66,13 +66,13 @@ def emit(docs: DataFrame, seed: int = 17, weights=(3, 1, 2), share: float = 1.5,
     takes it. Rows of one id and text are drawn alike; a NULL source is a source
     of its own; empty texts weigh nothing and follow their source's rate."""
     sized = docs.select(F.col(source).alias("source"), word_count(text).alias("size"))
+    of, rate, u, copy = fresh(docs.columns, "_of", "_rate", "_u", "_copy")
     with Store(docs.sparkSession) as store:
-        rates = targets(store, sized, weights, share, most).select(
-            F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
-    rows = docs.withColumn("_mix_u", draw(seed, doc_id, text))
-    taken = rows.join(rates, F.col(source).eqNullSafe(F.col("_mix_source")))
-    again = F.explode(F.array_repeat(F.lit(0), copies("_mix_u", "_mix_rate").cast("int")))
-    return taken.withColumn("_mix_copy", again).select(*docs.columns)
+        rates = targets(store, sized, weights, share, most).select(F.col("source").alias(of), F.col("rate").alias(rate))
+    rows = docs.withColumn(u, draw(seed, doc_id, text))
+    taken = rows.join(rates, F.col(source).eqNullSafe(F.col(of)))
+    again = F.explode(F.array_repeat(F.lit(0), copies(u, rate).cast("int")))
+    return taken.withColumn(copy, again).select(*docs.columns)
 
 
 def mix(docs: DataFrame, seed: int = 17, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -24,8 +24,9 @@ def odd(spark):
             (8, "ONE two", None, None), (9, "the same row twice over and over again", "en", "b"),
             (9, "the same row twice over and over again", "en", "b"), (10, "é" * 30 + " ü.\nx", "de", "c"),
             (11, "a  b   c d \U0001F600 日本", "en", "c"), (12, "<|endoftext|> </s> [INST] x", "en", "c")]
-    full = [(i, t, lang, s, None if t is None else len(t), 0.5, 7, "x", True) for i, t, lang, s in rows]
-    return spark.createDataFrame(full, COLUMNS + ", score double, part int, component_id string, kept boolean")
+    full = [(i, t, lang, s, None if t is None else len(t), 0.5, 7, "x", True, 3, "y", 0.1) for i, t, lang, s in rows]
+    return spark.createDataFrame(full, COLUMNS + ", score double, part int, component_id string, kept boolean, "
+                                           "_id long, _of string, _rate double")
 
 
 @pytest.fixture(scope="session")
