@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import lit_date
 from starlayer.functions.joins import bounded_broadcast
-from starlayer.session import ensure_checkpoint_dir
+from starlayer.functions.segments import SIDE, Segmented, carry, rank, segment
+from starlayer.session import ensure_checkpoint_dir, scratch_dir
 
 OPEN_END = _dt.date(9999, 12, 31)
 
@@ -28,20 +29,29 @@ def _changed(attrs: list[str], w) -> Column:
 
 def scd_versions(log: DataFrame, key: str, date_col: str, attrs: list[str],
                  start: str = "effective_date", end: str = "expiry_date",
-                 current: str | None = "is_current", tie: str | None = None) -> DataFrame:
+                 current: str | None = "is_current", tie: str | None = None, parts: int | None = None) -> DataFrame:
     """Version chain from a change log: one row per run of equal attribute
     values, ``[start, end)`` half-open, the open end 9999-12-31.
 
-    Both windows share the (key) partitioning and (date) ordering, so the plan
-    has one shuffle and one sort.
+    A key with more rows than a task should hold is cut into segments along its
+    dates: the row before a segment decides whether its first row is a change,
+    and the first change after it ends its last version. Other keys take both
+    windows in one shuffle and one sort.
     """
     order = [F.col(date_col)] + ([F.col(tie)] if tie else [])
-    w = Window.partitionBy(key).orderBy(*order)
-    v = log.withColumn("_chg", _changed(attrs, w)).filter("_chg")
-    w2 = Window.partitionBy(key).orderBy(*order)
-    nxt = F.lead(F.col(date_col)).over(w2)
-    out = v.select(key, *attrs, F.col(date_col).cast("date").alias(start),
-                   F.coalesce(nxt.cast("date"), F.lit(OPEN_END)).alias(end))
+    cols = list(dict.fromkeys([key, *attrs, date_col, *([tie] if tie else [])]))
+    s = carry(segment(log.select(*cols), [key], order, parts))
+    v = s.rows.withColumn("_chg", _changed(attrs, s.window())).filter("_chg")
+    if s.cut:
+        # changes are written once: their borders and their ends read them
+        path = scratch_dir(log.sparkSession, "versions")
+        v.where(F.col(SIDE) == 0).drop(SIDE, "_chg").write.parquet(path)
+        s = carry(Segmented(log.sparkSession.read.parquet(path), [key], order, True), before=False, after=True)
+        v = s.rows
+    nxt = F.lead(F.col(date_col)).over(s.window())
+    out = s.own(v.withColumn("_next", nxt)).select(
+        key, *attrs, F.col(date_col).cast("date").alias(start),
+        F.coalesce(F.col("_next").cast("date"), F.lit(OPEN_END)).alias(end))
     if current:
         out = out.withColumn(current, F.col(end) == F.lit(OPEN_END))
     return out
@@ -100,12 +110,12 @@ def scd2_merge(dim: DataFrame, batch: DataFrame, key: str, date_col: str, attrs:
 def scd3_prev(log: DataFrame, key: str, date_col: str, attr: str) -> DataFrame:
     """D04 — current and previous value of one attribute as columns."""
     v = scd_versions(log, key, date_col, [attr], current=None)
-    w = Window.partitionBy(key).orderBy("effective_date")
-    return (v.withColumn(f"previous_{attr}", F.lag(attr).over(w))
-            .withColumn("_rn", F.row_number().over(w.orderBy(F.col("effective_date").desc())))
-            .filter("_rn = 1")
-            .select(key, F.col(attr).alias(f"current_{attr}"), f"previous_{attr}",
-                    F.col("effective_date").alias("changed_date")))
+    # the two latest versions: a rank limit that each map task applies first
+    w = Window.partitionBy(key).orderBy(F.col("effective_date").desc())
+    two = v.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2")
+    at = lambda n, c: F.max(F.when(F.col("_rn") == n, F.col(c)))
+    return two.groupBy(key).agg(at(1, attr).alias(f"current_{attr}"), at(2, attr).alias(f"previous_{attr}"),
+                                at(1, "effective_date").alias("changed_date"))
 
 
 def zipper_build(log: DataFrame, key: str, date_col: str, attrs: list[str]) -> DataFrame:
@@ -137,8 +147,6 @@ def _dense_key(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
 
     The set is range-partitioned and written once; each part is numbered by
     itself and shifted by the counts of the parts before (a row per part)."""
-    from starlayer.session import scratch_dir
-
     spark = df.sparkSession
     order = [F.col(c).asc_nulls_first() for c in cols]
     path = scratch_dir(spark, id_col)
@@ -195,27 +203,28 @@ def mini_attach(fact: DataFrame, main: DataFrame, key_fact: str, key_main: str,
 
 
 def bridge_build(df: DataFrame, group_key: str, member_key: str, weight_col: str = "weight",
-                 extra_aggs: list[Column] | None = None) -> DataFrame:
-    """D12/D13 — bridge (group, member, weight): equal weights
-    (decimal(18,12), four places up to 10,000 members), the rounding remainder on the last member, so the weights of
-    a group sum to exactly 1.
-
-    Members per group and the last member come from a grouped aggregate
-    (partial aggregation absorbs a hot group) joined back on the group key,
-    not from a window that would put a whole hot group in one task.
+                 extra_aggs: list[Column] | None = None, parts: int | None = None) -> DataFrame:
+    """D12/D13 — bridge (group, member, weight) with equal weights by largest
+    remainder: the unit is 10^-4, or smaller where that is not a thousandth of
+    an equal share; every member gets the same number of whole units, and the
+    units left over go one each to the last members in key order. No two weights
+    of a group differ by more than a unit, and they sum to exactly 1
+    (decimal(18,12): up to a billion members at that precision).
+
+    Members per group are counted with a combine on the map side; places in a
+    group come from segments, so a hot group is numbered by many tasks.
     """
     pairs = df.groupBy(group_key, member_key).agg(*(extra_aggs or [F.count(F.lit(1)).alias("_x")]))
     if not extra_aggs:
         pairs = pairs.drop("_x")
-    per = pairs.groupBy(group_key).agg(F.count(F.lit(1)).alias("_n"), F.max(member_key).alias("_last"))
-    n = F.col("_n")
-    # Four decimals; twelve where four would leave most members without weight.
-    scale = F.when(n <= 10000, F.lit(10**4)).otherwise(F.lit(10**12)).cast("decimal(13,0)")
-    base = (F.floor(scale / n).cast("decimal(13,0)") / scale).cast("decimal(18,12)")
-    last = (F.lit(1).cast("decimal(18,12)") - base * (n - 1).cast("decimal(13,0)")).cast("decimal(18,12)")
-    return (pairs.join(per, group_key)
-            .withColumn(weight_col, F.when(F.col(member_key) == F.col("_last"), last).otherwise(base))
-            .drop("_n", "_last"))
+    per = pairs.groupBy(F.col(group_key).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    places = F.least(F.lit(12), F.greatest(F.lit(4), F.length(F.col("_n").cast("string")) + 3))
+    own = F.expr("_units div _n") + F.when(F.col("_place") > F.col("_n") - F.col("_units") % F.col("_n"), 1).otherwise(0)
+    ranked = rank(segment(pairs, [group_key], [F.col(member_key)], parts), "_place")
+    return (ranked.join(per, F.col(group_key).eqNullSafe(F.col("_g")))
+            .withColumn("_units", F.pow(F.lit(10.0), places).cast("long"))
+            .withColumn(weight_col, (own.cast("decimal(13,0)") / F.col("_units").cast("decimal(13,0)")).cast("decimal(18,12)"))
+            .drop("_g", "_n", "_units", "_place"))
 
 
 def bridge_build_m2n(df: DataFrame, a: str, b: str, date_col: str) -> DataFrame:

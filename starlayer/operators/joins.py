@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlayer.functions.joins import bounded_broadcast
+from starlayer.functions.segments import carry, segment
 
 
 def join_star(fact: DataFrame, dims: list[tuple[DataFrame, str, str]], how: str = "inner") -> DataFrame:
@@ -23,16 +24,35 @@ def join_star(fact: DataFrame, dims: list[tuple[DataFrame, str, str]], how: str
 
 
 def join_zipper_asof(fact: DataFrame, zipper: DataFrame, fact_key: str, zip_key: str,
-                     fact_date: str) -> DataFrame:
+                     fact_date: str, parts: int | None = None) -> DataFrame:
     """J02 — point-in-time join: key equal and ``start_date <= dt < end_date``.
+    Every fact row stays, with NULLs where no version holds.
 
-    The equality keeps it a hash/sort-merge join on the key; the range is a
-    residual predicate evaluated per matching key, never a cross product.
+    Facts and versions are laid into one sequence by (key, time), where a fact
+    takes the last version before it: one shuffle and one sort, linear in the
+    rows of a key, however many versions it has. A key with more rows than a
+    task should hold is cut into segments, each with the version that holds at
+    its start. Versions of a key must not overlap (``zipper_check``); ones
+    without key or start hold for no fact, nor do any for a NULL key or date.
     """
-    z = zipper.withColumnRenamed(zip_key, "_zk")
-    cond = ((fact[fact_key] == z["_zk"]) & (z["start_date"] <= fact[fact_date].cast("date"))
-            & (fact[fact_date].cast("date") < z["end_date"]))
-    return fact.join(z, cond, "left").drop("_zk")
+    cols = [c for c in zipper.columns if c != zip_key]
+    f_row = F.struct(*[F.col(f"`{c}`") for c in fact.columns])
+    z_row = F.struct(*[F.col(f"`{c}`") for c in cols])
+    facts = fact.select(F.col(fact_key).alias("_key"), F.col(fact_date).cast("date").alias("_at"), f_row.alias("_fact"))
+    facts = facts.withColumn("_tie", F.xxhash64("_fact"))
+    held = zipper.where(F.col(zip_key).isNotNull() & F.col("start_date").isNotNull()).select(
+        F.col(zip_key).alias("_key"), F.col("start_date").alias("_at"), z_row.alias("_version"), F.lit(None).cast("long").alias("_tie"))
+    both = facts.unionByName(held, allowMissingColumns=True)
+    # a version stands before the facts of its day; the tie only parts segments
+    order = [F.col("_at"), F.col("_fact").isNotNull(), F.col("_tie")]
+    s = carry(segment(both, ["_key"], order, parts), of=F.col("_version").isNotNull())
+    w = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # an exchange of its own: a union of two key-partitioned sides is not partitioned by the key
+    rows = s.rows if s.cut else s.rows.repartition("_key")
+    out = s.own(rows.withColumn("_version", F.last("_version", ignorenulls=True).over(w))).where(F.col("_fact").isNotNull())
+    holds = (F.col("_version.start_date") <= F.col("_at")) & (F.col("_at") < F.col("_version.end_date"))
+    return out.select(*[F.col(f"_fact.`{c}`").alias(c) for c in fact.columns],
+                      *[F.when(holds, F.col(f"_version.`{c}`")).alias(c) for c in cols])
 
 
 def join_bridge_weighted(fact: DataFrame, bridge: DataFrame, dim: DataFrame, fact_key: str,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import in_period, lit_date, period_start, ratio
+from starlayer.functions.segments import carry, segment
 
 # The six legal aggregations of an atomic metric.
 VALID_AGGREGATIONS = ("SUM", "COUNT", "COUNT_DISTINCT", "AVG", "MAX", "MIN")
@@ -198,45 +199,25 @@ def kpi_conversion_funnel(events: DataFrame, steps=("view", "click", "purchase")
 
 
 def sessions_bounce(events: DataFrame, gap_minutes: int = 30, user: str = "user_id",
-                    ts: str = "ts", tie: str = "event_id") -> DataFrame:
+                    ts: str = "ts", tie: str = "event_id", parts: int | None = None) -> DataFrame:
     """M12 — sessions (a user's events with gaps ≤ ``gap_minutes``) and bounce
     rate (one-event sessions / sessions) per session-start day.
 
-    Skew-safe: sessions are first cut inside (user, day) chunks, so a hot user
-    is spread over as many tasks as it has active days; chunk summaries (one
-    row per user-day) are then stitched where the first event of a day lies
-    within the gap of the previous active day's last event.
+    An event starts a session when its gap to the one before is too long, and is
+    a session of its own when the gap after it is too: both are counted on the
+    day of the start, no session is put together. A user with more events than a
+    task should hold is cut into segments along time, each with the event before
+    and after it. Events without time belong to no day and are left out.
     """
     gap = gap_minutes * 60 * 1_000_000
-    e = events.select(user, ts, tie).withColumn("_day", F.col(ts).cast("date"))
-    w = Window.partitionBy(user, "_day").orderBy(ts, tie)
-    secs = F.unix_micros(F.col(ts).cast("timestamp"))
-    prev = F.lag(secs).over(w)
-    e = e.withColumn("_new", F.when(prev.isNull() | (secs - prev > gap), 1).otherwise(0))
-    e = e.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sess = e.groupBy(user, "_day", "_sid").agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_s"),
-                                               F.max(ts).alias("_e"))
-    chunk = sess.groupBy(user, "_day").agg(
-        F.count(F.lit(1)).alias("n_local"),
-        F.count(F.when(F.col("_n") == 1, 1)).alias("b_local"),
-        F.min("_s").alias("first_ts"), F.max("_e").alias("last_ts"),
-        F.min_by("_n", "_sid").alias("first_n"), F.max_by("_n", "_sid").alias("last_n"))
-    wc = Window.partitionBy(user).orderBy("_day")
-    cs = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    ml = F.coalesce(cs("first_ts") - F.lag(cs("last_ts")).over(wc) <= gap, F.lit(False))
-    mr = F.coalesce(F.lead(cs("first_ts")).over(wc) - cs("last_ts") <= gap, F.lit(False))
-    chunk = chunk.withColumn("_ml", ml).withColumn("_mr", mr)
-    one = F.col("n_local") == 1
-    fb, lb = F.col("first_n") == 1, F.col("last_n") == 1
-    lost = F.when(one, F.when(fb & (F.col("_ml") | F.col("_mr")), 1).otherwise(0)) \
-        .otherwise(F.when(fb & F.col("_ml"), 1).otherwise(0) + F.when(lb & F.col("_mr"), 1).otherwise(0))
-    per = chunk.select(F.col("_day").alias("day"),
-                       (F.col("n_local") - F.when(F.col("_ml"), 1).otherwise(0)).alias("_sessions"),
-                       (F.col("b_local") - lost).alias("_bounces"))
-    g = per.groupBy("day").agg(F.sum("_sessions").cast("bigint").alias("sessions"),
-                               F.sum("_bounces").cast("bigint").alias("bounces"))
-    # a day whose events all continue earlier sessions starts none
-    g = g.filter(F.col("sessions") > 0)
+    e = events.select(user, ts, tie).where(F.col(ts).isNotNull())
+    s = carry(segment(e, [user], [F.col(ts), F.col(tie)], parts), before=True, after=True)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    before, after = F.lag(at).over(s.window()), F.lead(at).over(s.window())
+    cut = s.own(s.rows.withColumn("_new", before.isNull() | (at - before > gap))
+                .withColumn("_last", after.isNull() | (after - at > gap)))
+    g = cut.where("_new").groupBy(F.col(ts).cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.col("_last"), 1)).alias("bounces"))
     return g.withColumn("bounce_rate", ratio(F.col("bounces"), F.col("sessions"), 4))
 
 

@@ -156,12 +156,18 @@ def _mini_attach(c):
     return d.mini_attach(o, c.t("customer"), "o_custkey", "c_custkey", _bands(), _mini(c))
 
 
-def _weights_sql(src: str, g: str, m: str, extra: str = "") -> str:
-    n = f"COUNT(*) OVER (PARTITION BY {g})"
-    base = f"CAST(FLOOR(10000 / {n}) / 10000 AS DECIMAL(18,4))"
+def weights_sql(src: str, g: str, m: str, extra: str = "") -> str:
+    """Equal weights by largest remainder: 10^-4 or the power of ten below a
+    thousandth of the share is the unit, the last members take the units left over."""
     return f"""SELECT {g}, {m}{extra},
-  {D(f"CASE WHEN ROW_NUMBER() OVER (PARTITION BY {g} ORDER BY {m}) = {n} THEN CAST(1 - {base} * ({n} - 1) AS DECIMAL(18,4)) ELSE {base} END")} AS weight
-FROM {src}"""
+  CAST((units // n + CASE WHEN place > n - units % n THEN 1 ELSE 0 END) * (1000000000000 // units) AS DECIMAL(30,0))
+  * CAST('0.000000000001' AS DECIMAL(12,12)) AS weight
+FROM (SELECT *, CAST(POW(10, LEAST(12, GREATEST(4, LENGTH(CAST(n AS VARCHAR)) + 3))) AS BIGINT) AS units
+      FROM (SELECT *, COUNT(*) OVER (PARTITION BY {g}) AS n, ROW_NUMBER() OVER (PARTITION BY {g} ORDER BY {m}) AS place FROM {src}))"""
+
+
+def _weights_sql(src: str, g: str, m: str, extra: str = "") -> str:
+    return f"SELECT {g}, {m}{extra}, {D('weight')} AS weight FROM ({weights_sql(src, g, m, extra)})"
 
 
 @register("bridge_build", _weights_sql("(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)",

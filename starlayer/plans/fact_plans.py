@@ -8,6 +8,7 @@ from starlayer.operators import clean, facts, joins
 from starlayer.operators import dims as dimops
 from starlayer.plans import context as cx
 from starlayer.plans.catalog import register
+from starlayer.plans.dim_plans import weights_sql
 from starlayer.plans.sqlbits import (
     ORDER_CHAIN, ORDERS_AS_OF, CHANGE_LOG, EVENT_VALUES, SPARSE_DAY, DENSE_DAY, ORDER_LC,
     EVENT_LC, LI_MONEY, ORDER_MS, EVENT_MS, R, D, B, acc_select, versions_sql, with_,
@@ -200,14 +201,9 @@ def _join_zipper_asof(c):
                     "start_date")
 
 
-_BRIDGE_SQL = """bridge AS (
-  SELECT l_orderkey, l_partkey,
-         CASE WHEN ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) = COUNT(*) OVER (PARTITION BY l_orderkey)
-              THEN CAST(1 - CAST(FLOOR(10000 / COUNT(*) OVER (PARTITION BY l_orderkey)) / 10000 AS DECIMAL(18,4))
-                        * (COUNT(*) OVER (PARTITION BY l_orderkey) - 1) AS DECIMAL(18,4))
-              ELSE CAST(FLOOR(10000 / COUNT(*) OVER (PARTITION BY l_orderkey)) / 10000 AS DECIMAL(18,4)) END
-           AS weight
-  FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))"""
+_BRIDGE_SQL = f"""bridge AS (
+  SELECT l_orderkey, l_partkey, CAST(weight AS DECIMAL(20,12)) AS weight FROM (
+    {weights_sql("(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)", "l_orderkey", "l_partkey")}))"""
 
 
 def _bridge(c):
