@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import MONEY, in_period, lit_date, ratio
 from starlayer.session import ensure_checkpoint_dir
+from starlayer.sources.sinks import clustered
 
 
 def _c(x) -> Column:
@@ -262,6 +263,6 @@ def fact_per_process(df: DataFrame, process_col: str, path: str | None = None) -
     (each process is its own folder; readers prune to theirs)."""
     if path is None:
         return df
-    df.write.mode("overwrite").partitionBy(process_col).parquet(path)
+    clustered(df, process_col).write.mode("overwrite").partitionBy(process_col).parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -8,6 +8,7 @@ from starlayer.operators import clean, facts, joins
 from starlayer.operators import dims as dimops
 from starlayer.plans import context as cx
 from starlayer.plans.catalog import register
+from starlayer.operators.snapshots import AccumulatingSnapshot
 from starlayer.plans.dim_plans import weights_sql
 from starlayer.plans.sqlbits import (
     ORDER_CHAIN, ORDERS_AS_OF, CHANGE_LOG, EVENT_VALUES, SPARSE_DAY, DENSE_DAY, ORDER_LC,
@@ -84,6 +85,18 @@ def _fact_accumulating_upsert(c):
                                            checkpoint_every=3)
 
 
+@register("fact_accumulating_by_start", with_(ORDER_LC) + acc_select("order_key", ORDER_MS, "olc"))
+def _fact_accumulating_by_start(c):
+    """The order snapshot as a table by ``start_dt``, built in batches of event
+    time, where a batch rewrites only partitions that it changes."""
+    ev = cx.order_lifecycle_events(c)
+    table = AccumulatingSnapshot(c.spark, scratch_dir(c.spark, "acc_by_start"), "order_key", "process", "ts", cx.ORDER_MILESTONES)
+    year = F.year("ts")
+    for batch in (year < 1998, (year >= 1998) & (year < 2000), (year >= 2000) | year.isNull()):
+        table.apply(ev.where(batch))
+    return table.read().select(*_order_acc(c).columns)
+
+
 @register("fact_aggregated_td", with_(*ORDER_CHAIN) + f"""
 SELECT merchant_id,
   COUNT(CASE WHEN order_date >= DATE '2001-08-01' AND order_date <= {ORDERS_AS_OF} THEN 1 END) AS rows_mtd,

@@ -116,22 +116,34 @@ def _archive_split(c):
     return s.write_tiers(t, scratch_dir(c.spark, "tiers")).select("order_id", "created_at", "tier")
 
 
+def _compacted(c):
+    """DWD in many small files, compacted to files of 1 MB; the counts of files
+    before and after."""
+    path = scratch_dir(c.spark, "dwd_small_files")
+    c.dwd().repartition(16).write.mode("overwrite").parquet(path)
+    before = c.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_before"))
+    before = s.sink_overwrite_table(before, scratch_dir(c.spark, "rows_before"))
+    files = s.sink_overwrite_table(s.list_files(c.spark, path).agg(F.count(F.lit(1)).alias("files_before")),
+                                   scratch_dir(c.spark, "files_before"))
+    table = s.compact_small_files(c.spark, path, 1 << 20)
+    return path, table, before, files
+
+
 @register("compact_files")
 def _compact_files(c):
-    """Rewrite a many-file DWD copy into 2 files; report files and rows before
-    and after (rows-only check: file counts are engine-specific)."""
-    d = c.dwd()
-    src = scratch_dir(c.spark, "dwd_small_files")
-    d.repartition(16).write.mode("overwrite").parquet(src)
-    before = c.spark.read.parquet(src)
-    after = s.compact_files(before, scratch_dir(c.spark, "dwd_compact"), 2)
-    b, a = s.file_stats(before), s.file_stats(after)
-    rb = before.agg(F.count(F.lit(1)).alias("rows_before"))
-    ra = after.agg(F.count(F.lit(1)).alias("rows_after"))
+    """Files and rows before and after compaction (rows-only check: file counts
+    are engine-specific)."""
     from starlayer.functions.joins import with_scalars
-    out = with_scalars(b.select(F.col("files").alias("files_before")),
-                       a.select(F.col("files").alias("files_after")))
-    return with_scalars(with_scalars(out, rb), ra)
+    path, table, rows, files = _compacted(c)
+    after = s.list_files(c.spark, path).agg(F.count(F.lit(1)).alias("files_after"))
+    out = with_scalars(files, after)
+    return with_scalars(with_scalars(out, rows), table.agg(F.count(F.lit(1)).alias("rows_after")))
+
+
+@register("compact_files_content", with_(*ORDER_CHAIN) + f"SELECT {_DWD_SEL} FROM dwd")
+def _compact_files_content(c):
+    """The rows of the compacted table: the same as before."""
+    return _compacted(c)[1]
 
 
 @register("read_partition_window", with_(*ORDER_CHAIN) + f"""

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import lit_date
+from starlayer.session import scratch_dir
 
 
 def ods_sync(src: DataFrame, as_of, etl_source: str = "starlayer") -> DataFrame:
@@ -28,16 +29,52 @@ def ods_sync(src: DataFrame, as_of, etl_source: str = "starlayer") -> DataFrame:
     return src.withColumn("etl_time", t).withColumn("etl_source", F.lit(etl_source))
 
 
+#: rows of a size table up to which it is broadcast
+BROADCAST_VALUES = 100_000
+
+
+def clustered(df: DataFrame, part_col: str, target_bytes: int = 256 << 20, row_bytes: int | None = None) -> DataFrame:
+    """``df`` dealt for a write partitioned by ``part_col``: a value with more
+    rows than a file should hold is split evenly over as many tasks as it fills
+    files, smaller values share tasks without being split. A value thus gets
+    ceil(its bytes / target) files, and no task much more than one file's rows.
+
+    Rows per value are counted in a pass of their own, which reads what
+    ``part_col`` needs; ``row_bytes`` is the size of a stored row, by default
+    what Spark assumes for the schema.
+    """
+    spark = df.sparkSession
+    per_file = max(1, target_bytes // (row_bytes or int(df._jdf.schema().defaultSize())))
+    path = scratch_dir(spark, "values")
+    df.groupBy(F.col(part_col).alias("_value")).agg(F.count(F.lit(1)).alias("_n")).write.parquet(path)
+    sizes = spark.read.parquet(path)  # a row per folder of the table
+    big = F.col("_n") > per_file
+    files = F.when(big, F.ceil(F.col("_n") / per_file)).otherwise(0)
+    before = Window.orderBy(F.col("_value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (sizes.withColumn("_files", files).withColumn("_first", F.coalesce(F.sum("_files").over(before), F.lit(0)))
+             .withColumn("_filled", F.coalesce(F.sum(F.when(big, 0).otherwise(F.col("_n"))).over(before), F.lit(0))))
+    whole, rest, values = sizes.agg(F.sum("_files"), F.max("_filled"), F.count(F.lit(1))).first()
+    if not values:
+        return df
+    task = F.when(F.col("_files") > 0, F.col("_first") + F.pmod(
+        F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.spark_partition_id()), "_files")).otherwise(
+        F.lit(whole) + F.floor(F.col("_filled") / per_file))
+    sizes = sizes.drop("_n")
+    sizes = F.broadcast(sizes) if values <= BROADCAST_VALUES else sizes
+    dealt = df.join(sizes, F.col(part_col).eqNullSafe(F.col("_value"))).withColumn("_task", task.cast("int"))
+    return dealt.repartitionById(int(whole) + int(rest) // per_file + 1, F.col("_task")).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def sink_overwrite_table(df: DataFrame, path: str) -> DataFrame:
     """S06 — CREATE OR REPLACE TABLE AS: overwrite the folder, return the re-read."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def sink_overwrite_partition(df: DataFrame, path: str, part_col: str = "dt") -> DataFrame:
+def sink_overwrite_partition(df: DataFrame, path: str, part_col: str = "dt", target_bytes: int = 256 << 20) -> DataFrame:
     """S07 — INSERT OVERWRITE … PARTITION: only partitions present in ``df``
     are replaced (dynamic partition overwrite), the others stay."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (clustered(df, part_col, target_bytes).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part_col).parquet(path))
     return df.sparkSession.read.parquet(path)
 
@@ -78,10 +115,62 @@ def archive_split(df: DataFrame, finish_col: str, as_of, months: int = 6) -> Dat
 
 def write_tiers(df: DataFrame, path: str) -> DataFrame:
     """Write an ``archive_split`` frame partitioned by tier; returns the re-read."""
-    df.write.mode("overwrite").partitionBy("tier").parquet(path)
+    clustered(df, "tier").write.mode("overwrite").partitionBy("tier").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of the data files under a folder, listed without reading
+    any of them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes")).where(~F.col("path").rlike(r"/[_.][^/]*$"))
+
+
+def compaction_plan(files: DataFrame, target_bytes: int) -> DataFrame:
+    """(path, bytes, folder, bin): the small files of each folder, in order of
+    their names, in bins that fill up to ``target_bytes``; files of half the
+    target and more are left out, and so are bins of one file. A row per file."""
+    small = files.where(F.col("bytes") < target_bytes // 2).withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    w = Window.partitionBy("folder").orderBy("path")
+    filled = F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bins = small.withColumn("bin", F.floor(F.coalesce(filled, F.lit(0)) / F.lit(target_bytes)).cast("int"))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("folder", "bin")) == 1
+    return bins.withColumn("_alone", alone).where(~F.col("_alone")).drop("_alone")
+
+
+def compact_small_files(spark: SparkSession, path: str, target_bytes: int = 512 << 20) -> DataFrame:
+    """S10 — replaces the small files of a parquet folder (partitioned or not) by
+    files of about ``target_bytes``; large files are not touched. Returns the
+    re-read table.
+
+    One task writes each bin; the number of tasks follows the bytes. New files
+    are written whole to a hidden folder beside the data, then moved in while
+    the old ones go: run it while no batch writes the folder. What reaches the
+    driver are names of files.
+    """
+    plan = compaction_plan(list_files(spark, path), target_bytes).collect()
+    if not plan:
+        return spark.read.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    hidden = f"{path.rstrip('/')}/_compacting"
+    numbers = {k: n for n, k in enumerate(sorted({(r.folder, r.bin) for r in plan}))}
+    dealt = spark.createDataFrame([(r.path, numbers[r.folder, r.bin]) for r in plan], "_path string, _bin int")
+    rows = spark.read.parquet(*[r.path for r in plan]).withColumn("_file", F.col("_metadata.file_path"))
+    # names of files only; Spark's listing and its metadata column may spell the scheme differently
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    binned = rows.join(dealt, bare("_file") == bare("_path")).drop("_file", "_path")
+    (binned.repartitionById(len(numbers), F.col("_bin")).write.mode("overwrite").partitionBy("_bin").parquet(hidden))
+    for (folder, _), n in numbers.items():
+        for st in fs.listStatus(hadoop(f"{hidden}/_bin={n}")):
+            if not st.getPath().getName().startswith(("_", ".")):
+                fs.rename(st.getPath(), hadoop(f"{folder}/{st.getPath().getName()}"))
+    for r in plan:
+        fs.delete(hadoop(r.path), False)
+    fs.delete(hadoop(hidden), True)
+    return spark.read.parquet(path)
+
+
 def compact_files(df: DataFrame, path: str, target_files: int,
                   max_records_per_file: int | None = None) -> DataFrame:
     """S10 — rewrite into ``target_files`` files (content unchanged).
