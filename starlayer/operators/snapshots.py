@@ -15,18 +15,19 @@ from starlayer.operators.facts import _finish_accumulating, _milestone_aggs, _na
 from starlayer.session import drop_path, scratch_dir
 from starlayer.sources.sinks import clustered
 
-START = "start_dt"
+START = "start_part"
 #: the folder name of the partition without a start date
 NO_START = "__HIVE_DEFAULT_PARTITION__"
 
 
 class AccumulatingSnapshot:
-    """``<base>/data/start_dt=…`` and ``<base>/open/v=…``, the index: (start_dt,
+    """``<base>/data/start_part=…`` and ``<base>/open/v=…``, the index: (start_part,
     unfinished) per partition with unfinished life cycles. A life cycle is
-    finished when it has all its milestones."""
+    finished when it has all its milestones. ``grain`` is what a partition spans:
+    ``day`` (then ``start_part`` is ``start_dt``), ``week`` or ``month``."""
 
-    def __init__(self, spark: SparkSession, base: str, key, process_col: str, ts_col: str, milestones):
-        self.spark, self.base = spark, base.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str, key, process_col: str, ts_col: str, milestones, grain: str = "day"):
+        self.spark, self.base, self.grain = spark, base.rstrip("/"), grain
         self.keys = [key] if isinstance(key, str) else list(key)
         self.process_col, self.ts_col, self.milestones = process_col, ts_col, milestones
         self.stamps = [f"{n}_ts" for n in _names(milestones)]
@@ -84,7 +85,7 @@ class AccumulatingSnapshot:
         batch = self._put(events.groupBy(*self.keys).agg(*aggs), "batch")
         old = self.read()
         changed = self._put(self._changes(batch, old), "changed")
-        start = F.col(self.stamps[0]).cast("date")
+        start = F.date_trunc(self.grain, F.col(self.stamps[0])).cast("date")
         moved = changed.where("_was").select(F.col("_start").alias(START)).unionByName(changed.select(start.alias(START)))
         dates = [r[START] for r in moved.distinct().collect()]
         if not dates and old is not None:
@@ -93,8 +94,7 @@ class AccumulatingSnapshot:
         if old is not None:
             rows = self._matched(old.where(self._in(dates)).select(*self.keys, *self.stamps), changed.select(*self.keys),
                                  "left_anti").unionByName(rows)
-        merged = _finish_accumulating(rows, self.keys, self.milestones)
-        merged = self._put(merged, "merged")
+        merged = self._put(_finish_accumulating(rows, self.keys, self.milestones).withColumn(START, start), "merged")
         self.schema = merged.schema
         open_rows = F.count(F.when(F.greatest(*[F.col(c).isNull() for c in self.stamps]), 1))
         now = {r[START]: r.n for r in merged.groupBy(START).agg(open_rows.alias("n")).collect()}

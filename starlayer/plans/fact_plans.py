@@ -87,10 +87,11 @@ def _fact_accumulating_upsert(c):
 
 @register("fact_accumulating_by_start", with_(ORDER_LC) + acc_select("order_key", ORDER_MS, "olc"))
 def _fact_accumulating_by_start(c):
-    """The order snapshot as a table by ``start_dt``, built in batches of event
-    time, where a batch rewrites only partitions that it changes."""
+    """The order snapshot as a table by month of ``start_dt``, built in batches of
+    event time, where a batch rewrites only partitions that it changes."""
     ev = cx.order_lifecycle_events(c)
-    table = AccumulatingSnapshot(c.spark, scratch_dir(c.spark, "acc_by_start"), "order_key", "process", "ts", cx.ORDER_MILESTONES)
+    table = AccumulatingSnapshot(c.spark, scratch_dir(c.spark, "acc_by_start"), "order_key", "process", "ts", cx.ORDER_MILESTONES,
+                                 grain="month")
     year = F.year("ts")
     for batch in (year < 1998, (year >= 1998) & (year < 2000), (year >= 2000) | year.isNull()):
         table.apply(ev.where(batch))

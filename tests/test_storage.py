@@ -155,7 +155,7 @@ def test_closed_partitions_stay_untouched(spark):
     table = AccumulatingSnapshot(spark, scratch_dir(spark, "acc"), "k", "process", "ts", MILESTONES)
     one = [(1, "ordered", at(0)), (1, "paid", at(1)), (1, "ship", at(2)), (2, "ordered", at(3)), (3, "ordered", at(3)), (4, "paid", at(4))]
     assert table.apply(spark.createDataFrame(one, SCHEMA)) == [None, at(0).date(), at(3).date()]
-    assert {(r.start_dt, r.unfinished) for r in table.index().collect()} == {(None, 1), (at(3).date(), 2)}
+    assert {(r.start_part, r.unfinished) for r in table.index().collect()} == {(None, 1), (at(3).date(), 2)}
     before = files(f"{table.base}/data")
     two = [(2, "paid", at(5)), (5, "ordered", at(6)), (1, "paid", at(7)), (1, "ordered", at(8))]  # nothing new for 1
     assert table.apply(spark.createDataFrame(two, SCHEMA)) == [at(3).date(), at(6).date()]
