@@ -271,6 +271,11 @@ def _values(d: dict) -> str:
     return "VALUES " + ", ".join(rows)
 
 
+def _evidence_values() -> str:
+    words = [(p, r, w) for r, (p, kws) in enumerate(L.PROCESS_KEYWORDS.items()) for w in kws]
+    return "VALUES " + ", ".join(f"('{p}', {r}, '{w}', {i})" for i, (p, r, w) in enumerate(words))
+
+
 def _entity_sql(col: str) -> str:
     return " + ".join(f"CASE WHEN contains({col}, '{e}') THEN 1 ELSE 0 END" for e in L.ENTITY_HINTS)
 
@@ -300,17 +305,28 @@ SELECT id AS {id_col}, process, hits, entity_hits, ROUND(c, 4) AS confidence FRO
 
 @register("tag_business_process", _process_sql("documents", "doc_id", "text"))
 def _tag_business_process(c):
-    return k.tag_business_process(c.t("documents"), "doc_id", "text")
+    return k.tag_business_process(c.t("documents"), "doc_id", "text").drop("evidence_keywords")
+
+
+@register("tag_business_process_evidence", f"""WITH lex(process, rank, kw, place) AS ({_evidence_values()})
+SELECT t.doc_id, lex.process, string_agg(lex.kw, '|' ORDER BY lex.place) AS evidence
+FROM documents t JOIN lex ON contains(lower(t.text), lower(lex.kw))
+JOIN ({_process_sql("documents", "doc_id", "text")}) c ON c.doc_id = t.doc_id AND c.process = lex.process
+GROUP BY t.doc_id, lex.process""")
+def _tag_business_process_evidence(c):
+    """The keywords that speak for each process of a document."""
+    tags = k.tag_business_process(c.t("documents"), "doc_id", "text")
+    return tags.select("doc_id", "process", F.array_join("evidence_keywords", "|").alias("evidence"))
 
 
 @register("tag_business_process_events", _process_sql("events", "event_id", "event_type"))
 def _tag_business_process_events(c):
-    return k.tag_business_process(c.t("events"), "event_id", "event_type")
+    return k.tag_business_process(c.t("events"), "event_id", "event_type").drop("evidence_keywords")
 
 
 @register("process_known_boost", _process_sql("documents", "doc_id", "text", ["下单", "支付", "评价"]))
 def _process_known_boost(c):
-    return k.process_known_boost(c.t("documents"), "doc_id", "text", ["下单", "支付", "评价"])
+    return k.process_known_boost(c.t("documents"), "doc_id", "text", ["下单", "支付", "评价"]).drop("evidence_keywords")
 
 
 def _domain_sql(src: str, id_col: str, text_col: str) -> str:

@@ -369,3 +369,19 @@ def test_profile_columns_all_profiles_every_column(spark):
     from starlayer.plans import catalog
     got = [r.column_name for r in catalog.queries()["profile_columns_all"](spark, SF_SMALL).collect()]
     assert sorted(got) == sorted(Ctx(spark, SF_SMALL).trade_order().columns) and len(got) == 9
+
+
+def test_evidence_keywords_of_a_process(spark):
+    df = spark.createDataFrame([(1, "Please PLACE ORDER, then checkout"), (2, "订购后付款"), (3, None), (4, ""), (5, "nothing")], "id int, text string")
+    out = {(r.id, r.process): (r.hits, r.evidence_keywords) for r in classify.tag_business_process(df, "id", "text", 0.0).collect()}
+    assert out[1, "下单"] == (2, ["place order", "order"]) and out[2, "下单"] == (1, ["订购"]) and out[2, "支付"] == (1, ["付款"])
+    assert {i for i, _ in out} == {1, 2}
+    known = {r.process: r.evidence_keywords for r in classify.process_known_boost(df.where("id = 5"), "id", "text", ["盘点"]).collect()}
+    assert known == {"盘点": []}
+
+
+def test_found_words_overlap_and_equal_words(spark):
+    from starlayer.functions.keywords import found_words
+    words = ["pay", "payment", "men", "pay", "", "日本", "absent"]
+    df = spark.createDataFrame([("a payment in 日本",), ("pa y",), (None,)], "t string")
+    assert [r[0] for r in df.select(found_words(F.col("t"), words)).collect()] == [[0, 1, 2, 3, 4, 5], [4], [4]]
