@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import MONEY
 from starlayer.functions.joins import bounded_broadcast
+from starlayer.functions.quantiles import exact_quantiles
 from starlayer.sources.trade import TRADE_ORDER_COLUMNS
 
 # Total order for "latest row per order_id": newest created_at first, then
@@ -98,6 +99,20 @@ def outlier_bounds(df: DataFrame, amount: str = "order_amount", lo: float = 0.01
         .select(F.col("b")[0].alias("lower"), F.col("b")[1].alias("upper"))
 
 
+def dwd_drop_outliers(df: DataFrame, amount: str = "order_amount", low: int = 10, high: int = 990) -> DataFrame:
+    """C06 — rows whose amount lies between two quantiles of the data itself
+    (thousandths of the non-NULL amounts; the bounds themselves stay). A NULL
+    amount is dropped; a column without values leaves no rows.
+
+    The quantiles are exact: a sketch brackets them, counting settles them.
+    ``df`` is read several times; pass a stored table.
+    """
+    lower, upper = exact_quantiles(df, amount, [low, high])
+    if lower is None:
+        return df.limit(0)
+    return df.filter(F.col(amount).between(F.lit(lower), F.lit(upper)))
+
+
 def dwd_attach_dim_keys(fact: DataFrame, dims, unknown_key: int = -1) -> DataFrame:
     """C07 — put dimension keys on the fact; unknown member → ``unknown_key``.
 

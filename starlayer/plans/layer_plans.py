@@ -84,6 +84,17 @@ def _dwd_enum_standardize(c):
     return clean.dwd_enum_standardize(c.dwd(), m, lower=100, upper=100000)
 
 
+@register("dwd_drop_outliers", with_(*ORDER_CHAIN) + f"""
+, placed AS (SELECT *, ROW_NUMBER() OVER (ORDER BY order_amount) AS place, COUNT(*) OVER () AS n FROM dwd WHERE order_amount IS NOT NULL),
+bounds AS (SELECT MIN(CASE WHEN place = GREATEST(1, (n * 10 + 999) // 1000) THEN order_amount END) AS low,
+                  MIN(CASE WHEN place = GREATEST(1, (n * 990 + 999) // 1000) THEN order_amount END) AS high FROM placed)
+SELECT order_id, user_id, item_id, merchant_id, order_date, {D('order_amount')} AS order_amount, order_status, order_no, created_at
+FROM dwd, bounds WHERE order_amount BETWEEN low AND high""")
+def _dwd_drop_outliers(c):
+    """Rows between the first and the last hundredth of the amounts."""
+    return clean.dwd_drop_outliers(c.dwd_table())
+
+
 @register("dwd_attach_dim_keys", with_(*ORDER_CHAIN) + f"""
 SELECT d.order_id, d.order_date, {D('d.order_amount')} AS order_amount,
        COALESCE(c.c_custkey, -1) AS customer_key,
