@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import (
+    BinaryType, DataType, DateType, DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType,
+)
 
 from starlayer.functions import lexicon as L
 from starlayer.functions.exprs import ratio
@@ -24,36 +26,71 @@ def _kw_hit(name: str, words: list[str], fold: bool = False) -> bool:
     return any(w in name or fold and w.lower() in name.lower() for w in words)
 
 
-def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """A01 — rows, nulls, distinct, min, max per column, unpivoted with ``stack``.
+def _text(name: str, kind: DataType) -> Column:
+    """A value as text, equal for equal values of the column."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, BinaryType):
+        return F.hex(col)
+    if isinstance(kind, (FloatType, DoubleType)):
+        col = col + F.lit(0.0).cast(kind)  # no negative zero
+    return col.cast("string")
+
+
+def _place(name: str, kind: DataType) -> Column:
+    """Dates and times as whole numbers, in their own order."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, DateType):
+        return F.unix_date(col).cast("long")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(col.cast("timestamp"))
+    return F.lit(None).cast("long")
 
-    Two global aggregates over the same input: distinct counts (hash
-    aggregation over an expand of the columns) and nulls/min/max (string
-    min/max buffers cannot be hashed, so they stay in a key-less aggregate
-    that needs no sort). ``exact=False`` uses HyperLogLog++ distinct counts
-    (one pass, bounded memory) for very large tables.
+
+def profile_columns(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """A01 — rows, nulls, distinct, min, max per column.
+
+    The input is read once: each row gives its (column, value) pairs, equal
+    pairs are counted on the map side and then by ranges of their hash, so no
+    column's values meet in one task; a column's row comes from the counts of
+    its values. ``exact=False`` takes HyperLogLog++ distinct counts instead, one
+    aggregate with bounded memory and a relative error of about 5 % (the
+    default's standard deviation).
     """
     cols = cols or df.columns
-    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if not exact:
+        return _profile_sketched(df, cols, kinds)
+    numeric = F.col("_i").isin(*[i for i, c in enumerate(cols) if isinstance(kinds[c], NumericType)] or [-1])
+    pairs = F.array(*[F.struct(F.lit(i).alias("_i"), _text(c, kinds[c]).alias("_v"), _place(c, kinds[c]).alias("_at")) for i, c in enumerate(cols)])
+    values = (df.select(F.explode(pairs).alias("_p")).select("_p._i", "_p._v", "_p._at")
+              .groupBy("_i", "_v", "_at").agg(F.count(F.lit(1)).alias("_n")))
+    num = F.when(numeric, F.col("_v").cast("double"))
+    timed = F.struct(F.col("_at"), F.col("_v"))
+    lo = F.when(F.min("_at").isNotNull(), F.min(F.when(F.col("_at").isNotNull(), timed))["_v"]).otherwise(F.min(F.when(~numeric, F.col("_v"))))
+    hi = F.when(F.max("_at").isNotNull(), F.max(F.when(F.col("_at").isNotNull(), timed))["_v"]).otherwise(F.max(F.when(~numeric, F.col("_v"))))
+    per = values.groupBy("_i").agg(
+        F.sum("_n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("null_count"),
+        F.count("_v").alias("distinct_count"), F.min(num).alias("min_num"), F.max(num).alias("max_num"), lo.alias("min_str"), hi.alias("max_str"))
+    # a row per column, also where the table is empty
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "_c int, column_name string")
+    out = F.broadcast(names).join(per, F.col("_c") == F.col("_i"), "left")
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("row_count", "null_count", "distinct_count")]
+    return out.select("column_name", *zero, "min_num", "max_num", "min_str", "max_str")
+
+
+def _profile_sketched(df: DataFrame, cols: list[str], kinds: dict[str, DataType]) -> DataFrame:
     stats = [F.count(F.lit(1)).alias("_rows")]
-    dist = []
     for i, c in enumerate(cols):
-        col = F.col(f"`{c}`")
-        stats.append(F.count(F.when(col.isNull(), 1)).alias(f"_n{i}"))
-        dist.append((F.countDistinct(col) if exact else F.approx_count_distinct(col)).alias(f"_d{i}"))
-        if c in numeric:
-            stats += [F.min(col).cast("double").alias(f"_lo{i}"), F.max(col).cast("double").alias(f"_hi{i}"),
-                      F.lit(None).cast("string").alias(f"_ls{i}"), F.lit(None).cast("string").alias(f"_hs{i}")]
-        else:
-            stats += [F.lit(None).cast("double").alias(f"_lo{i}"), F.lit(None).cast("double").alias(f"_hi{i}"),
-                      F.min(col).cast("string").alias(f"_ls{i}"), F.max(col).cast("string").alias(f"_hs{i}")]
-    one = with_scalars(df.agg(*stats), df.agg(*dist))
+        col, number = F.col(f"`{c}`"), isinstance(kinds[c], NumericType)
+        none = [F.lit(None).cast("string" if number else "double")] * 2
+        ends = [F.min(col).cast("double" if number else "string"), F.max(col).cast("double" if number else "string")]
+        lo, hi, lo_s, hi_s = ends + none if number else none + ends
+        stats += [F.count(F.when(col.isNull(), 1)).alias(f"_n{i}"), F.approx_count_distinct(col).alias(f"_d{i}"),
+                  lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}"), lo_s.alias(f"_ls{i}"), hi_s.alias(f"_hs{i}")]
     parts = ", ".join(f"'{c}', _n{i}, _d{i}, _lo{i}, _hi{i}, _ls{i}, _hs{i}" for i, c in enumerate(cols))
-    return one.selectExpr(
-        "_rows AS row_count",
-        f"stack({len(cols)}, {parts}) AS (column_name, null_count, distinct_count, min_num, max_num, "
-        f"min_str, max_str)").select("column_name", "row_count", "null_count",
-                                     F.col("distinct_count").cast("bigint").alias("distinct_count"),
+    return df.agg(*stats).selectExpr(
+        "_rows AS row_count", f"stack({len(cols)}, {parts}) AS (column_name, null_count, distinct_count, min_num, max_num, "
+        f"min_str, max_str)").select("column_name", "row_count", "null_count", F.col("distinct_count").cast("bigint").alias("distinct_count"),
                                      "min_num", "max_num", "min_str", "max_str")
 
 

@@ -34,15 +34,17 @@ def recon_extra(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFr
     return recon_missing(target, source, keys)
 
 
-def recon_amount(source: DataFrame, target: DataFrame, by: str = "user_id",
+def recon_amount(source: DataFrame, target: DataFrame, by: str | list[str] = "user_id",
                  measure: str = "order_amount", tolerance: float = 0.01) -> DataFrame:
-    """J07 — per-key sums of both sides, full outer, keep |diff| > tolerance.
-    Each side is pre-aggregated (partial aggregation before the shuffle)."""
-    a = source.groupBy(by).agg(F.sum(measure).alias("_a"))
-    b = target.groupBy(by).agg(F.sum(measure).alias("_b"))
+    """J07 — sums of both sides per key (one column or several), full outer, keep
+    |diff| > tolerance. Each side is pre-aggregated (partial aggregation before
+    the shuffle)."""
+    by = [by] if isinstance(by, str) else list(by)
+    a = source.groupBy(*by).agg(F.sum(measure).alias("_a"))
+    b = target.groupBy(*by).agg(F.sum(measure).alias("_b"))
     j = a.join(b, by, "full_outer")
     sa, sb = F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0))
-    return (j.select(by, sa.alias("source_amount"), sb.alias("target_amount"),
+    return (j.select(*by, sa.alias("source_amount"), sb.alias("target_amount"),
                      (sa - sb).alias("amount_diff"))
             .filter(F.abs(F.col("amount_diff")) > F.lit(tolerance)))
 

@@ -15,9 +15,6 @@ from starlayer.plans.sqlbits import (
     TRADE_ORDER, CHANGE_LOG, PART_EDGES, CLOSURE, LI_MONEY, R, versions_sql, with_,
 )
 
-_PROFILE_COLS = ["order_id", "user_id", "order_date", "order_amount", "order_status", "created_at"]
-
-
 def _profile_sql(src: str, cols: list[tuple[str, bool]]) -> str:
     parts = []
     for c, numeric in cols:
@@ -31,17 +28,13 @@ def _profile_sql(src: str, cols: list[tuple[str, bool]]) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-_PROFILE_TYPES = [("order_id", False), ("user_id", True), ("order_date", False), ("order_amount", True),
-                  ("order_status", False), ("created_at", False)]
+_ALL_TYPES = [("order_id", False), ("user_id", True), ("item_id", True), ("merchant_id", True), ("order_date", False),
+              ("order_amount", True), ("order_status", False), ("order_no", False), ("created_at", False)]
 
 
-@register("profile_columns", with_(TRADE_ORDER) + _profile_sql("trade_order", _PROFILE_TYPES))
+@register("profile_columns", with_(TRADE_ORDER) + _profile_sql("trade_order", _ALL_TYPES))
 def _profile_columns(c):
-    return a.profile_columns(c.trade_order(), _PROFILE_COLS)
-
-
-_ALL_TYPES = [("order_id", False), ("user_id", True), ("item_id", True), ("merchant_id", True), ("order_date", False),
-              ("order_amount", True), ("order_status", False), ("order_no", False), ("created_at", False)]
+    return a.profile_columns(c.trade_order())
 
 
 @register("profile_columns_all", with_(TRADE_ORDER) + _profile_sql("trade_order", _ALL_TYPES))

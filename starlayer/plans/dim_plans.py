@@ -203,6 +203,13 @@ def _array_field_filter(c):
     return d.array_field_filter(_arr(c), "event_types", "purchase")
 
 
+@register("array_field_json_filter", with_(_ARR_SQL) + """
+SELECT user_id, day, CAST(to_json(event_types) AS VARCHAR) AS event_types FROM arr WHERE list_contains(event_types, 'purchase')""")
+def _array_field_json_filter(c):
+    """The short field kept as a JSON array, filtered by what it contains."""
+    return d.array_from_json_filter(_arr(c).withColumn("event_types", F.to_json("event_types")), "event_types", "purchase")
+
+
 @register("dim_date", """
 WITH b AS (SELECT MIN(CAST(o_orderdate AS DATE)) AS lo, MAX(CAST(o_orderdate AS DATE)) AS hi FROM orders),
 cal AS (SELECT CAST(UNNEST(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM b)

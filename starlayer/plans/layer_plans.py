@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starlayer.operators import clean, layers
+from starlayer.operators import clean, distinct, layers
 from starlayer.plans.catalog import register
 from starlayer.plans.sqlbits import (
     ORDER_CHAIN, ORDERS_AS_OF, DEDUP_ORDER, TRADE_ORDER, STD, R, D, B,
     ads_cte, dws_cte, dwt_cte, with_,
 )
+from starlayer.session import scratch_dir
 
 # ---------------------------------------------------------------- sources ---
 
@@ -307,3 +308,23 @@ SELECT e.order_date, CAST(exact_cnt AS BIGINT) AS exact_cnt, CAST(summed_cnt AS
 FROM e JOIN g ON e.order_date = g.order_date""")
 def _dws_exact_distinct_guard(c):
     return layers.dws_exact_distinct_guard(c.dwd())
+
+
+@register("dws_distinct_rollup", with_(*ORDER_CHAIN) + """
+SELECT 'month' AS grain, CAST(CAST(date_trunc('month', order_date) AS DATE) AS VARCHAR) AS value, COUNT(DISTINCT order_no) AS orders
+FROM dwd GROUP BY 1, 2 HAVING COUNT(order_no) > 0
+UNION ALL SELECT 'merchant', CAST(merchant_id AS VARCHAR), COUNT(DISTINCT order_no) FROM dwd GROUP BY 1, 2 HAVING COUNT(order_no) > 0
+UNION ALL SELECT 'all', 'all', COUNT(DISTINCT order_no) FROM dwd""")
+def _dws_distinct_rollup(c):
+    """Distinct orders by month, by merchant and in all, each from the sets kept
+    in the daily summary (date, user, merchant), not from DWD."""
+    dwd = c.dwd_table()
+    daily = distinct.distinct_state(dwd, ["order_date", "user_id", "merchant_id"], "order_no", distinct.dense_numbers(dwd, "order_no"))
+    path = scratch_dir(c.spark, "dws_sets")
+    daily.write.parquet(path)
+    daily = c.spark.read.parquet(path)
+    month = distinct.distinct_count(daily, [F.trunc("order_date", "month").cast("string").alias("value")], "orders")
+    shop = distinct.distinct_count(daily, [F.col("merchant_id").cast("string").alias("value")], "orders")
+    whole = distinct.distinct_count(daily, [], "orders").withColumn("value", F.lit("all"))
+    return (month.withColumn("grain", F.lit("month")).unionByName(shop.withColumn("grain", F.lit("merchant")))
+            .unionByName(whole.withColumn("grain", F.lit("all"))).select("grain", "value", "orders"))

@@ -14,11 +14,6 @@ from starlayer.plans.sqlbits import (
 _TO_COLS = "order_id, user_id, item_id, merchant_id, order_date, order_amount, order_status, order_no, created_at"
 _TO_SEL = ("order_id, user_id, item_id, merchant_id, order_date, CAST(order_amount AS DOUBLE) AS order_amount, "
            "order_status, order_no, created_at")
-_OLDER = f"older AS (SELECT * FROM trade_order WHERE order_date < {ORDERS_AS_OF} - INTERVAL 30 DAY)"
-
-
-def _older(c):
-    return c.trade_order().filter(F.col("order_date") < F.date_sub(F.lit(c.as_of), 30))
 
 
 @register("recon_missing", with_(*ORDER_CHAIN) + f"""
@@ -28,22 +23,19 @@ def _recon_missing(c):
     return q.recon_missing(c.trade_order(), c.dwd(), ["order_id"])
 
 
-@register("recon_extra", with_(*ORDER_CHAIN, _OLDER) + f"""
-SELECT {_TO_SEL} FROM dwd b
-WHERE NOT EXISTS (SELECT 1 FROM older a WHERE a.order_id = b.order_id)""")
-def _recon_extra(c):
-    return q.recon_extra(_older(c), c.dwd(), ["order_id"])
-
-
 _KEYED = """keyed AS (
   SELECT * FROM dwd UNION ALL BY NAME
   SELECT * REPLACE (order_no || '-' || CAST(item_id AS VARCHAR) AS order_id) FROM trade_order WHERE order_id IS NULL)"""
 
 
-@register("recon_extra_all", with_(*ORDER_CHAIN, _KEYED) + f"""
+_EXTRA_SQL = with_(*ORDER_CHAIN, _KEYED) + f"""
 SELECT {_TO_SEL} FROM keyed b
-WHERE NOT EXISTS (SELECT 1 FROM trade_order a WHERE a.order_id = b.order_id)""")
-def _recon_extra_all(c):
+WHERE NOT EXISTS (SELECT 1 FROM trade_order a WHERE a.order_id = b.order_id)"""
+
+
+@register("recon_extra", _EXTRA_SQL)
+@register("recon_extra_all", _EXTRA_SQL)
+def _recon_extra(c):
     """The whole source against a target that also holds the orders without a
     key, under one made of order number and item: those keys are additional."""
     keyed = c.trade_order().filter(F.col("order_id").isNull()).withColumn(
@@ -51,6 +43,19 @@ def _recon_extra_all(c):
     return q.recon_extra(c.trade_order(), c.dwd().unionByName(keyed), ["order_id"])
 
 
+@register("recon_amount_keys", with_(*ORDER_CHAIN) + f"""
+SELECT COALESCE(a.merchant_id, b.merchant_id) AS merchant_id, COALESCE(a.order_date, b.order_date) AS order_date,
+       {D('COALESCE(a.amount, 0)')} AS source_amount, {D('COALESCE(b.amount, 0)')} AS target_amount,
+       {D('COALESCE(a.amount, 0) - COALESCE(b.amount, 0)')} AS amount_diff
+FROM (SELECT merchant_id, order_date, SUM(order_amount) AS amount FROM trade_order GROUP BY ALL) a
+FULL OUTER JOIN (SELECT merchant_id, order_date, SUM(order_amount) AS amount FROM dwd GROUP BY ALL) b
+  ON a.merchant_id = b.merchant_id AND a.order_date = b.order_date
+WHERE ABS(COALESCE(a.amount, 0) - COALESCE(b.amount, 0)) > 0.01""")
+def _recon_amount_keys(c):
+    """Amounts reconciled per merchant and date."""
+    return q.recon_amount(c.trade_order(), c.dwd(), ["merchant_id", "order_date"])
+
+
 @register("recon_amount", with_(*ORDER_CHAIN) + f"""
 SELECT COALESCE(a.user_id, b.user_id) AS user_id,
        {D('COALESCE(a.amount, 0)')} AS source_amount, {D('COALESCE(b.amount, 0)')} AS target_amount,

@@ -385,3 +385,29 @@ def test_found_words_overlap_and_equal_words(spark):
     words = ["pay", "payment", "men", "pay", "", "日本", "absent"]
     df = spark.createDataFrame([("a payment in 日本",), ("pa y",), (None,)], "t string")
     assert [r[0] for r in df.select(found_words(F.col("t"), words)).collect()] == [[0, 1, 2, 3, 4, 5], [4], [4]]
+
+
+def test_profile_of_odd_columns(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, -0.0, D(2024, 1, 2), TS(2024, 1, 1, 0, 0, 0, 500000), b"\xff", True, None),
+                                (None, 0.0, None, TS(2024, 1, 1), b"\x00", False, None), (1, nan, D(99, 1, 1), None, None, True, None)],
+                               "i int, f double, d date, t timestamp_ntz, b binary, o boolean, v string")
+    r = {x.column_name: x for x in advise.profile_columns(df).collect()}
+    assert {c: (x.row_count, x.null_count, x.distinct_count) for c, x in r.items()} == {
+        "i": (3, 1, 1), "f": (3, 0, 2), "d": (3, 1, 2), "t": (3, 1, 2), "b": (3, 1, 2), "o": (3, 0, 2), "v": (3, 3, 0)}
+    assert (r["i"].min_num, r["i"].max_num, r["i"].min_str) == (1.0, 1.0, None)
+    assert (r["d"].min_str, r["d"].max_str, r["t"].max_str) == ("0099-01-01", "2024-01-02", "2024-01-01 00:00:00.5")
+    none = {x.column_name: tuple(x)[1:4] for x in advise.profile_columns(df.limit(0)).collect()}
+    assert len(none) == 7 and set(none.values()) == {(0, 0, 0)}
+
+
+def test_profile_reads_once_and_the_sketch_is_near(spark):
+    li = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.1')}/lineitem.parquet")
+    plan = advise.profile_columns(li)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") == 1 and "Expand" not in plan
+    exact = {x.column_name: x for x in advise.profile_columns(li, ["l_orderkey", "l_partkey", "l_comment" if "l_comment" in li.columns else "l_shipdate"]).collect()}
+    near = {x.column_name: x for x in advise.profile_columns(li, list(exact), exact=False).collect()}
+    for c, x in exact.items():
+        assert abs(near[c].distinct_count - x.distinct_count) <= 0.2 * x.distinct_count
+        assert (near[c].null_count, near[c].min_num, near[c].max_num, near[c].min_str, near[c].max_str) == (
+            x.null_count, x.min_num, x.max_num, x.min_str, x.max_str)
