@@ -138,11 +138,6 @@ def _perf_full_agg(c):
     return q.perf_full_agg(c.dwd())
 
 
-@register("perf_explain")
-def _perf_explain(c):
-    return q.perf_explain(c.t("lineitem"), "l_shipdate", "1998-01-01")
-
-
 @register("report_accuracy", with_(*ORDER_CHAIN) + """
 , n AS (SELECT (SELECT COUNT(*) FROM trade_order) AS s, (SELECT COUNT(*) FROM dwd) AS t),
 sc AS (SELECT s, t, ABS(s - t) AS d, GREATEST(0, 100 - ABS(s - t) * 100.0 / GREATEST(s, 1)) AS score FROM n)
@@ -206,13 +201,6 @@ def _layer_totals(c):
                           layers.dwt_user_topic(dws_all, c.as_of), dws_all)
 
 
-@register("report_performance")
-def _report_performance(c):
-    """The timed count+sum probe over the stored DWD table (as the rule times
-    a query on the built layer, not the build)."""
-    return q.report_performance(c.dwd_table())
-
-
 @register("quality_report", _CONSISTENCY_SQL + """
 , n AS (SELECT (SELECT COUNT(*) FROM trade_order) AS s, (SELECT COUNT(*) FROM dwd) AS tt),
 acc AS (SELECT 'accuracy' AS name, ROUND(GREATEST(0, 100 - ABS(s - tt) * 100.0 / GREATEST(s, 1))::DOUBLE, 2) AS score,

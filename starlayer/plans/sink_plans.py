@@ -1,4 +1,4 @@
-"""Registered queries: synthetic sources, landing, sinks and storage layout.
+"""Registered queries: landing, sinks and storage layout.
 
 Each sink writes into a fresh folder under the session's checkpoint area and
 returns the re-read table, so the check sees what was stored.
@@ -10,39 +10,12 @@ from pyspark.sql import functions as F
 
 from starlayer.operators import layers
 from starlayer.sources import sinks as s
-from starlayer.sources.trade import read_partition_window, synth_orders_from
+from starlayer.sources.trade import read_partition_window
 from starlayer.plans.catalog import register
 from starlayer.plans.sqlbits import ORDER_CHAIN, ORDERS_AS_OF, TRADE_ORDER, D, dws_cte, dwt_cte, ads_cte, with_
 from starlayer.session import scratch_dir
 
 
-def _synth_sql(variant: str) -> str:
-    user_mul, item_mul, amount_mul, pending_lt = (42, 7, 37, 2) if variant == "v1" else (7, 11, 17, 3)
-    return f"""SELECT
-  'O' || LPAD(CAST(n AS VARCHAR), CAST(GREATEST(6, LENGTH(CAST(n AS VARCHAR))) AS INTEGER), '0') AS order_id,
-  'U' || LPAD(CAST(((n * {user_mul}) % 1000 + 1) AS VARCHAR), 4, '0') AS user_id,
-  'I' || LPAD(CAST(((n * {item_mul}) % 500 + 1) AS VARCHAR), 4, '0') AS item_id,
-  'M' || LPAD(CAST(((n * 13) % 50 + 1) AS VARCHAR), 3, '0') AS merchant_id,
-  CAST({ORDERS_AS_OF} - CAST((n * 3) % 60 AS INTEGER) AS DATE) AS order_date,
-  CAST(ROUND(CAST((n * {amount_mul}) % 1000 + 10 AS DECIMAL(18,2)), 2) AS DOUBLE) AS order_amount,
-  CASE WHEN (n * 11) % 10 < {pending_lt} THEN 'pending' WHEN (n * 11) % 10 < 7 THEN 'paid' ELSE 'shipped' END
-    AS order_status,
-  'NO' || LPAD(CAST(n AS VARCHAR), CAST(GREATEST(8, LENGTH(CAST(n AS VARCHAR))) AS INTEGER), '0') AS order_no,
-  TIMESTAMP '2001-08-01 00:00:00' - ((n * 5) % 86400) * INTERVAL 1 SECOND AS created_at
-FROM (SELECT o_orderkey AS n FROM orders)"""
-
-
-@register("src_synth_orders", _synth_sql("v1"))
-def _src_synth_orders(c):
-    """The generator driven by the order keys (n = o_orderkey), seed 42."""
-    return synth_orders_from(c.t("orders").select(F.col("o_orderkey").alias("n")), seed=42, as_of=c.as_of)
-
-
-@register("src_synth_orders_v2", _synth_sql("v2"))
-def _src_synth_orders_v2(c):
-    return synth_orders_from(c.t("orders").select(F.col("o_orderkey").alias("n")), as_of=c.as_of, variant="v2")
-
-
 _TO_SEL = ("order_id, user_id, item_id, merchant_id, order_date, CAST(order_amount AS DOUBLE) AS order_amount, "
            "order_status, order_no, created_at")
 
