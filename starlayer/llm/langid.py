@@ -64,16 +64,17 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     c[g] += k
         for n, c in out.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(c)), pa.array([n] * len(c), pa.int32()), pa.array(list(c), pa.string()),
+                [pa.array([lang] * len(c), pa.string()), pa.array([n] * len(c), pa.int32()), pa.array(list(c), pa.string()),
                  pa.array(list(c.values()), pa.int64())], names=["lang", "n", "gram", "k"])
 
 
-def fit(docs: DataFrame, per_language: int = 3000, most_grams: int = 150_000, min_count: int = 2) -> dict:
+def fit(docs: DataFrame, per_language: int = 3000, min_count: int = 2) -> dict:
     """Word (n = 0) and n-gram frequencies per language from a bounded sample.
 
-    The model keeps the ``most_grams`` most frequent entries of each order, the
-    documented bound of what reaches the driver and every executor: all grams of
-    an order as one string, which takes less memory than many, and a matrix."""
+    Every entry seen at least ``min_count`` times in the sample enters, however
+    many languages there are; what reaches the driver and every executor is
+    bounded by the sample (``per_language``) alone. All grams of an order are
+    kept as one string, which takes less memory than many, and a matrix."""
     counts = (training_sample(docs, per_language=per_language)
               .mapInArrow(_count_grams, "lang string, n int, gram string, k long")
               .groupBy("n", "gram", "lang").agg(F.sum("k").alias("k")))
@@ -86,10 +87,9 @@ def fit(docs: DataFrame, per_language: int = 3000, most_grams: int = 150_000, mi
         by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("k"))), F.lit(0)) for x in langs]
         entries = counts.groupBy("n", "gram").agg(F.sum("k").alias("total"), F.array(*by_lang).alias("by"))
         for n in range(ORDER + 1):
-            top = (entries.where((F.col("n") == n) & (F.col("total") >= min_count))
-                   .orderBy(F.desc("total"), "gram").limit(most_grams).select("gram", "by").toArrow())
-            by = top.column("by").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            orders[n] = "\n".join(top.column("gram").to_pylist()), _log_frequencies(by.reshape(top.num_rows, len(langs)))
+            kept = entries.where((F.col("n") == n) & (F.col("total") >= min_count)).select("gram", "by").toArrow()
+            by = kept.column("by").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            orders[n] = "\n".join(kept.column("gram").to_pylist()), _log_frequencies(by.reshape(kept.num_rows, len(langs)))
     return {"langs": langs, "orders": orders}
 
 

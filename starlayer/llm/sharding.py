@@ -22,11 +22,16 @@ from starlayer.llm.common import Store, part_offsets
 REGIONS, RACKS, BASE = 2, 2, 16
 
 
-def layout(shards: int, base: int = BASE, regions: int = REGIONS, racks: int = RACKS) -> list[tuple]:
+def layout(shards: int, base: int = BASE, regions: int = REGIONS, racks: int = RACKS,
+           weights: dict[int, float] | None = None) -> list[tuple]:
     """(shard, region, rack, weight, layer) of the first ``shards`` shards: the
-    first ``base`` form layer 0, every later one is a layer of its own."""
-    return [(s, s % regions, (s // regions) % racks, 1.0, 0 if s < base else s - base + 1) for s in range(shards)]
-
+    first ``base`` form layer 0, every later one is a layer of its own. Shards
+    that ``weights`` does not name weigh 1; a weight must be above 0."""
+    weights = weights or {}
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be above 0")
+    return [(s, s % regions, (s // regions) % racks, float(weights.get(s, 1.0)), 0 if s < base else s - base + 1)
+            for s in range(shards)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -75,8 +80,10 @@ def place(keys: np.ndarray, shards: list[tuple]) -> np.ndarray:
 SHARDED = "doc_id long, size long, text_crc32 long, shard int, grown_shard int, part int, local long"
 
 
-def shard(docs: DataFrame, shards: int = BASE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Law ``key``: id and number of shards decide. One row per row of ``docs``.
+def shard(docs: DataFrame, shards: int = BASE, text: str = "text", doc_id: str = "doc_id",
+          weights: dict[int, float] | None = None) -> DataFrame:
+    """Law ``key``: id, number of shards and ``weights`` (1 where not named)
+    decide. One row per row of ``docs``.
 
     ``slot`` counts a shard's rows from 0 without a gap: each task numbers its
     own rows per shard, and the counts of the tasks before (a row per task and
@@ -88,7 +95,7 @@ def shard(docs: DataFrame, shards: int = BASE, text: str = "text", doc_id: str =
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"),
                        F.crc32(data).cast("long").alias("text_crc32"))
-    now, grown = layout(shards), layout(shards + 1)
+    now, grown = layout(shards, weights=weights), layout(shards + 1, weights=weights)
 
     def run(batches):
         part, counted = TaskContext.get().partitionId(), np.zeros(shards, dtype=np.int64)

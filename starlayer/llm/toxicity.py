@@ -96,12 +96,13 @@ def _plain(token: str) -> str:
 
 # --- lexicon ------------------------------------------------------------------
 
-def learn_lexicon(sample: DataFrame, most: int = 4000, min_docs: int = 3, min_weight: float = 1.5) -> list[dict]:
+def learn_lexicon(sample: DataFrame, min_docs: int = 3, min_weight: float = 1.5) -> list[dict]:
     """Lexicons of fold 0, fold 1 and both, from (text, toxic, fold) rows.
 
-    A word's weight is its shrunk log-odds of standing in a toxic text; the
-    ``most`` heaviest with ``min_docs`` toxic texts enter. Counting is per
-    document and combined by Spark; only the entries reach the driver."""
+    A word's weight is its shrunk log-odds of standing in a toxic text; all of
+    ``min_weight`` with ``min_docs`` toxic texts enter. Counting is per document
+    and combined by Spark; only the entries reach the driver, no more than the
+    bounded sample holds."""
     def terms(batches):
         counted: dict[tuple, Counter] = {}
         for batch in slices(batches):
@@ -112,7 +113,7 @@ def learn_lexicon(sample: DataFrame, most: int = 4000, min_docs: int = 3, min_we
                 c.update({"s" + w[:STEM] for w in words if len(w) > STEM and w.isalpha()})
         for (toxic, fold), c in counted.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c)), pa.array([toxic] * len(c), pa.int32()), pa.array([fold] * len(c), pa.int32()),
+                [pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array([fold] * len(c), pa.int32()),
                  pa.array(list(c.values()), pa.int64())], names=["term", "toxic", "fold", "k"])
 
     cell = [F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == f), F.col("k")).otherwise(0)).alias(f"k{t}{f}")
@@ -123,8 +124,7 @@ def learn_lexicon(sample: DataFrame, most: int = 4000, min_docs: int = 3, min_we
     seen = F.col("k10") + F.col("k11")
     bad, good = max(sum(sizes.get((1, f), 0) for f in (0, 1)), 1), max(sum(sizes.get((0, f), 0) for f in (0, 1)), 1)
     odds = F.log((seen + 0.5) / bad) - F.log((F.col("k00") + F.col("k01") + 1.0) / good)
-    rows = (counts.where(seen >= min_docs).withColumn("odds", odds).where(F.col("odds") > min_weight * 0.5)
-            .orderBy(F.desc("odds"), F.desc("k11"), F.desc("k10"), "term").limit(4 * most).collect())
+    rows = counts.where(seen >= min_docs).withColumn("odds", odds).where(F.col("odds") > min_weight * 0.5).collect()
     out = []
     for folds in ((0,), (1,), (0, 1)):
         bad, good = (max(sum(sizes.get((t, f), 0) for f in folds), 1) for t in (1, 0))
@@ -133,7 +133,7 @@ def learn_lexicon(sample: DataFrame, most: int = 4000, min_docs: int = 3, min_we
             b, g = (sum(r[f"k{t}{f}"] for f in folds) for t in (1, 0))
             # half a text more among the clean, scaled to the classes' sizes
             weight = float(np.log((b + 0.5) / bad) - np.log((g + 1.0) / good))
-            if b >= max(2, min_docs * len(folds) // 2) and weight >= min_weight and len(found[r["term"][0]]) < most:
+            if b >= max(2, min_docs * len(folds) // 2) and weight >= min_weight:
                 found[r["term"][0]][r["term"][1:]] = weight
         out.append({"words": found["w"], "stems": found["s"]})
     return out

@@ -2,7 +2,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -242,3 +242,50 @@ def test_hash_tree_moves_only_into_what_grew():
         moved = now != last
         assert (now[moved] == n - 1).all() and abs(moved.mean() * n - 1) < 0.1
         last = now
+
+
+def _descend(key, shards):
+    """One key's way down the tree, level by level."""
+    within, path = shards, ()
+    for level in (1, 2, 0):
+        heavy = Counter()
+        for s in within:
+            heavy[(s[level], s[4])] += s[3]
+        if len(heavy) > 1:
+            waits = {c: sharding.wait(np.array([key], dtype=np.uint64), path + c, w)[0] for c, w in heavy.items()}
+            best = min(sorted(heavy), key=waits.get)
+        else:
+            best = next(iter(heavy))
+        within, path = [s for s in within if (s[level], s[4]) == best], path + best
+    return within[0][0]
+
+
+def test_weighted_shards(spark, docs):
+    weights = {0: 4.0, 5: 0.5, 16: 2.0}
+    keys = np.arange(1, 40_001, dtype=np.uint64)
+    for n in (16, 18):
+        tree = sharding.layout(n, weights=weights)
+        placed = sharding.place(keys, tree)
+        assert placed[:300].tolist() == [_descend(k, tree) for k in keys[:300]]
+        share = np.array([s[3] for s in tree]) / sum(s[3] for s in tree)
+        assert np.abs(np.bincount(placed, minlength=n) / len(keys) - share).max() < 0.01
+    for r in sharding.shard(docs, weights=weights).collect()[:200]:
+        key = int(np.array([r.doc_id], dtype=np.int64).view(np.uint64)[0])
+        assert r.shard == _descend(key, sharding.layout(16, weights=weights))
+        assert r.grown_shard == _descend(key, sharding.layout(17, weights=weights))
+    with pytest.raises(ValueError):
+        sharding.layout(16, weights={3: 0.0})
+
+
+def test_a_heavier_shard_draws_rows_along_its_path_only():
+    keys = np.arange(1, 40_001, dtype=np.uint64)
+    before, after = (sharding.layout(16, weights={5: w}) for w in (1.0, 3.0))
+    old, new = sharding.place(keys, before), sharding.place(keys, after)
+    region, rack = {s[0]: s[1] for s in before}, {s[0]: s[2] for s in before}
+    moved = [(a, b) for a, b in zip(old.tolist(), new.tolist()) if a != b]
+    assert moved
+    for a, b in moved:
+        assert region[b] == region[5]
+        if region[a] == region[5]:
+            assert rack[b] == rack[5]
+            assert rack[a] != rack[5] or b == 5

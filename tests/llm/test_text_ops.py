@@ -113,3 +113,34 @@ def test_toxicity_odd_rows(spark, docs, odd, none, labelled):
     kept = toxicity.keep_clean(odd, model)
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted == 0 for r in rows)
     assert toxicity.score(none, model).count() == 0
+
+
+def _made_words(n):
+    """Distinct words of letters only."""
+    return ["q" + "".join("abcdefghij"[int(d)] for d in f"{i:06d}") for i in range(n)]
+
+
+def test_every_sampled_word_enters_the_model(spark):
+    words = _made_words(160_000)
+    text = " ".join(words + words + ["once"])
+    model = langid.fit(spark.createDataFrame([(1, text, "xx"), (2, "b b c c", "yy")], "doc_id long, text string, lang string"))
+    known = set(model["orders"][0][0].split("\n"))
+    assert known == set(words) | {"b", "c"}
+
+
+def test_every_heavy_word_enters_the_lexicon(spark):
+    words = _made_words(20_000)
+    rows = [(" ".join(words), 1, f) for f in (0, 0, 1, 1)] + [("calm words here", 0, f) for f in (0, 1) * 10]
+    lexicons = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    for lexicon in lexicons:
+        assert set(lexicon["words"]) == set(words)
+
+
+def test_a_language_without_long_words_or_letters_is_learned(spark):
+    rows = [(1, "a b a b", "xx"), (2, "12 34", "yy"), (3, "", "zz")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert model["langs"] == ["xx"]
+    assert {(r.doc_id, r.lang_pred) for r in langid.identify(frame, model).collect()} == {(1, "xx"), (2, "und"), (3, "und")}
+    blank = spark.createDataFrame([("", 1, 0), ("", 0, 1)], "text string, toxic int, fold int")
+    assert all(not x["words"] and not x["stems"] for x in toxicity.learn_lexicon(blank))
