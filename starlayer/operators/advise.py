@@ -236,20 +236,22 @@ def advise_fact_type(events: DataFrame, key: str, process: str, ts: str, end_pro
     volume → transaction 0.9 (3); n ≥ 2 without intervals → transaction 0.7
     (4); else transaction 0.6 (5).
     """
-    per_key = events.groupBy(key).agg(F.countDistinct(process).alias("_p"),
-                                      F.countDistinct(ts).alias("_t"),
+    many = (F.min(process) != F.max(process)) & (F.min(ts) != F.max(ts))  # two or more of each
+    per_key = events.groupBy(key).agg(many.alias("_many"),
                                       F.max(F.col(process) == F.lit(end_process)).alias("_end")
                                       if end_process else F.lit(False).alias("_end"))
     k = per_key.agg(F.count(F.lit(1)).alias("keys"),
-                    F.count(F.when((F.col("_p") >= 2) & (F.col("_t") >= 2), 1)).alias("keys_with_intervals"),
+                    F.count(F.when(F.col("_many"), 1)).alias("keys_with_intervals"),
                     F.count(F.when(F.col("_end"), 1)).alias("keys_at_end"))
     snap = F.lit(False)
     for w in L.SNAPSHOT_KEYWORDS:
         snap = snap | F.col(process).contains(w)
-    g = events.agg(F.countDistinct(process).alias("processes"),
-                   F.count(F.lit(1)).alias("rows"),
-                   F.countDistinct(F.col(ts).cast("date")).alias("days"),
-                   F.max(snap).alias("snapshot_like"))
+    days = events.groupBy(F.col(process).alias("_process"), F.col(ts).cast("date").alias("_day")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(snap).alias("_snap"))
+    g = days.agg(F.countDistinct("_process").alias("processes"),
+                 F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+                 F.countDistinct("_day").alias("days"),
+                 F.max("_snap").alias("snapshot_like"))
     s = with_scalars(g, k)
     share = ratio(F.col("keys_with_intervals"), F.col("keys"), 4)
     intervals = F.coalesce(share > interval_share, F.lit(False))

@@ -9,24 +9,22 @@ from pyspark.sql import functions as F
 
 def hier_flatten(edges: DataFrame, node: str = "node_id", parent: str = "parent_id",
                  depth: int = 4) -> DataFrame:
-    """D17 — parent–child → level_1 (root) … level_k, one row per node.
-
-    ``depth - 1`` self joins walk up from each node; the walked path is then
-    re-based so level_1 is the root. A parent missing from the edge list ends
-    the walk.
+    """D17 — parent–child → depth, level_1 (root) … level_k, one row per node.
+
+    The levels come from the closure: of a node at depth d, the ancestor at
+    distance x stands on level d − x. So a node below level k keeps its real
+    depth and root, the levels show the top of its path and ``deeper_than_k``
+    is set. Grouping is by descendant, whose rows are no more than its depth.
+    A parent missing from the edge list ends the path; rows without a node are
+    left out; nodes of a cycle show each member once.
     """
-    e = edges.select(F.col(node).alias("_c"), F.col(parent).alias("_p"))
-    cur = edges.select(F.col(node).alias("a0"), F.col(parent).alias("_up"))
-    for i in range(1, depth):
-        step = e.withColumnRenamed("_c", "_up").withColumnRenamed("_p", f"_up{i}")
-        cur = (cur.join(step, "_up", "left")
-               .withColumnRenamed("_up", f"a{i}").withColumnRenamed(f"_up{i}", "_up"))
-    cur = cur.withColumn("_over", F.col("_up").isNotNull()).drop("_up")
-    chain = F.array(*[F.col(f"a{i}") for i in range(depth)])
-    path = F.reverse(F.filter(chain, lambda x: x.isNotNull()))
-    out = cur.select(F.col("a0").alias(node), F.size(path).alias("depth"), path.alias("_path"), "_over")
-    return out.select(node, "depth", *[F.get(F.col("_path"), i).alias(f"level_{i + 1}") for i in range(depth)],
-                      F.col("_over").alias("deeper_than_k"))
+    known = edges.select(F.col(node).alias("_k")).dropna().distinct()
+    e = edges.join(known, F.col(parent) == F.col("_k"), "left").select(F.col(node), F.col("_k").alias(parent))
+    c = hier_closure(e, node, parent).filter(F.col("distance") >= 0)
+    placed = c.join(hier_depth(c), "descendant").withColumn("_level", F.col("depth") - F.col("distance"))
+    levels = [F.max(F.when(F.col("_level") == i, F.col("ancestor"))).alias(f"level_{i}") for i in range(1, depth + 1)]
+    return placed.groupBy(F.col("descendant").alias(node)).agg(F.max("depth").alias("depth"), *levels) \
+        .withColumn("deeper_than_k", F.col("depth") > depth)
 
 
 def hier_closure(edges: DataFrame, node: str = "node_id", parent: str = "parent_id") -> DataFrame:

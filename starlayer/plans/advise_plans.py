@@ -231,6 +231,20 @@ def _advise_fact_type(c):
     return a.advise_fact_type(c.t("events"), "user_id", "event_type", "ts", end_process="purchase")
 
 
+@register("advise_fact_type_singles", _fact_type_sql("events", "event_id", "event_type", "ts", "purchase"))
+def _advise_fact_type_singles(c):
+    """Several processes, none of them on one key: no intervals (rule 4)."""
+    return a.advise_fact_type(c.t("events"), "event_id", "event_type", "ts", end_process="purchase")
+
+
+@register("advise_fact_type_ships", _fact_type_sql("""(SELECT l_orderkey AS order_key, 'ship' AS process,
+  l_shipdate AS ts FROM lineitem)""", "order_key", "process", "ts", "return"))
+def _advise_fact_type_ships(c):
+    """One process: rule 3 or 5, by the rows of a day."""
+    ships = c.t("lineitem").select(F.col("l_orderkey").alias("order_key"), F.lit("ship").alias("process"), F.col("l_shipdate").alias("ts"))
+    return a.advise_fact_type(ships, "order_key", "process", "ts", end_process="return")
+
+
 @register("advise_fact_type_orders", _fact_type_sql("""(SELECT o_orderkey AS order_key, 'ordered' AS process,
   o_orderdate AS ts FROM orders UNION ALL SELECT l_orderkey, 'ship', l_shipdate FROM lineitem
   UNION ALL SELECT l_orderkey, 'return', l_shipdate FROM lineitem WHERE l_returnflag = 'R')""",

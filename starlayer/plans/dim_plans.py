@@ -286,6 +286,17 @@ def _hier_flatten(c):
     return h.hier_flatten(cx.geo_edges(c), depth=4)
 
 
+@register("hier_flatten_deep", with_(PART_EDGES).replace("WITH ", "WITH RECURSIVE ") + """
+, walk AS (SELECT node_id, [node_id] AS path FROM pe WHERE parent_id IS NULL
+           UNION ALL SELECT e.node_id, list_append(w.path, e.node_id)
+                     FROM pe e JOIN walk w ON e.parent_id = w.node_id)
+SELECT node_id, len(path) AS depth, path[1] AS level_1, path[2] AS level_2, path[3] AS level_3,
+       path[4] AS level_4, len(path) > 4 AS deeper_than_k FROM walk""")
+def _hier_flatten_deep(c):
+    """Nodes far below the last level keep their root."""
+    return h.hier_flatten(cx.part_edges(c), depth=4)
+
+
 def _closure(c):
     return h.hier_closure(cx.part_edges(c))
 

@@ -73,22 +73,26 @@ def _dwd_reject(c):
 STATUS_MAP = {"paid": "paid", "shipped": "shipped", "pending": "pending"}
 
 
-@register("dwd_enum_standardize", with_(*ORDER_CHAIN) + f"""
+_BOUNDS = """
+, placed AS (SELECT *, ROW_NUMBER() OVER (ORDER BY order_amount) AS place, COUNT(*) OVER () AS n FROM dwd WHERE order_amount IS NOT NULL),
+bounds AS (SELECT MIN(CASE WHEN place = GREATEST(1, (n * 10 + 999) // 1000) THEN order_amount END) AS low,
+                  MIN(CASE WHEN place = GREATEST(1, (n * 990 + 999) // 1000) THEN order_amount END) AS high FROM placed)"""
+
+
+@register("dwd_enum_standardize", with_(*ORDER_CHAIN) + _BOUNDS + f"""
 SELECT order_id, user_id, item_id, merchant_id, order_date, {D('order_amount')} AS order_amount,
        CASE LOWER(TRIM(order_status)) WHEN 'paid' THEN 'paid' WHEN 'shipped' THEN 'shipped'
             ELSE 'other' END AS order_status,
-       order_no, created_at FROM dwd
-WHERE order_amount >= 100 AND order_amount <= 100000""")
+       order_no, created_at FROM dwd, bounds
+WHERE order_amount BETWEEN low AND high""")
 def _dwd_enum_standardize(c):
-    # 'pending' deliberately unmapped so the unknown branch is exercised.
+    """Standard codes of the rows between the first and the last hundredth of
+    the amounts; 'pending' is unmapped so that the unknown branch is met."""
     m = {"paid": "paid", "shipped": "shipped"}
-    return clean.dwd_enum_standardize(c.dwd(), m, lower=100, upper=100000)
+    return clean.dwd_enum_standardize(clean.dwd_drop_outliers(c.dwd_table()), m)
 
 
-@register("dwd_drop_outliers", with_(*ORDER_CHAIN) + f"""
-, placed AS (SELECT *, ROW_NUMBER() OVER (ORDER BY order_amount) AS place, COUNT(*) OVER () AS n FROM dwd WHERE order_amount IS NOT NULL),
-bounds AS (SELECT MIN(CASE WHEN place = GREATEST(1, (n * 10 + 999) // 1000) THEN order_amount END) AS low,
-                  MIN(CASE WHEN place = GREATEST(1, (n * 990 + 999) // 1000) THEN order_amount END) AS high FROM placed)
+@register("dwd_drop_outliers", with_(*ORDER_CHAIN) + _BOUNDS + f"""
 SELECT order_id, user_id, item_id, merchant_id, order_date, {D('order_amount')} AS order_amount, order_status, order_no, created_at
 FROM dwd, bounds WHERE order_amount BETWEEN low AND high""")
 def _dwd_drop_outliers(c):

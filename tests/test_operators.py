@@ -210,6 +210,37 @@ def test_flatten_levels(spark):
     assert r == {"R": (1, "R", None, None, None), "N": (2, "R", "N", None, None), "C": (3, "R", "N", "C", None)}
 
 
+def test_flatten_below_the_last_level(spark):
+    chain = [("n1", "gone")] + [(f"n{i}", f"n{i - 1}") for i in range(2, 8)] + [(None, "n1"), ("a", "b"), ("b", "a")]
+    out = {x.node_id: x for x in hierarchy.hier_flatten(
+        spark.createDataFrame(chain, "node_id string, parent_id string"), depth=3).collect()}
+    for i in range(1, 8):
+        levels = [f"n{j}" if j <= i else None for j in (1, 2, 3)]
+        x = out[f"n{i}"]
+        assert (x.depth, [x.level_1, x.level_2, x.level_3], x.deeper_than_k) == (i, levels, i > 3)
+    assert out["a"].depth == 2 and {out["a"].level_1, out["a"].level_2} == {"a", "b"}
+    assert set(out) == {f"n{i}" for i in range(1, 8)} | {"a", "b"}
+    none = spark.createDataFrame([], "node_id string, parent_id string")
+    assert hierarchy.hier_flatten(none).count() == 0
+
+
+def test_fact_type_rules(spark):
+    from starlayer.functions.lexicon import SNAPSHOT_KEYWORDS
+
+    def rule(rows, **kw):
+        return advise.advise_fact_type(spark.createDataFrame(rows, "k int, p string, ts date"), "k", "p", "ts", **kw).first().rule
+    day = [D(2020, 1, i) for i in range(1, 6)]
+    assert rule([]) == 0
+    assert rule([(1, "a", day[0]), (1, "b", day[1])], end_process="b") == 1
+    assert rule([(1, p, d) for p, d in zip("abcd", day)]) == 1                     # four processes need no end
+    assert rule([(1, SNAPSHOT_KEYWORDS[0], day[0])]) == 2
+    assert rule([(1, "a", day[0])], high_volume_per_day=1) == 3
+    assert rule([(1, "a", day[0]), (2, "b", day[1])]) == 4
+    assert rule([(1, "a", day[0]), (1, "b", day[0])], end_process="b") == 4        # same time: no interval
+    assert rule([(1, "a", day[0])]) == 5
+    assert rule([(1, None, day[0]), (None, "a", None)]) == 5                       # NULLs are no process, no time
+
+
 def test_junk_advice_boundaries(spark):
     def df_with(card):
         return spark.range(400).select((F.col("id") % card).alias("a"), (F.col("id") % 2).alias("b"),
