@@ -142,6 +142,47 @@ def bus_matrix_long(facts: DataFrame, process_col: str, dims: dict[str, DataFram
             .withColumn("used", F.col("resolved_keys") > 0))
 
 
+def bus_matrix_wide(rows: DataFrame, uses: dict[str, tuple[Column, dict[str, str]]], dims: dict[str, DataFrame]) -> DataFrame:
+    """P03 (long form) from rows that serve several processes at once.
+
+    ``uses`` names each process with the condition under which a row belongs to
+    it and the columns that hold its keys: ``{process: (condition, {dimension:
+    column})}``. A row gives one entry per (dimension, column) with a flag per
+    process, not one per process and dimension; flags of equal keys are merged on
+    the map side, so what is shuffled is bounded by the keys. Same result as
+    :func:`bus_matrix_long`: processes with a row, every dimension of ``dims``, 0
+    where a process has no column or only NULLs.
+    """
+    flags = {p: f"_p{i}" for i, p in enumerate(uses)}
+    columns = dict.fromkeys((d, c) for _, keys in uses.values() for d, c in keys.items() if d in dims)
+    if not columns:
+        raise ValueError("no process uses any of the dimensions")
+    entries = F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.col(f"`{c}`").cast("string").alias("_key"),
+                 *[(F.coalesce(cond, F.lit(False)) if keys.get(d) == c else F.lit(False)).alias(flags[p])
+                   for p, (cond, keys) in uses.items()])
+        for d, c in columns])
+    any_flag = F.greatest(*[F.col(f) for f in flags.values()]) if len(flags) > 1 else F.col("_p0")
+    keyed = (rows.select(F.inline(entries)).where(any_flag).groupBy("dimension", "_key")
+             .agg(*[F.bool_or(f).alias(f) for f in flags.values()]))
+    known = None
+    for d, frame in dims.items():
+        k = frame.select(F.lit(d).alias("_dim"), F.col(frame.columns[0]).cast("string").alias("_dkey"))
+        known = k if known is None else known.unionByName(k)
+    known = known.dropna().distinct()
+    j = keyed.join(known, (keyed["dimension"] == known["_dim"]) & (keyed["_key"] == known["_dkey"]), "left")
+    per = j.groupBy("dimension").agg(*[
+        F.struct(F.count(F.when(F.col(f), F.col("_dkey"))).alias("n"), F.bool_or(f).alias("seen")).alias(f)
+        for f in flags.values()])  # a row per dimension from here on
+    seen = per.select("dimension", F.inline(F.array(*[
+        F.struct(F.lit(p).alias("process"), F.col(f"{f}.n").alias("n"), F.col(f"{f}.seen").alias("seen"))
+        for p, f in flags.items()]))).where("seen")
+    by = seen.groupBy("process").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "n"))).alias("_by"))
+    return (by.select("process", F.inline(F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.coalesce(F.try_element_at("_by", F.lit(d)), F.lit(0)).alias("resolved_keys"))
+        for d in dims]))).withColumn("used", F.col("resolved_keys") > 0))
+
+
 def bus_matrix(long: DataFrame, dims: list[str]) -> DataFrame:
     """P03 — pivot to process × dimension booleans (values listed, so the pivot
     needs no extra pass to discover them)."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from starlayer.functions.exprs import MONEY
 from starlayer.functions.joins import bounded_broadcast
 from starlayer.functions.quantiles import exact_quantiles
+from starlayer.functions.segments import carry, segment
 from starlayer.sources.trade import TRADE_ORDER_COLUMNS
 
 # Total order for "latest row per order_id": newest created_at first, then
@@ -18,6 +19,12 @@ def dedup_order():
             F.col("merchant_id").asc_nulls_last(), F.col("order_amount").asc_nulls_last()]
 
 
+def dedup_order_reversed():
+    """The same order backwards, as plain ascending columns with NULLs first
+    (what segments are cut along): the row that stays comes last."""
+    return [F.col("created_at"), F.bitwise_not("item_id"), F.bitwise_not("merchant_id"), -F.col("order_amount")]
+
+
 def dwd_standardize(df: DataFrame) -> DataFrame:
     """C02 — casts and status normalisation; ``try_cast`` keeps bad raw values
     as NULL instead of failing the job under ANSI mode."""
@@ -56,21 +63,24 @@ def dwd_trade_order(raw: DataFrame, colocate=()) -> DataFrame:
     return dwd_dedup_latest(dwd_filter_invalid(dwd_standardize(raw)), colocate=colocate)
 
 
-def dwd_reject(raw: DataFrame, key: str = "order_id") -> DataFrame:
+def dwd_reject(raw: DataFrame, key: str = "order_id", parts: int | None = None) -> DataFrame:
     """C05 — rows C03/C04 remove with a reason; kept + rejected = input.
 
-    ``superseded`` = valid rows minus the kept rows as a multiset
-    (``exceptAll``): a grouped count per distinct row, so even a key holding a
-    large share of the rows is aggregated map-side instead of being sorted in
-    one window task. NULL keys are tagged before any key partitioning.
+    One pass: rows are tagged ``null_key`` or ``bad_amount``, the others stand in
+    the order of the dedup within their key, and all that have a better one are
+    ``superseded``. A key (NULL too) with more rows than a task should hold is cut
+    into segments along that order, each with the row after it, so no window
+    task gets a whole hot key. Of rows that are equal in the order one counts as
+    kept, whichever.
     """
     std = dwd_standardize(raw)
-    valid = std.filter(F.col(key).isNotNull() & (F.col("order_amount") >= 0))
-    no_key = std.filter(F.col(key).isNull()).withColumn("reject_reason", F.lit("null_key"))
-    bad = std.filter(F.col(key).isNotNull() & ~F.coalesce(F.col("order_amount") >= 0, F.lit(False))) \
-        .withColumn("reject_reason", F.lit("bad_amount"))
-    sup = valid.exceptAll(dwd_dedup_latest(valid, key)).withColumn("reject_reason", F.lit("superseded"))
-    return no_key.unionByName(bad).unionByName(sup)
+    bad = ~F.coalesce(F.col("order_amount") >= 0, F.lit(False))
+    tagged = std.withColumn("_why", F.when(F.col(key).isNull(), "null_key").when(bad, "bad_amount"))
+    s = carry(segment(tagged, [key, "_why"], dedup_order_reversed(), parts), after=True)
+    marked = s.rows.withColumn("_older", F.lead(F.lit(True)).over(s.window()).isNotNull())
+    reason = F.coalesce(F.col("_why"), F.when(F.col("_older"), "superseded"))
+    out = s.own(marked.withColumn("reject_reason", reason))
+    return out.where("reject_reason is not null").drop("_why", "_older")
 
 
 def dwd_enum_standardize(df: DataFrame, mapping: dict[str, str], col: str = "order_status",

@@ -183,15 +183,19 @@ def kpi_conversion_funnel(events: DataFrame, steps=("view", "click", "purchase")
     """M11 — users reaching each step at or after the previous step's first
     time, per cohort of first-step day.
 
-    Each step is a grouped ``min`` (partial aggregation absorbs hot users)
-    joined back on the user; no per-user window, no collected timeline.
+    The first step is a grouped ``min`` (partial aggregation absorbs hot users);
+    each further one joins its own events, read once, to the users so far and
+    takes the first that is late enough. A scan and a shuffle per step: the
+    grouping keeps the partitioning of the join.
     """
     e = events.select("user_id", "event_type", "ts")
     cur = e.filter(F.col("event_type") == steps[0]).groupBy("user_id").agg(F.min("ts").alias("t0"))
     for i, s in enumerate(steps[1:], start=1):
-        nxt = (e.filter(F.col("event_type") == s).join(cur.select("user_id", f"t{i - 1}"), "user_id")
-               .filter(F.col("ts") >= F.col(f"t{i - 1}")).groupBy("user_id").agg(F.min("ts").alias(f"t{i}")))
-        cur = cur.join(nxt, "user_id", "left")
+        nxt = e.filter(F.col("event_type") == s).select("user_id", F.col("ts").alias("_ts"))
+        late = F.min(F.when(F.col("_ts") >= F.col(f"t{i - 1}"), F.col("_ts")))
+        # the times are per user, so grouping by the user alone is the same
+        cur = cur.join(nxt, "user_id", "left").groupBy("user_id").agg(
+            *[F.any_value(f"t{k}").alias(f"t{k}") for k in range(i)], late.alias(f"t{i}"))
     aggs = [F.count(F.col(f"t{i}")).alias(f"{s}_users") for i, s in enumerate(steps)]
     g = cur.groupBy(F.col("t0").cast("date").alias("cohort_date")).agg(*aggs)
     for a, b in zip(steps, steps[1:]):

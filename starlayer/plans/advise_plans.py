@@ -377,25 +377,16 @@ def _domain_summary(c):
 _BUS_DIMS = ["customer", "part", "supplier", "date", "return_reason"]
 
 
-def _bus_facts(c):
-    """One row per (line, process) from a single scan of lineitem ⋈ orders:
-    every line is an order and a shipment, returned lines also a return."""
-    li = c.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
-    o = c.t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
-    none = F.lit(None).cast("string")
-    tags = F.array(
-        F.struct(F.lit("order").alias("process"), F.col("o_orderdate").cast("date").alias("date"),
-                 none.alias("return_reason")),
-        F.struct(F.lit("ship").alias("process"), F.col("l_shipdate").cast("date").alias("date"),
-                 none.alias("return_reason")),
-        F.when(F.col("l_returnflag") == "R",
-               F.struct(F.lit("return").alias("process"), F.col("l_shipdate").cast("date").alias("date"),
-                        F.col("l_returnflag").alias("return_reason"))))
-    return (j.select(F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("part"),
-                     F.col("l_suppkey").alias("supplier"), F.explode(tags).alias("_t"))
-            .filter(F.col("_t").isNotNull())
-            .select("_t.process", "customer", "part", "supplier", "_t.date", "_t.return_reason"))
+def _bus_long(c):
+    """One scan of lineitem ⋈ orders: every line is an order and a shipment,
+    returned lines also a return."""
+    li = c.t("lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_orderkey",
+                                F.col("l_shipdate").cast("date").alias("shipped"), F.col("l_returnflag").alias("reason"))
+    o = c.t("orders").select("o_orderkey", F.col("o_custkey").alias("customer"), F.col("o_orderdate").cast("date").alias("ordered"))
+    keys = {"customer": "customer", "part": "part", "supplier": "supplier"}
+    uses = {"order": (F.lit(True), keys | {"date": "ordered"}), "ship": (F.lit(True), keys | {"date": "shipped"}),
+            "return": (F.col("reason") == "R", keys | {"date": "shipped", "return_reason": "reason"})}
+    return k.bus_matrix_wide(li.join(o, li.l_orderkey == o.o_orderkey), uses, _bus_dims(c))
 
 
 def _bus_dims(c):
@@ -431,7 +422,7 @@ long AS (
 
 @register("bus_matrix_long", _BUS_SQL + "SELECT process, dimension, resolved_keys, resolved_keys > 0 AS used FROM long")
 def _bus_matrix_long(c):
-    return k.bus_matrix_long(_bus_facts(c), "process", _bus_dims(c))
+    return _bus_long(c)
 
 
 @register("bus_matrix", _BUS_SQL + """
@@ -442,7 +433,7 @@ SELECT process, BOOL_OR(CASE WHEN dimension = 'customer' THEN resolved_keys > 0
        BOOL_OR(CASE WHEN dimension = 'return_reason' THEN resolved_keys > 0 END) AS return_reason
 FROM long GROUP BY process""")
 def _bus_matrix(c):
-    return k.bus_matrix(k.bus_matrix_long(_bus_facts(c), "process", _bus_dims(c)), _BUS_DIMS)
+    return k.bus_matrix(_bus_long(c), _BUS_DIMS)
 
 
 @register("bus_matrix_shared", _BUS_SQL + """
@@ -453,4 +444,4 @@ SELECT dimension, COUNT(CASE WHEN resolved_keys > 0 THEN 1 END) AS processes_usi
             THEN MAX(CASE WHEN resolved_keys > 0 THEN process END) END AS only_process
 FROM long, n GROUP BY dimension""")
 def _bus_matrix_shared(c):
-    return k.bus_matrix_shared(k.bus_matrix_long(_bus_facts(c), "process", _bus_dims(c)))
+    return k.bus_matrix_shared(_bus_long(c))

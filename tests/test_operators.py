@@ -442,3 +442,53 @@ def test_profile_reads_once_and_the_sketch_is_near(spark):
         assert abs(near[c].distinct_count - x.distinct_count) <= 0.2 * x.distinct_count
         assert (near[c].null_count, near[c].min_num, near[c].max_num, near[c].min_str, near[c].max_str) == (
             x.null_count, x.min_num, x.max_num, x.min_str, x.max_str)
+
+
+def test_bus_matrix_of_wide_rows_equals_the_long_form(spark):
+    """NULL keys, unknown keys, a process without rows, a dimension no process
+    uses, one dimension held by two columns, keys of different types."""
+    df = spark.createDataFrame([(1, "x", 7, 8, True), (1, "y", 9, None, None), (2, None, 7, 9, False), (None, "z", None, 1, True)],
+                               "cust int, code string, d1 int, d2 int, back boolean")
+    dimensions = {"customer": spark.createDataFrame([(1,), (3,), (None,)], "k bigint"),
+                  "code": spark.createDataFrame([("x",), ("z",), ("z",)], "k string"),
+                  "day": spark.createDataFrame([(7,), (8,), (9,)], "k int"), "unused": spark.createDataFrame([(1,)], "k int")}
+    uses = {"order": (F.lit(True), {"customer": "cust", "day": "d1"}), "ship": (F.lit(True), {"customer": "cust", "day": "d2"}),
+            "return": (F.col("back"), {"customer": "cust", "code": "code", "day": "d2"}), "never": (F.lit(None).cast("boolean"), {"day": "d1"})}
+    none = F.lit(None).cast("string")
+    long = None
+    for p, (cond, keys) in uses.items():
+        f = df.where(cond).select(F.lit(p).alias("process"), *[
+            (F.col(keys[d]).cast("string") if d in keys else none).alias(d) for d in dimensions])
+        long = f if long is None else long.unionByName(f)
+    want = classify.bus_matrix_long(long, "process", dimensions)
+    got = classify.bus_matrix_wide(df, uses, dimensions)
+    cols = ["process", "dimension", "resolved_keys", "used"]
+    assert rows(got, cols) == rows(want, cols) and got.count() == 12
+    assert classify.bus_matrix_wide(df.limit(0), uses, dimensions).count() == 0
+    one = classify.bus_matrix_wide(df, {"order": uses["order"]}, dimensions)
+    assert rows(one, cols) == rows(want.where("process = 'order'"), cols)
+
+
+def test_funnel_against_brute_force_reads_each_step_once(spark):
+    import random
+    rng = random.Random(3)
+    steps = ("view", "click", "purchase")
+    data = [(rng.choice([1, 2, 3, 4, None]), rng.choice(steps + ("other", None)),
+             rng.choice([None, TS(2024, 1, 1) + dt.timedelta(hours=rng.randrange(72))])) for _ in range(80)]
+    df = spark.createDataFrame(data, "user_id int, event_type string, ts timestamp")
+    want = {}
+    for u in {d[0] for d in data} - {None}:
+        t = None
+        for i, s in enumerate(steps):
+            late = [x for w, e, x in data if w == u and e == s and x is not None and (i == 0 or x >= t)]
+            if not late:
+                break
+            t = min(late)
+            day = t.date() if i == 0 else day
+            want.setdefault(day, [0, 0, 0])[i] += 1
+    out = metrics.kpi_conversion_funnel(df.where("user_id is not null"))
+    got = {r.cohort_date: [r.view_users, r.click_users, r.purchase_users] for r in out.where("cohort_date is not null").collect()}
+    assert got == want
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    plan = metrics.kpi_conversion_funnel(ev)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 3

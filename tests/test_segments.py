@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starlayer.functions import segments
-from starlayer.operators import dims, joins, metrics
+from starlayer.operators import clean, dims, joins, metrics
 
 DAY = dt.date(2020, 1, 1)
 
@@ -135,3 +135,24 @@ def test_bridge_weights_of_a_cut_group(spark, small):
         own = [w for (_, m), w in sorted(got.items()) if _ == g]
         unit = Decimal(10) ** -7
         assert len(own) == n and sum(own) == 1 and own == sorted(own) and own[-1] - own[0] == unit
+
+
+def test_rejects_of_a_hot_key_equal_the_window(spark, small):
+    """One key holds a third of the rows, another third has no key; amounts may be
+    bad, times NULL or equal. Kept and rejected rows together are the input."""
+    rng = random.Random(5)
+    stamp = dt.datetime(2020, 1, 1)
+    data = [(("hot", None, f"k{i % 40}")[i % 3], rng.choice([1, 2, None]), i, 1, DAY,
+             rng.choice([Decimal("3.00"), Decimal("-1.00"), None, Decimal("0.00")]), "paid", f"N{i}",
+             rng.choice([None, stamp, stamp + dt.timedelta(seconds=i % 7)])) for i in range(600)]
+    raw = spark.createDataFrame(data, "order_id string, user_id bigint, item_id bigint, merchant_id bigint, order_date date, "
+                                      "order_amount decimal(18,2), order_status string, order_no string, created_at timestamp_ntz")
+    out = clean.dwd_reject(raw, parts=6)
+    std = clean.dwd_standardize(raw)
+    valid = clean.dwd_filter_invalid(std)
+    w = Window.partitionBy("order_id").orderBy(*clean.dedup_order())
+    late = valid.withColumn("_rn", F.row_number().over(w)).where("_rn > 1").drop("_rn")
+    assert bag(out.where("reject_reason = 'superseded'").drop("reject_reason")) == bag(late)
+    assert bag(out.where("reject_reason = 'null_key'").drop("reject_reason")) == bag(std.where("order_id is null"))
+    assert bag(out.drop("reject_reason").unionByName(clean.dwd_trade_order(raw))) == bag(std)
+    assert clean.dwd_reject(raw.limit(0), parts=6).count() == 0
