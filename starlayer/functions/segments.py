@@ -22,6 +22,8 @@ from starlayer.session import scratch_dir
 SEG, SIDE = "_seg", "_side"
 #: rows of a key that a task holds without thought
 LEAST = 100_000
+#: groups of keys whose rows :func:`key_load` counts together
+GROUPS = 1 << 16
 
 
 @dataclass
@@ -66,6 +68,18 @@ def heavy_keys(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
     return counts.where(F.col("_n") > share).select(*keys)
 
 
+def key_load(df: DataFrame, key: str) -> tuple[int, bool]:
+    """(rows with a key, whether some key may be hot), in one scan of the key.
+
+    Keys are counted in groups by hash, a row per group from each task, so
+    nothing is dealt by the key itself: a group with more rows than a key may
+    have beside a few even shares of the others holds a hot key, perhaps."""
+    groups = (df.where(F.col(key).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(GROUPS)).alias("_group"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    rows, most = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    return rows, most > LEAST + 4 * rows / GROUPS
+
+
 def segment(df: DataFrame, keys: list[str], order: list[Column], parts: int | None = None) -> Segmented:
     """Deals ``df`` into segments along ``order`` (the last columns of which
     should tell rows apart: only equal ones can't be parted).

@@ -12,7 +12,7 @@ from pyspark.sql.types import DecimalType
 
 from starlayer.operators import clean, layers
 from starlayer.sources.tables import read_table
-from starlayer.sources.trade import EVENTS_AS_OF, ORDERS_AS_OF, trade_order
+from starlayer.sources.trade import EVENTS_AS_OF, ORDERS_AS_OF, join_parts, trade_order
 
 
 class Ctx:
@@ -26,8 +26,19 @@ class Ctx:
         return read_table(self.spark, self.sf_dir, name)
 
     # --- order warehouse chain -------------------------------------------
-    def trade_order(self) -> DataFrame:
-        return trade_order(self.t("orders"), self.t("lineitem"))
+    def order_parts(self) -> int | None:
+        """Tasks of the order join, counted once; None: some order may be hot."""
+        if not hasattr(self, "_order_parts"):
+            self._order_parts = join_parts(self.t("orders"), self.t("lineitem"))
+        return self._order_parts
+
+    def trade_order(self, keep_order_key: bool = False) -> DataFrame:
+        return trade_order(self.t("orders"), self.t("lineitem"), keep_order_key, self.order_parts())
+
+    def by_order(self) -> list[str]:
+        """The column that steps per order line may stay dealt by: the join's
+        order key, unless an order may be hot."""
+        return [] if self.order_parts() is None else ["_order_key"]
 
     def dwd(self, since=None) -> DataFrame:
         """DWD from the raw tables. ``since`` keeps order dates >= since *before*
@@ -36,14 +47,16 @@ class Ctx:
         but before it the filter reaches the orders scan and prunes the
         lineitem side (runtime filter) instead of deduplicating all history.
 
-        The dedup window gets its own exchange on order_id rather than
-        reusing the join's order-key partitioning (``colocate``): a hot order
-        key then stays splittable by AQE's skew-join handling.
+        The dedup window reuses the join's order-key partitioning
+        (``colocate``), so the wide rows are not shuffled again. Where an order
+        may be hot, it gets its own exchange on order_id: the join then stays
+        splittable by AQE's skew-join handling.
         """
-        raw = self.trade_order()
+        by = self.by_order()
+        raw = self.trade_order(keep_order_key=bool(by))
         if since is not None:
             raw = raw.filter(F.col("order_date") >= F.lit(since))
-        return clean.dwd_trade_order(raw)
+        return clean.dwd_trade_order(raw, colocate=by).drop(*by)
 
     def dwd_window(self, days: int) -> DataFrame:
         import datetime as _dt

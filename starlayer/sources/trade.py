@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlayer.functions.exprs import MONEY, lit_date
+from starlayer.functions.segments import key_load
 
 # Column order of the canonical source every layer is written against.
 TRADE_ORDER_COLUMNS = [
@@ -26,17 +27,40 @@ def zero_pad(value: Column, width: int) -> Column:
     return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
 
 
-def trade_order(orders: DataFrame, lineitem: DataFrame, keep_order_key: bool = False) -> DataFrame:
+#: rows of the larger side in a task of the order join
+ROWS_PER_TASK = 500_000
+
+
+def join_parts(orders: DataFrame, lineitem: DataFrame) -> int | None:
+    """Tasks of the order join by its counted rows. None: an order may have more
+    lines than a task should hold, and the join stays as the planner deals it,
+    which may split such an order.
+
+    Tasks are made by rows, not by shuffled bytes: narrow keys compress so well
+    that a task of some MB may sort tens of millions of rows."""
+    (a, hot), (b, twice) = key_load(lineitem, "l_orderkey"), key_load(orders, "o_orderkey")
+    if hot or twice:
+        return None
+    spark = lineitem.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, -(-max(a, b) // ROWS_PER_TASK))
+
+
+def trade_order(orders: DataFrame, lineitem: DataFrame, keep_order_key: bool = False, parts: int | None = None) -> DataFrame:
     """S01 — item-grain order source from ``lineitem ⋈ orders``.
 
     Both sides are large at scale, so this is a shuffle (sort-merge) join on the
     order key; only the nine needed columns are read from parquet.
     ``keep_order_key`` also returns the join key as ``_order_key`` so a later
     per-order step can reuse the join's partitioning instead of reshuffling.
+    ``parts`` deals both sides into that many tasks, whatever the rows' width
+    (:func:`join_parts` counts them).
     """
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                          "l_extendedprice", "l_shipdate")
+    if parts is not None:
+        o, li = o.repartition(parts, "o_orderkey"), li.repartition(parts, "l_orderkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     amount = F.when(F.col("l_partkey") % 53 == 0, -F.col("l_extendedprice")) \
         .otherwise(F.col("l_extendedprice"))
