@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from starlayer.functions.exprs import MONEY
 from starlayer.functions.joins import bounded_broadcast
 from starlayer.functions.quantiles import exact_quantiles
-from starlayer.functions.segments import carry, segment
+from starlayer.functions.segments import Segmented, carry, segment
 from starlayer.sources.trade import TRADE_ORDER_COLUMNS
 
 # Total order for "latest row per order_id": newest created_at first, then
@@ -63,7 +63,7 @@ def dwd_trade_order(raw: DataFrame, colocate=()) -> DataFrame:
     return dwd_dedup_latest(dwd_filter_invalid(dwd_standardize(raw)), colocate=colocate)
 
 
-def dwd_reject(raw: DataFrame, key: str = "order_id", parts: int | None = None) -> DataFrame:
+def dwd_reject(raw: DataFrame, key: str = "order_id", parts: int | None = None, colocate=()) -> DataFrame:
     """C05 — rows C03/C04 remove with a reason; kept + rejected = input.
 
     One pass: rows are tagged ``null_key`` or ``bad_amount``, the others stand in
@@ -72,15 +72,22 @@ def dwd_reject(raw: DataFrame, key: str = "order_id", parts: int | None = None)
     into segments along that order, each with the row after it, so no window
     task gets a whole hot key. Of rows that are equal in the order one counts as
     kept, whichever.
+
+    ``colocate`` names columns that ``key`` determines and that the rows are
+    dealt by, none of whose groups is hot: the windows then stay inside them,
+    without a count per key and without a shuffle.
     """
     std = dwd_standardize(raw)
     bad = ~F.coalesce(F.col("order_amount") >= 0, F.lit(False))
     tagged = std.withColumn("_why", F.when(F.col(key).isNull(), "null_key").when(bad, "bad_amount"))
-    s = carry(segment(tagged, [key, "_why"], dedup_order_reversed(), parts), after=True)
+    if colocate:
+        s = Segmented(tagged, [*colocate, key, "_why"], dedup_order_reversed(), False)
+    else:
+        s = carry(segment(tagged, [key, "_why"], dedup_order_reversed(), parts), after=True)
     marked = s.rows.withColumn("_older", F.lead(F.lit(True)).over(s.window()).isNotNull())
     reason = F.coalesce(F.col("_why"), F.when(F.col("_older"), "superseded"))
     out = s.own(marked.withColumn("reject_reason", reason))
-    return out.where("reject_reason is not null").drop("_why", "_older")
+    return out.where("reject_reason is not null").drop("_why", "_older", *colocate)
 
 
 def dwd_enum_standardize(df: DataFrame, mapping: dict[str, str], col: str = "order_status",

@@ -67,7 +67,8 @@ UNION ALL
 SELECT order_id, user_id, item_id, merchant_id, order_date, {D('order_amount')},
        order_status, order_no, created_at, 'superseded' FROM ranked WHERE rn > 1""")
 def _dwd_reject(c):
-    return clean.dwd_reject(c.trade_order())
+    by = c.by_order()
+    return clean.dwd_reject(c.trade_order(keep_order_key=bool(by)), colocate=by)
 
 
 STATUS_MAP = {"paid": "paid", "shipped": "shipped", "pending": "pending"}

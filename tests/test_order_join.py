@@ -58,3 +58,12 @@ def test_tasks_of_the_order_join_follow_the_rows(spark, folder, monkeypatch):
     assert bag(trade.trade_order(o, li, parts=n)) == bag(trade.trade_order(o, li))
     monkeypatch.setattr(segments, "LEAST", 0)
     assert trade.join_parts(o, li.fillna(5, ["l_orderkey"])) is None
+
+
+def test_rejects_inside_the_orders_equal_the_rejects_by_key(spark, folder):
+    c = Ctx(spark, folder)
+    raw = c.trade_order(keep_order_key=True)
+    near = clean.dwd_reject(raw, colocate=["_order_key"])
+    assert near.columns == clean.dwd_reject(raw.drop("_order_key")).columns
+    assert bag(near) == bag(clean.dwd_reject(raw.drop("_order_key")))
+    assert "hashpartitioning(order_id" not in plan(near)
