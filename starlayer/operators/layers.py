@@ -35,10 +35,13 @@ def dws_trade_order_1d(dwd: DataFrame, as_of=None, window_days: int | None = 30,
 
 
 def dwt_topic(dws: DataFrame, subject: str = "user_id", as_of=None,
-              date_col: str = "order_date") -> DataFrame:
-    """G02/G03 — lifetime topic by subject: active days, orders, gmv, last date."""
+              date_col: str = "order_date", days_unique: bool = False) -> DataFrame:
+    """G02/G03 — lifetime topic by subject: active days, orders, gmv, last date.
+
+    ``days_unique``: ``dws`` has one row per subject and date, so its dates are
+    counted without a set of them."""
     return (dws.groupBy(subject)
-            .agg(F.countDistinct(date_col).alias("active_days"),
+            .agg((F.count(date_col) if days_unique else F.countDistinct(date_col)).alias("active_days"),
                  F.sum("order_cnt").cast("bigint").alias("lifetime_order_cnt"),
                  F.sum("gmv").alias("lifetime_gmv"),
                  F.max(date_col).alias("last_order_date"))
@@ -55,10 +58,10 @@ def dwt_merchant_topic(dws: DataFrame, as_of) -> DataFrame:
     return dwt_topic(dws, "merchant_id", as_of)
 
 
-def dwt_item_topic(dwd: DataFrame, as_of) -> DataFrame:
+def dwt_item_topic(dwd: DataFrame, as_of, keys_unique: bool = False) -> DataFrame:
     """G03 (item) — needs a DWS at item grain first (G05)."""
-    dws = dws_subject_rollup(dwd, "item_id", period="1d", as_of=as_of)
-    return dwt_topic(dws, "item_id", as_of, date_col="period_date")
+    dws = dws_subject_rollup(dwd, "item_id", period="1d", as_of=as_of, keys_unique=keys_unique)
+    return dwt_topic(dws, "item_id", as_of, date_col="period_date", days_unique=True)
 
 
 def ads_trade_summary(dws: DataFrame) -> DataFrame:

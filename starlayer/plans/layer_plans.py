@@ -196,7 +196,7 @@ _ITEM_DWS = f"""dws_item AS (
 SELECT item_id, active_days, lifetime_order_cnt, {D('lifetime_gmv')} AS lifetime_gmv,
        last_order_date, dt FROM dwt""")
 def _dwt_item_topic(c):
-    return layers.dwt_item_topic(c.dwd(), c.as_of)
+    return layers.dwt_item_topic(c.dwd(), c.as_of, keys_unique=True)
 
 
 _ADS_SELECT = f"""SELECT order_date, merchant_id, order_cnt, {D('gmv')} AS gmv, paid_order_cnt,
