@@ -244,7 +244,7 @@ for _p in ("", "1d", "1w", "1m", "td"):
 
         @register(key, _rollup_sql(p, "order_status"))
         def _q(c):
-            return layers.dws_subject_rollup(c.dwd(), "merchant_id", ["order_status"], p, c.as_of)
+            return layers.dws_subject_rollup(c.dwd(), "merchant_id", ["order_status"], p, c.as_of, keys_unique=True)
     _mk(_p)
 
 

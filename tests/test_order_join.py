@@ -67,3 +67,11 @@ def test_rejects_inside_the_orders_equal_the_rejects_by_key(spark, folder):
     assert near.columns == clean.dwd_reject(raw.drop("_order_key")).columns
     assert bag(near) == bag(clean.dwd_reject(raw.drop("_order_key")))
     assert "hashpartitioning(order_id" not in plan(near)
+
+
+def test_item_topic_counts_days_and_orders_without_sets(spark, folder):
+    dwd = Ctx(spark, folder).dwd()
+    lean = layers.dwt_item_topic(dwd, "2001-08-01", keys_unique=True)
+    assert bag(lean) == bag(layers.dwt_item_topic(dwd, "2001-08-01"))
+    assert "distinct" not in plan(lean).lower()
+    assert "distinct" not in plan(catalog.queries()["dws_subject_rollup"](spark, folder)).lower()
