@@ -22,16 +22,23 @@ def _c(x) -> Column:
 
 # --- reconciliation ----------------------------------------------------------
 
-def recon_missing(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+def recon_missing(source: DataFrame, target: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """J05 — source rows whose key is not in the target (NULL keys count as
-    missing: an equality never matches NULL). ``left_anti`` on the keys."""
-    t = target.select(*keys).dropna().distinct()
+    missing: an equality never matches NULL). ``left_anti`` on the keys.
+
+    ``parts`` deals both sides by the keys into that many tasks, where neither
+    has a hot or NULL key; keys then need no pass that makes them distinct."""
+    t = target.select(*keys).dropna()
+    if parts is None:
+        t = t.distinct()
+    else:
+        source, t = source.repartition(parts, *keys), t.repartition(parts, *keys)
     return source.join(t, [source[k] == t[k] for k in keys], "left_anti")
 
 
-def recon_extra(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+def recon_extra(source: DataFrame, target: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """J06 — target rows whose key is not in the source."""
-    return recon_missing(target, source, keys)
+    return recon_missing(target, source, keys, parts)
 
 
 def recon_amount(source: DataFrame, target: DataFrame, by: str | list[str] = "user_id",

@@ -40,7 +40,7 @@ def _recon_extra(c):
     key, under one made of order number and item: those keys are additional."""
     keyed = c.trade_order().filter(F.col("order_id").isNull()).withColumn(
         "order_id", F.concat_ws("-", "order_no", F.col("item_id").cast("string")))
-    return q.recon_extra(c.trade_order(), c.dwd().unionByName(keyed), ["order_id"])
+    return q.recon_extra(c.trade_order(), c.dwd().unionByName(keyed), ["order_id"], c.order_parts())
 
 
 @register("recon_amount_keys", with_(*ORDER_CHAIN) + f"""

@@ -75,3 +75,10 @@ def test_item_topic_counts_days_and_orders_without_sets(spark, folder):
     assert bag(lean) == bag(layers.dwt_item_topic(dwd, "2001-08-01"))
     assert "distinct" not in plan(lean).lower()
     assert "distinct" not in plan(catalog.queries()["dws_subject_rollup"](spark, folder)).lower()
+
+
+def test_recon_by_parts_equals_recon(spark):
+    a = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (None, 3)], "k int, v int")
+    b = spark.createDataFrame([(2, 9), (2, 8), (3, 1), (None, 1)], "k int, v int")
+    for x, y in ((a, b), (b, a), (a.limit(0), b), (b, a.limit(0))):
+        assert bag(quality.recon_extra(x, y, ["k"], 5)) == bag(quality.recon_extra(x, y, ["k"]))
