@@ -145,20 +145,20 @@ def zipper_check(zipper: DataFrame, key: str) -> DataFrame:
 def _dense_key(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
     """Dense surrogate key over a distinct set of any size, in column order.
 
-    The set is range-partitioned and written once; each part is numbered by
-    itself and shifted by the counts of the parts before (a row per part)."""
+    The set is range-partitioned and written once, each row with its place in
+    its sorted part, shifted by the counts of the parts before (a row per part)."""
     spark = df.sparkSession
     order = [F.col(c).asc_nulls_first() for c in cols]
     path = scratch_dir(spark, id_col)
-    (df.select(*cols).distinct().repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-     .write.parquet(path))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # counts up from 0 in each part
+    (df.select(*cols).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+     .withColumns({"_part": F.spark_partition_id(), "_in": place}).write.parquet(path))
     d = spark.read.parquet(path)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = (d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
              .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return (d.withColumn("_in", inside).join(F.broadcast(shift), "_part")
-            .select((F.col("_in") + F.col("_before")).cast("bigint").alias(id_col), *cols))
+    return (d.join(F.broadcast(shift), "_part")
+            .select((F.col("_in") + 1 + F.col("_before")).cast("bigint").alias(id_col), *cols))
 
 
 def junk_build(df: DataFrame, flags: list[str]) -> DataFrame:

@@ -36,10 +36,15 @@ def distinct_state(df: DataFrame, by: list[str], col: str, numbers: DataFrame) -
 
 def merge_states(state: DataFrame, by: list) -> DataFrame:
     """Sets of a coarser grain: (by…, bucket, bits), a bitmap of 4 KB a bucket.
-    ``state`` has members (a fine grain) or bits (an already merged one)."""
+    ``state`` has members (a fine grain) or bits (an already merged one).
+    Members are dealt by group and bucket as they are, and a bitmap is built
+    where all of them stand: bitmaps of one or two members each, from every task
+    of the map side, compress to nothing in a shuffle but take 4 KB in a sort."""
     if "bits" in state.columns:
         return state.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return (state.withColumn("_member", F.explode("members")).groupBy(*by, "bucket")
+    fine = state.select(*by, "bucket", "members")
+    keys = [F.col(f"`{c}`") for c in fine.columns if c != "members"]
+    return (fine.repartition(*keys).withColumn("_member", F.explode("members")).groupBy(*keys)
             .agg(F.bitmap_construct_agg(F.col("_member").cast("long")).alias("bits")))
 
 

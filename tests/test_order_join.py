@@ -69,6 +69,26 @@ def test_rejects_inside_the_orders_equal_the_rejects_by_key(spark, folder):
     assert "hashpartitioning(order_id" not in plan(near)
 
 
+def test_bitmaps_are_not_shuffled(spark):
+    fact = spark.range(5000).select((F.col("id") % 7).alias("day"), F.concat(F.lit("N"), F.col("id") % 900).alias("number"))
+    numbers = distinct.dense_numbers(fact, "number")
+    assert "row_number" not in plan(numbers)  # places are stored with the parts
+    state = distinct.distinct_state(fact, ["day"], "number", numbers)
+    merged = plan(distinct.merge_states(state, ["day"]))
+    assert merged.index("partial_bitmap_construct_agg") < merged.index("Generate") < merged.index("Exchange")
+    assert "Exchange" not in merged[:merged.index("Generate")]
+    want = fact.groupBy("day").agg(F.countDistinct("number").alias("n"))
+    assert bag(distinct.distinct_count(state, ["day"], "n")) == bag(want.select("day", "n"))
+
+
+def test_dense_keys_follow_the_order_over_parts(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 700).alias("a"), (F.col("id") % 3).alias("b"))
+    got = dims._dense_key(df.repartition(13), ["a", "b"], "n").collect()
+    rows = sorted({(r.a, r.b) for r in df.collect()}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert sorted((r.n, r.a, r.b) for r in got if r.a is not None) == [(i, *x) for i, x in enumerate(rows, 1) if x[0] is not None]
+    assert sorted(r.n for r in got) == list(range(1, len(rows) + 1))
+
+
 def test_item_topic_counts_days_and_orders_without_sets(spark, folder):
     dwd = Ctx(spark, folder).dwd()
     lean = layers.dwt_item_topic(dwd, "2001-08-01", keys_unique=True)
