@@ -36,7 +36,7 @@ def _ods_append_partition(c):
     """History lands as dt=2001-07-01, the last 30 days as dt=as_of — the second
     batch is landed twice (a rerun) and must not duplicate rows."""
     path = scratch_dir(c.spark, "ods_append")
-    dwd = c.dwd()
+    dwd = c.dwd_table()
     recent = F.col("order_date") >= F.date_sub(F.lit(c.as_of), 30)
     s.ods_append_partition(dwd.filter(~recent), path, "2001-07-01")
     s.ods_append_partition(dwd.filter(recent), path, c.as_of)

@@ -40,7 +40,7 @@ def clustered(df: DataFrame, part_col: str, target_bytes: int = 256 << 20, row_b
     ceil(its bytes / target) files, and no task much more than one file's rows.
 
     Rows per value are counted in a pass of their own, which reads what
-    ``part_col`` needs; ``row_bytes`` is the size of a stored row, by default
+    ``part_col`` needs: pass a stored table, or its plan runs twice. ``row_bytes`` is the size of a stored row, by default
     what Spark assumes for the schema.
     """
     spark = df.sparkSession
