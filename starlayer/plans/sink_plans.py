@@ -60,10 +60,10 @@ def _sink_overwrite_partition(c):
     """Write DWD by year, then overwrite only the 2001 partition with its paid
     rows: other years must be untouched."""
     path = scratch_dir(c.spark, "dwd_by_year")
-    d = c.dwd().withColumn("yr", F.year("order_date"))
+    d = c.dwd_table().withColumn("yr", F.year("order_date"))
     s.sink_overwrite_partition(d, path, "yr")
     out = s.sink_overwrite_partition(d.filter((F.col("yr") == 2001) & (F.col("order_status") == "paid")), path, "yr")
-    return out.select(*c.dwd().columns, F.col("yr").cast("int").alias("yr"))
+    return out.select(*c.dwd_table().columns, F.col("yr").cast("int").alias("yr"))
 
 
 @register("sink_upsert", with_(*ORDER_CHAIN, dws_cte("dws_all", None), dwt_cte()) + f"""
@@ -85,7 +85,7 @@ def _sink_upsert(c):
 SELECT order_id, created_at, CASE WHEN CAST(created_at AS DATE) < DATE '2001-02-01' THEN 'cold' ELSE 'hot' END AS tier
 FROM dwd""")
 def _archive_split(c):
-    t = s.archive_split(c.dwd().select("order_id", "created_at"), "created_at", c.as_of, 6)
+    t = s.archive_split(c.dwd_table().select("order_id", "created_at"), "created_at", c.as_of, 6)
     return s.write_tiers(t, scratch_dir(c.spark, "tiers")).select("order_id", "created_at", "tier")
 
 
@@ -124,7 +124,7 @@ SELECT {_DWD_SEL}, CAST(date_trunc('month', order_date) AS DATE) AS dt FROM dwd
 WHERE date_trunc('month', order_date) BETWEEN DATE '2000-01-01' AND DATE '2000-12-01'""")
 def _read_partition_window(c):
     path = scratch_dir(c.spark, "dwd_by_month")
-    d = c.dwd().withColumn("dt", F.trunc("order_date", "month"))
+    d = c.dwd_table().withColumn("dt", F.trunc("order_date", "month"))
     s.sink_overwrite_partition(d, path, "dt")
     t = c.spark.read.parquet(path)
-    return read_partition_window(t, "2000-01-01", "2000-12-01").select(*c.dwd().columns, F.col("dt").cast("date"))
+    return read_partition_window(t, "2000-01-01", "2000-12-01").select(*c.dwd_table().columns, F.col("dt").cast("date"))

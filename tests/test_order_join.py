@@ -60,6 +60,21 @@ def test_tasks_of_the_order_join_follow_the_rows(spark, folder, monkeypatch):
     assert trade.join_parts(o, li.fillna(5, ["l_orderkey"])) is None
 
 
+def test_dwd_is_the_same_with_and_without_a_hot_order(spark, folder, monkeypatch):
+    dealt = Ctx(spark, folder)
+    assert "hashpartitioning(order_id" not in plan(dealt.dwd())
+    names = ["dws_subject_rollup", "dwt_item_topic", "dwd_reject", "report_accuracy", "recon_extra", "ods_append_partition",
+             "sink_overwrite_partition", "dws_distinct_rollup"]
+    got = {n: bag(catalog.queries()[n](spark, folder)) for n in names}
+    rows = bag(dealt.dwd())
+    assert len(rows) == dealt.trade_order().where("order_amount >= 0 and order_id is not null").select("order_id").distinct().count()
+    monkeypatch.setattr(Ctx, "order_parts", lambda self: None)  # as if some order were hot
+    other = Ctx(spark, folder)
+    assert "hashpartitioning(order_id" in plan(other.dwd())
+    assert rows == bag(other.dwd())
+    assert got == {n: bag(catalog.queries()[n](spark, folder)) for n in names}
+
+
 def test_rejects_inside_the_orders_equal_the_rejects_by_key(spark, folder):
     c = Ctx(spark, folder)
     raw = c.trade_order(keep_order_key=True)
@@ -69,6 +84,15 @@ def test_rejects_inside_the_orders_equal_the_rejects_by_key(spark, folder):
     assert "hashpartitioning(order_id" not in plan(near)
 
 
+def test_batches_are_written_from_a_stored_layer(spark, folder, monkeypatch):
+    seen = []
+    clustered = sinks.clustered
+    monkeypatch.setattr(sinks, "clustered", lambda df, *a: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), clustered(df, *a))[1])
+    for name in ("ods_append_partition", "sink_overwrite_partition", "read_partition_window", "archive_split"):
+        catalog.queries()[name](spark, folder).count()
+    assert len(seen) == 3 + 2 + 1 + 1 and not any("Join" in p for p in seen)
+
+
 def test_bitmaps_are_not_shuffled(spark):
     fact = spark.range(5000).select((F.col("id") % 7).alias("day"), F.concat(F.lit("N"), F.col("id") % 900).alias("number"))
     numbers = distinct.dense_numbers(fact, "number")
