@@ -11,6 +11,7 @@ import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from starlayer.llm import chat, mixing, packing, sharding, tokenbin, tokens
 from starlayer.session import scratch_dir
@@ -116,6 +117,46 @@ def test_encoder_equals_the_library(texts):
         assert ids[bounds[k]:bounds[k + 1]].tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
+WHITE = "\t\n\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
+
+
+@settings(max_examples=150, deadline=None)
+@example("a \n \nb  c\n\n d \xa0e\t\nf's 't g'h ,'ll 80's \xd7i\xf7 \u2019s 5\xb2\n")
+@given(st.text(st.sampled_from("   ab\xe9\u044f\u65e5\xd7\xaa\xb2\u2019\u0301''stl,.5" + WHITE), max_size=40))
+def test_cuts_are_ends_of_the_librarys_pieces(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    cuts = np.flatnonzero(tokens.piece_starts(data, np.array([0, len(data)])))
+    split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    ends = {0, *(len(text[:b].encode()) for _, (_, b) in split(text))}
+    assert set(cuts.tolist()) <= ends
+    alone = [w for a, b in zip(cuts, cuts[1:]) for w, _ in split(data[a:b].tobytes().decode())]
+    assert alone == [w for w, _ in split(text)]
+
+
+def test_words_are_learnt_without_what_surrounds_them(library):
+    """A word is learnt with and without its space, however many signs and line ends it stands beside."""
+    words = [f"{a}{b}\xe9n" for a in "bcdfg" for b in ("a", "ou", "i", "el")]
+    texts = [f"{v}{sign} {w}{sign}\n{v} ({w}) {v}  {w}" for sign in (",", ".", "!?", ";", ":", '"') for v in words for w in words]
+    encode = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER))
+    ids, bounds = encode(pa.array(texts))
+    assert len(encode.known) <= 2 * len(words) + 20
+    for k in range(0, len(texts), 97):
+        assert ids[bounds[k]:bounds[k + 1]].tolist() == library(texts[k]).tolist()
+
+
+def test_encoder_past_its_memo_and_in_slices(library):
+    """Generations of the memo, long pieces, other scripts, slices with an offset."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["a", "be", " ", " ", "\n", ",", "7", "'s", "\u043f\u0440", "\u65e5", " <|endoftext|>", "\xe9" * 40], k=30))
+             for _ in range(400)] + [None, "", "x" * 5000]
+    encode, whole = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER), most_chunks=20), pa.array(texts, pa.string())
+    for k in range(0, len(texts), 50):
+        ids, bounds = encode(whole.slice(k, 50))
+        for a, b, text in zip(bounds, bounds[1:], texts[k:k + 50]):
+            assert ids[a:b].tolist() == library(text).tolist()
+    assert 0 < max(map(len, [*encode.known, *encode.old])) <= tokens.LONGEST
+
+
 def test_token_files(spark, docs, odd, none, library):
     for frame in (docs, odd):
         rows = tokenbin.op9(frame).collect()
